@@ -21,6 +21,11 @@ from coterie.llm.deobfuscate import Restorer, fit_model
 
 KINDS = ("abusive", "hateful", "sexual")
 
+#: Words from which a passage is scored by windows as well, and their length and distance.
+LONG, WINDOW, STEP = 14, 10, 3
+#: Score from which a document is a case.
+CASE = 0.3
+
 
 def features(words: list[str]) -> set[str]:
     """Words, neighbours, pairs with one word between, and triples."""
@@ -36,90 +41,145 @@ def features(words: list[str]) -> set[str]:
 
 @dataclass
 class PassageModel:
+    """Weights of features; a passage's features share its weight, so long passages are no worse for being long."""
+
     weights: dict[str, float]
     bias: float
 
     def score(self, words: list[str]) -> float:
         w = self.weights
-        z = self.bias + sum(w[f] for f in features(words) if f in w)
-        return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
-
-
-def _fit(rows: list[np.ndarray], y: np.ndarray, sample: np.ndarray, size: int, steps: int, l2: float) -> tuple[np.ndarray, float]:
-    """Logistic regression on sets of feature numbers, by Adam over all rows."""
-    lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if len(rows) else np.empty(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    # rare and common features move alike when a row's features share its weight
-    scale = 1 / np.sqrt(np.maximum(lengths, 1))
-    w, b = np.zeros(size), -1.0
-    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
-    total = sample.sum()
+        found = [w[f] for f in features(words) if f in w]
+        z = self.bias + sum(found) / max(1.0, len(found)) ** 0.5
+        return 1 / (1 + float(np.exp(-min(30.0, max(-30.0, z)))))
+
+
+class _Sets:
+    """Feature sets of passages as flat arrays."""
+
+    def __init__(self, rows: list[np.ndarray], size: int):
+        self.size, self.n = size, len(rows)
+        self.lengths = np.array([len(r) for r in rows], np.int64)
+        self.flat = np.concatenate(rows).astype(np.int64) if rows else np.empty(0, np.int64)
+        self.owner = np.repeat(np.arange(self.n), self.lengths)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features of the chosen rows, and for each the place of its row among them."""
+        place = np.full(self.n, -1)
+        place[rows] = np.arange(len(rows))
+        keep = place[self.owner] >= 0
+        return self.flat[keep], place[self.owner[keep]]
+
+
+def _log_odds(sets: _Sets, pos: np.ndarray, neg: np.ndarray, prior: float) -> np.ndarray:
+    """Log-odds of each feature against the prior; what is seen once says little."""
+    p = np.bincount(sets.flat, pos[sets.owner], sets.size)
+    n = np.bincount(sets.flat, neg[sets.owner], sets.size)
+    r = np.log((p + 2 * prior) / (n + 2 * (1 - prior))) - np.log(prior / (1 - prior))
+    r[np.abs(r) < 0.1] = 0.0
+    return r
+
+
+def _model(sets: _Sets, pos: np.ndarray, neg: np.ndarray, prior: float, steps: int, l2: float) -> tuple[np.ndarray, float]:
+    """Logistic weights of features scaled by their log-odds; ``pos`` and ``neg`` weigh each passage."""
+    r = _log_odds(sets, pos, neg, prior)
+    rows = np.flatnonzero(pos + neg > 0)
+    flat, owner = sets.take(rows)
+    keep = r[flat] != 0
+    flat, owner = flat[keep], owner[keep]
+    scale = 1 / np.sqrt(np.maximum(np.bincount(owner, minlength=len(rows)), 1))
+    share = pos[rows] / (pos[rows] + neg[rows])
+    y = (share > 0.5).astype(float)
+    weight = np.sqrt(pos[rows] + neg[rows]) * np.where(y > 0, 2.0, 1.0)
+    weight /= weight.sum()
+    values = r[flat] * scale[owner]
+    w, b = np.full(sets.size, 0.5), -2.0
+    m, v, mb, vb = np.zeros(sets.size), np.zeros(sets.size), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(owner, w[flat], len(rows)) * scale + b
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * sample / total
-        gw, gb = np.bincount(flat, (g * scale)[owner], size) + l2 * w, g.sum()
+        z = np.bincount(owner, w[flat] * values, len(rows)) + b
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
+        gw, gb = np.bincount(flat, g[owner] * values, sets.size) + l2 * (w - 0.5), g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
-        w -= 0.05 * (m / c1) / (np.sqrt(v / c2) + 1e-8)
-        b -= 0.05 * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    return w, b
+        w -= 0.03 * (m / c1) / (np.sqrt(v / c2) + 1e-8)
+        b -= 0.1 * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
+    return w * r, b
+
 
+def _scores(sets: _Sets, w: np.ndarray, b: float) -> np.ndarray:
+    used = w[sets.flat] != 0
+    owner = sets.owner[used]
+    z = np.bincount(owner, w[sets.flat[used]], sets.n) / np.sqrt(np.maximum(np.bincount(owner, minlength=sets.n), 1)) + b
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-def train(docs: list[list[list[str]]], labels: list[float], rounds: int = 5, steps: int = 150, l2: float = 1e-6) -> PassageModel:
+
+def train(docs: list[list[list[str]]], labels: list[float], rounds: int = 3, folds: int = 3, steps: int = 80, l2: float = 1e-4) -> PassageModel:
     """Train on documents (lists of passages) with the share of raters who found them of the kind.
 
-    Without documents of both classes the model scores everything near 0.
+    In each round every document is judged by a model of the other folds: of a
+    positive document the passages found bad are the positive ones, and a
+    document whose label the others contradict is left out as a rater's
+    mistake. Without documents of both classes the model scores everything
+    near 0.
     """
-    index: dict[str, int] = {}
-    unique: dict[tuple[str, ...], int] = {}
-    owner_docs: list[list[int]] = []
-    for doc in docs:
-        owner_docs.append(sorted({unique.setdefault(tuple(p), len(unique)) for p in doc}))
-    seen: dict[str, int] = {}
-    sets = [features(list(p)) for p in unique]
-    for s in sets:
-        for f in s:
-            seen[f] = seen.get(f, 0) + 1
-    for s in sets:
-        for f in sorted(s):
-            if seen[f] > 1 or " " not in f:
-                index.setdefault(f, len(index))
-    rows = [np.array(sorted(index[f] for f in s if f in index), np.int64) for s in sets]
-    share = np.array(labels)
+    share = np.array(labels, float)
     positive = share > 0.5
     if not positive.any() or positive.all():
         return PassageModel({}, -6.0)
-    pos_in, neg_in = np.zeros(len(rows)), np.zeros(len(rows))
-    for ids, p in zip(owner_docs, positive, strict=True):
-        (pos_in if p else neg_in)[ids] += 1
-    base = positive.mean()
-    # a first guess: passages more at home in positive documents
-    score = (pos_in + 2 * base) / (pos_in + neg_in + 2)
-    w, b = np.zeros(len(index)), 0.0
-    for _ in range(rounds):
-        y_pos, y_neg = np.zeros(len(rows)), neg_in.copy()
-        for ids, p in zip(owner_docs, positive, strict=True):
-            if not p or not ids:
+    unique: dict[tuple[str, ...], int] = {}
+    members = [sorted({unique.setdefault(tuple(p), len(unique)) for p in doc}) for doc in docs]
+    named = [features(list(p)) for p in unique]
+    in_docs: dict[str, int] = {}
+    for ids in members:
+        for f in set().union(*(named[i] for i in ids)):
+            in_docs[f] = in_docs.get(f, 0) + 1
+    index: dict[str, int] = {}
+    rows = [np.array([index.setdefault(f, len(index)) for f in sorted(s) if in_docs[f] > 1], np.int64) for s in named]
+    sets = _Sets(rows, len(index))
+    prior = float(np.clip(positive.mean(), 0.01, 0.5))
+    # copies of a document stand in one fold, so that none is judged by its own copy
+    fold = np.array([ids[0] % folds if ids else 0 for ids in members])
+    by_fold = np.zeros((folds, len(rows)))  # each fold's view of a passage
+    bar = np.zeros(folds)
+
+    def weigh(docs_of: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
+        pos, neg = np.zeros(len(rows)), np.zeros(len(rows))
+        for d in docs_of:
+            ids = np.array(members[d], np.int64)
+            if not len(ids):
                 continue
-            s = score[ids]
-            worst = s.max()
-            for i, x in zip(ids, s, strict=True):
-                # passages far below the worst of their document are ordinary ones
-                if x == worst and worst > 0.15 or x > 0.5:
-                    y_pos[i] += 1
-                elif x < 0.1:
-                    y_neg[i] += 0.5
-        # a passage counts by the root of how often it occurs, so copies do not drown the rest
-        n = y_pos + y_neg
-        y = np.where(n > 0, y_pos / np.maximum(n, 1e-9), 0)
-        sample = np.sqrt(n) * np.where(y > 0.5, 3.0, 1.0)
-        w, b = _fit(rows, np.where(y > 0.5, 1.0, 0.0), sample, len(index), steps, l2)
-        scale = np.array([1 / np.sqrt(max(1, len(r))) for r in rows])
-        z = np.array([w[r].sum() for r in rows]) * scale + b
-        score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return PassageModel({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-4}, float(b))
+            bad = by_fold[fold[d]][ids] >= bar[fold[d]]
+            if first:
+                (pos if positive[d] else neg)[ids] += 1.0
+            elif positive[d] and bad.any():
+                pos[ids[bad]] += 1.0
+                neg[ids[~bad]] += 0.5
+            elif not positive[d]:
+                neg[ids] += 1.0
+        return pos, neg
+
+    everyone = np.arange(len(members))
+    for k in range(rounds):
+        fresh, fresh_bar = by_fold.copy(), bar.copy()
+        for f in range(folds):
+            pos, neg = weigh(everyone[fold != f], k == 0)
+            if not pos.any() or not neg.any():
+                continue
+            if k == 0:
+                # all passages of positive documents count: no model yet, but features more at home there;
+                # the bar is what hardly any passage of a negative document reaches
+                fresh[f] = _scores(sets, _log_odds(sets, pos, neg, prior), 0.0)
+                seen = np.flatnonzero(neg > 0)
+                fresh_bar[f] = max(0.8, np.quantile(fresh[f][seen], 0.995))
+            else:
+                w, b = _model(sets, pos, neg, prior, steps, l2)
+                fresh[f], fresh_bar[f] = _scores(sets, w, b), 0.5
+        by_fold, bar = fresh, fresh_bar
+    pos, neg = weigh(everyone, False)
+    if not pos.any() or not neg.any():
+        pos, neg = weigh(everyone, True)
+    w, b = _model(sets, pos, neg, prior, 2 * steps, l2)
+    return PassageModel({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}, float(b))
 
 
 class Scorer:
@@ -130,14 +190,16 @@ class Scorer:
         self.known: dict[tuple[str, ...], float] = {}
 
     def passage(self, words: list[str]) -> float:
+        """Score of a passage: of the whole, and of its windows where a missing full stop may have run several together."""
+        if len(words) <= LONG:
+            return self._score(words)
+        return max(self._score(words), *(self._score(words[i : i + WINDOW]) for i in range(0, len(words) - WINDOW + STEP, STEP)))
+
+    def _score(self, words: list[str]) -> float:
         key = tuple(words)
         s = self.known.get(key)
         if s is None:
-            w = self.model.weights
-            found = [w[f] for f in features(words) if f in w]
-            # as in training: a passage's features share its weight
-            z = self.model.bias + sum(found) / max(1.0, len(found)) ** 0.5
-            s = 1 / (1 + float(np.exp(-min(30.0, max(-30.0, z)))))
+            s = self.model.score(words)
             if len(self.known) >= self.remember:
                 self.known.clear()
             self.known[key] = s

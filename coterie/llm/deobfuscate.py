@@ -42,7 +42,7 @@ _L = r"[\p{L}\p{M}]"
 _ODD = regex.escape("@$!|+€£(<¡¢&*#•·", special_only=False)
 #: a spaced-out word, or a string of letters, digits and odd characters, or the end of a passage; all in linear time
 _TOKEN = regex.compile(
-    r"(?P<spaced>(?<![\p{L}\p{M}\p{N}])(?:[\p{L}@$*0134578]\p{M}*+([ .\-_*/|~])){2,}(?:[\p{L}@$*0134578]\p{M}*+\2)*+[\p{L}@$*0134578]\p{M}*+(?![\p{L}\p{N}]))"
+    r"(?P<spaced>(?<![\p{L}\p{M}\p{N}])[\p{L}@$*0134578]\p{M}*+([ .\-_*/|~])(?:[\p{L}@$*0134578]\p{M}*+\2)+[\p{L}@$*0134578]\p{M}*+(?![\p{L}\p{N}]))"
     rf"|(?P<string>[\p{{L}}\p{{M}}\p{{N}}{_ODD}'’\-._]++)"
     r"|(?P<end>[?।;…\x1e]+)"
 )
@@ -157,6 +157,13 @@ class Restorer:
             return False
         return a + b in self.common and self.model.word_cost(a + b) + COST_DROP < self.model.word_cost(a) + self.model.word_cost(b)
 
+    def spelled(self, letters: str) -> list[str]:
+        """Words of spaced-out letters; a one-letter word before them may have come along."""
+        whole = self.word(letters)
+        if whole not in self.common and (rest := self.word(letters[1:])) in self.common:
+            return [letters[0], rest]
+        return [whole]
+
     def read(self, string: str) -> list[str]:
         """Words of a string without white space inside."""
         if _PLAIN.fullmatch(string):
@@ -183,7 +190,7 @@ class Restorer:
                 words, ends = [], True
             elif kind == "spaced":
                 letters = len(_LETTER.findall(s))
-                words, ends = ([self.word(regex.sub(r"[ .\-_/|~]", "", s))] if letters > 2 else []), False
+                words, ends = (self.spelled(regex.sub(r"[ .\-_/|~]", "", s)) if letters > 2 else []), False
             else:
                 core = s.rstrip(".!-_'’")
                 ends = len(core) < len(s) and s[-1] in ".!"

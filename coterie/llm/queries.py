@@ -71,12 +71,12 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(spark, sf_dir).where("score >= 0.5").select("doc_id")
+    return scores(spark, sf_dir).where(F.col("score") >= abuse.CASE).select("doc_id")
 
 
 def p10_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source the documents, those of the kind, and the rate."""
-    found = F.col("score") >= 0.5
+    found = F.col("score") >= abuse.CASE
     return scores(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if(found).alias("found"), F.avg(found.cast("double")).alias("rate"))
 
 
