@@ -29,19 +29,29 @@ def _ratio(a: str, b: str) -> Column:
     return F.col(a) / F.nullif(F.col(b).cast("double"), F.lit(0.0))
 
 
+def window_rows(payments: DataFrame, clusters: DataFrame, window_days: int) -> DataFrame:
+    """Payments with each as-of day and cluster in whose window they lie.
+
+    Only customers that are ever in a cluster are expanded, and only over the
+    days on which they are.
+    """
+    spans = clusters.groupBy("customer_id").agg(F.min("as_of_day").alias("lo"), F.max("as_of_day").alias("hi"))
+    near = payments.where("day is not null").join(spans, "customer_id")
+    first, last = F.greatest(F.col("day") + 1, "lo"), F.least(F.col("day") + window_days, "hi")
+    days = near.where(first <= last).withColumn("as_of_day", F.explode(F.sequence(first, last))).drop("lo", "hi")
+    return days.join(clusters, ["as_of_day", "customer_id"])
+
+
 def cluster_behaviour(payments: DataFrame, clusters: DataFrame, cfg: GraphConfig) -> DataFrame:
     """Statistics of the payments that a cluster's customers made in the window before the as-of day.
 
     Nothing here reads a label. Nulls are not counted among distinct values.
-    The last-seen lag counts from the last day of any cluster's payments. A
-    payment meets each as-of day of its window once; groups are clusters,
-    whose size hub pruning bounds.
+    The last-seen lag counts from the last day of any cluster's payments.
     """
-    each = payments.where("customer_id is not null and day is not null").select(
+    each = payments.select(
         "payment_id", "customer_id", "day", "created_at", "amount", "status", "card_fingerprint", "device_fingerprint", "shipping_address_hash", "ip", "account_age_days", "card_issuer", "signup_day"
     )
-    days = each.withColumn("as_of_day", F.explode(F.sequence(F.col("day") + 1, F.col("day") + cfg.window_days)))
-    rows = days.join(clusters, ["as_of_day", "customer_id"])
+    rows = window_rows(each, clusters, cfg.window_days)
     known = lambda c: F.count_distinct(F.col(c))
     amount_mean = F.avg("amount")
     base = rows.groupBy("as_of_day", "cluster").agg(

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from coterie.operators.clusters import window_rows
+
 
 def mask(value: Column, keep: int = 3) -> Column:
     """The ends of an identifier without its 'type::' prefix; of a short one only its start."""
@@ -48,8 +50,8 @@ def robust_z(rows: DataFrame, reference: DataFrame, numeric: tuple[str, ...]) ->
 
 def evidence_members(payments: DataFrame, clusters: DataFrame, window_days: int) -> DataFrame:
     """Per cluster and customer what it did in the window; the customer is masked by the caller's view."""
-    rows = payments.where("customer_id is not null and day is not null").select("customer_id", "day", "amount", "account_age_days", "status", F.explode(F.sequence(F.col("day") + 1, F.col("day") + window_days)).alias("as_of_day"))
-    return rows.join(clusters, ["as_of_day", "customer_id"]).groupBy("as_of_day", "cluster", "customer_id").agg(
+    rows = window_rows(payments.select("customer_id", "day", "amount", "account_age_days", "status"), clusters, window_days)
+    return rows.groupBy("as_of_day", "cluster", "customer_id").agg(
         F.count(F.lit(1)).alias("payments"), (F.coalesce(F.sum("amount"), F.lit(0.0)) / 100).alias("amount_major"), F.max("account_age_days").alias("account_age_days"), F.min("day").alias("first_day"), F.count_if(F.col("status") == "failed").alias("declines")
     )
 
