@@ -49,6 +49,8 @@ _TOKEN = regex.compile(
 _PLAIN = regex.compile(rf"{_L}++(?:['’]{_L}++)*+")
 _LETTER = regex.compile(r"\p{L}")
 _APART = regex.compile(r"[-._'’]+")
+#: Latin letters beside look-alikes of other scripts
+_MIXED = regex.compile(r"[a-z][\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}][a-z]")
 _REPEAT = regex.compile(r"(\p{L})\1\1+")
 
 
@@ -167,7 +169,8 @@ class Restorer:
     def read(self, string: str) -> list[str]:
         """Words of a string without white space inside."""
         if _PLAIN.fullmatch(string):
-            return [self.word(string) if _REPEAT.search(string) else string]
+            mixed = not string.isascii() and _MIXED.search(string)
+            return [self.word(string) if mixed or _REPEAT.search(string) else string]
         letters = len(_LETTER.findall(string))
         if letters < 2 or letters * 3 < len(string):
             return []
