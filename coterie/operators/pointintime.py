@@ -54,24 +54,24 @@ def running(df: DataFrame, key: str, sums: dict[str, Column], span: int = SPAN)
     before it, a few rows per key, are summed on their own and joined.
     """
     rows = df.where(F.col(key).isNotNull() & F.col("created_at").isNotNull()).select(
-        "payment_id", key, "created_at", F.floor(F.col("created_at") / span).alias("span"), *(c.cast("double").alias(n) for n, c in sums.items())
+        "payment_id", F.col(key).alias("_key"), F.col("created_at").alias("_at"), F.floor(F.col("created_at") / span).alias("_span"), *(c.cast("double").alias(f"_v_{n}") for n, c in sums.items())
     )
-    before = Window.partitionBy(key, "span").orderBy("created_at", "payment_id")
+    before = Window.partitionBy("_key", "_span").orderBy("_at", "payment_id")
     earlier = before.rowsBetween(Window.unboundedPreceding, -1)
     inside = rows.select(
-        "payment_id", key, "span",
-        (F.row_number().over(before) - 1).alias("n_in"),
-        F.lag("created_at").over(before).alias("prev_in"),
-        *(F.coalesce(F.sum(n).over(earlier), F.lit(0.0)).alias(f"{n}_in") for n in sums),
+        "payment_id", "_key", "_span",
+        (F.row_number().over(before) - 1).alias("_n_in"),
+        F.lag("_at").over(before).alias("_prev_in"),
+        *(F.coalesce(F.sum(f"_v_{n}").over(earlier), F.lit(0.0)).alias(f"_in_{n}") for n in sums),
     )
-    per_span = rows.groupBy(key, "span").agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("at"), *(F.sum(n).alias(n) for n in sums))
-    carried = Window.partitionBy(key).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    base = per_span.select(key, "span", *(F.sum(n).over(carried).alias(f"{n}_base") for n in ("n", *sums)), F.max("at").over(carried).alias("at_base"))
-    return inside.join(base, [key, "span"]).select(
+    per_span = rows.groupBy("_key", "_span").agg(F.count(F.lit(1)).alias("_n"), F.max("_at").alias("_last"), *(F.sum(f"_v_{n}").alias(f"_v_{n}") for n in sums))
+    carried = Window.partitionBy("_key").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    base = per_span.select("_key", "_span", F.sum("_n").over(carried).alias("_n_base"), F.max("_last").over(carried).alias("_prev_base"), *(F.sum(f"_v_{n}").over(carried).alias(f"_base_{n}") for n in sums))
+    return inside.join(base, ["_key", "_span"]).select(
         "payment_id",
-        (F.col("n_in") + F.coalesce("n_base", F.lit(0))).alias("prior_n"),
-        F.coalesce("prev_in", "at_base").alias("prev_at"),
-        *((F.col(f"{n}_in") + F.coalesce(f"{n}_base", F.lit(0.0))).alias(n) for n in sums),
+        (F.col("_n_in") + F.coalesce("_n_base", F.lit(0))).alias("prior_n"),
+        F.coalesce("_prev_in", "_prev_base").alias("prev_at"),
+        *((F.col(f"_in_{n}") + F.coalesce(f"_base_{n}", F.lit(0.0))).alias(n) for n in sums),
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from coterie.operators.late_events import ReplayLedger
+from coterie.operators.late_events import CORRECTS, ON_TIME, TOO_LATE, ReplayLedger
 
 OUT = "key string, period int, n bigint, total double, running_n bigint, running_total double, revision bigint, verdict string"
 
@@ -36,8 +36,9 @@ def corrected_totals(events: DataFrame, period_days: int = 7, lateness: int = 28
 
     Rows without key, event day or known day are left out, null amounts are 0.
     Within a micro-batch a key's rows come to one task as Arrow batches; the
-    state has a few numbers per period, whatever the number of events. Cells
-    beyond the cut-off change nothing and give a row that says so.
+    state has a few numbers per period, whatever the number of events. Events
+    beyond the cut-off change nothing; a row with verdict 'too_late' tells how
+    many there were. All other rows are the new outputs of their period.
     """
 
     def update(key, batches, state: GroupState):
@@ -49,14 +50,19 @@ def corrected_totals(events: DataFrame, period_days: int = 7, lateness: int = 28
                 c[0] += int(r.size)
                 c[1] += float(r.sum)
         before = {p: list(v) for p, v in ledger.outputs.items()}
-        worst: dict[int, str] = {}
+        how: dict[int, set[str]] = {}
+        refused: dict[int, int] = {}
         for known in sorted({k for k, _ in cells}):
             batch = [(p, k, n, total) for (k, p), (n, total) in sorted(cells.items()) if k == known]
-            for (p, *_), v in zip(batch, ledger.ingest(batch), strict=True):
-                worst[p] = max(worst.get(p, ""), v)
+            for (p, _, n, _), v in zip(batch, ledger.ingest(batch), strict=True):
+                if v == TOO_LATE:
+                    refused[p] = refused.get(p, 0) + n
+                else:
+                    how.setdefault(p, set()).add(v)
         revision += 1
-        rows = [(key[0], p, *out[:4], revision, worst.get(p, "replayed")) for p, out in sorted(ledger.outputs.items()) if before.get(p) != out]
-        rows += [(key[0], p, 0, 0.0, 0, 0.0, revision, v) for p, v in sorted(worst.items()) if v == "too_late" and p not in ledger.outputs]
+        name = lambda p: CORRECTS if CORRECTS in how.get(p, ()) else ON_TIME if p in how else "replayed"
+        rows = [(key[0], p, *out[:4], revision, name(p)) for p, out in sorted(ledger.outputs.items()) if before.get(p) != out]
+        rows += [(key[0], p, n, 0.0, 0, 0.0, revision, TOO_LATE) for p, n in sorted(refused.items())]
         state.update((dump(ledger, revision),))
         yield pd.DataFrame(rows, columns=["key", "period", "n", "total", "running_n", "running_total", "revision", "verdict"])
 
