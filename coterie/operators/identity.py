@@ -111,6 +111,16 @@ def identity_edges(members: DataFrame, cfg: GraphConfig) -> DataFrame:
     return both.groupBy("as_of_day", "src", "dst").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= cfg.min_weight)
 
 
+def tie_stars(members: DataFrame) -> DataFrame:
+    """(as_of_day, src, dst): the users of each value tied to the smallest of them.
+
+    They connect the same customers as the edges, since every weight that is
+    kept reaches the floor on its own, with df - 1 rows per value.
+    """
+    first = members.groupBy("as_of_day", "link_type", "value").agg(F.min("customer_id").alias("src"))
+    return members.join(first, ["as_of_day", "link_type", "value"]).where("src <> customer_id").select("as_of_day", "src", F.col("customer_id").alias("dst"))
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Degree, weighted degree, and greatest and mean edge weight of each node; 0 for isolated ones."""
     ends = F.array(F.struct(F.col("src").alias("customer_id"), "weight"), F.struct(F.col("dst").alias("customer_id"), "weight"))

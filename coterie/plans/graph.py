@@ -38,7 +38,7 @@ _MAKE = {
     "weights": lambda s, d: identity.identifier_weights(table(s, d, "segments"), table(s, d, "nodes"), G),
     "members": lambda s, d: identity.memberships(table(s, d, "runs"), table(s, d, "segments"), table(s, d, "weights"), G),
     "edges": lambda s, d: identity.identity_edges(table(s, d, "members"), G),
-    "components": lambda s, d: components.connected_components(table(s, d, "edges")),
+    "components": lambda s, d: components.connected_components(identity.tie_stars(table(s, d, "members"))),
     "component_clusters": lambda s, d: table(s, d, "components").withColumnRenamed("component", "cluster"),
     "communities": lambda s, d: communities.communities(table(s, d, "components"), table(s, d, "edges"), G),
     "cohesion": lambda s, d: clusters.cluster_cohesion(table(s, d, "edges"), table(s, d, "component_clusters")),

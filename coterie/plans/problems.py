@@ -131,13 +131,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.each_day(named_entities(busy)).select("entity_type", "entity", "day")
 
 
-def p6_active_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trailing totals and averages of every day on which an entity has a payment in the 30 days before."""
-    days = rolling.trailing_averages(rolling.each_day(named_entities(rolling_segments(spark, sf_dir).where("n_30 > 0"))))
-    return days.select("entity_type", "entity", "day", "n_7", "total_7", "avg_7", "n_30", "total_30", "avg_30")
+def p6_entity_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per entity the peaks of its trailing totals and their means over all days, with or without payments."""
+    seg = named_entities(rolling_segments(spark, sf_dir))
+    days = (F.col("day_to") - F.col("day_from") + 1).cast("double")
+    mean = lambda w: (F.sum(F.col(f"total_{w}") * days) / DAYS / w).alias(f"mean_avg_{w}")
+    return seg.groupBy("entity_type", "entity").agg(
+        F.sum(F.when(F.col("n_30") > 0, days).otherwise(0.0)).cast("int").alias("days_with_activity_30"), F.max("n_7").alias("peak_n_7"), F.max("total_7").alias("peak_total_7"), F.max("n_30").alias("peak_n_30"), F.max("total_30").alias("peak_total_30"), mean(7), mean(30)
+    )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_window_features, p1_entity_rows, p2_found, p2_weekly, p4_found, p4_key_stats, p5_found, p6_found, p6_active_totals)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_window_features, p1_entity_rows, p2_found, p2_weekly, p4_found, p4_key_stats, p5_found, p6_found, p6_entity_totals)}
 
 # ---- the same queries in SQL ----
 
@@ -188,5 +192,5 @@ select payment_id, 'snapshot' as kind, arg_max(snapshot_id, (as_of_day, s.create
 union all
 select p.payment_id, 'known_fraud', arg_max(f.payment_id, (f.created_at, f.payment_id)) from valid p join valid f on f.customer_id = p.customer_id and f.is_fraud and f.created_at < p.created_at and f.label_available_day <= p."day" group by 1""",
     "p6_found": ENTITY_SQL + ' select entity_type, entity, "day" from totals where n_7 >= 15 and total_30 >= 100000',
-    "p6_active_totals": ENTITY_SQL + " select *, total_7 / 7 as avg_7, total_30 / 30 as avg_30 from totals",
+    "p6_entity_totals": ENTITY_SQL + f" select entity_type, entity, count(*)::int as days_with_activity_30, max(n_7) as peak_n_7, max(total_7) as peak_total_7, max(n_30) as peak_n_30, max(total_30) as peak_total_30, sum(total_7) / {DAYS} / 7 as mean_avg_7, sum(total_30) / {DAYS} / 30 as mean_avg_30 from totals group by 1, 2",
 }
