@@ -105,6 +105,67 @@ def top_per_type(scored: DataFrame, k: int = 4) -> DataFrame:
     return scored.withColumn("kind", kind).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Label of each reason group, with the features that may be quoted and how, in the order in which they are tried.
+REASONS: dict[str, tuple[str, tuple[tuple[str, str], ...]]] = {
+    "transaction_velocity": ("Payment velocity", (("vel_device_1h", "{n} attempts from this device within an hour"), ("vel_customer_24h", "{n} payments of this account within a day"), ("vel_card_24h", "{n} uses of this card within a day"))),
+    "card_fanout": ("Many cards", (("new_cards_on_device_24h", "{n} new cards on this device within a day"), ("prior_distinct_cards_device", "{n} cards seen on this device so far"), ("prior_distinct_cards_customer", "{n} cards used by this account so far"))),
+    "decline_pattern": ("Declines", (("prior_customer_failures", "{n} earlier payments of this account were declined"),)),
+    "account_tenure": ("Account age", (("account_age_days", "the account is {n} days old"), ("prior_customer_payments", "{n} earlier payments of this account"))),
+    "order_value": ("Amount", (("amount_z_vs_customer", "the amount is {n} times what this account usually pays"),)),
+    "refund_history": ("Refunds", (("prior_customer_refunds", "{n} earlier payments of this account were refunded"),)),
+    "device_sharing": ("Shared devices", (("prior_distinct_customers_device", "{n} other accounts used this device"), ("prior_distinct_devices_customer", "{n} devices used by this account"))),
+    "address_concentration": ("Shared address", (("prior_distinct_customers_address", "{n} other accounts delivered to this address"), ("vel_addr_24h", "{n} orders to this address within a day"))),
+    "context": ("Payment context", ()),
+    "cluster_addresses": ("Addresses of the cluster", (("cl_customers_per_address", "{n} accounts per address across the cluster"),)),
+    "ring_cohesion": ("Linked accounts", (("cl_customers", "a cluster of {n} linked accounts"), ("g_degree", "an identifier shared with {n} other accounts"))),
+    "cohort_synchrony": ("Accounts of one time", (("cl_signup_span", "accounts of the cluster opened within {n} days of each other"),)),
+    "cluster_card_fanout": ("Cards of the cluster", (("cl_cards_per_device", "{n} cards per device across the cluster"),)),
+    "cluster_declines": ("Declines of the cluster", (("cl_failure_rate", "cluster decline rate of {n}"),)),
+    "cluster_tempo": ("Tempo of the cluster", (("cl_payments_per_active_day", "{n} payments per active day across the cluster"),)),
+    "cluster_value": ("Amounts of the cluster", ()),
+    "cluster_issuer_spread": ("Issuers of the cluster", (("cl_distinct_issuers", "{n} card issuers across the cluster"),)),
+}
+
+
+def narrate(contributions: DataFrame, z: DataFrame, in_cluster: DataFrame, graph_groups: frozenset[str], top: int = 3, least: float = 0.01, abnormal: float = 3.0, floor: float = 0.5) -> DataFrame:
+    """(payment_id, reasons, summary, caveat, graph_driven): the groups that drive a score, in words.
+
+    Contributions under ``least`` are no reasons. Without a cluster the groups
+    of the graph are left out and a caveat says so. Of a group the first
+    feature at least ``abnormal`` scales from normal is quoted, else the most
+    deviant one from ``floor`` on, else only its label. Reasons that read the
+    same are given once. A payment has a row even if nothing is left.
+
+    ``contributions`` has payment_id, group, contribution; ``z`` payment_id,
+    feature, value, z; ``in_cluster`` payment_id, clustered (boolean).
+    """
+    spark = contributions.sparkSession
+    texts = spark.createDataFrame([(g, f, i, t) for g, (_, quotes) in REASONS.items() for i, (f, t) in enumerate(quotes)], "`group` string, feature string, place int, template string")
+    labels = spark.createDataFrame([(g, label, g in graph_groups) for g, (label, _) in REASONS.items()], "`group` string, label string, from_graph boolean")
+    # a row per reason group and quotable feature: tables of fixed size
+    quoted = z.join(F.broadcast(texts), "feature").where(F.col("z") >= floor)
+    number = F.when(F.col("value") == F.round("value"), F.format_number("value", 0)).otherwise(F.format_number("value", 2))
+    ranked = F.struct((F.col("z") < abnormal).alias("later"), F.when(F.col("z") >= abnormal, F.col("place").cast("double")).otherwise(-F.col("z")).alias("key"), F.replace("template", F.lit("{n}"), number).alias("text"))
+    best = quoted.groupBy("payment_id", "group").agg(F.min(ranked).alias("b")).select("payment_id", "group", F.col("b.text").alias("text"))
+    kept = contributions.where(F.col("contribution") >= least).join(F.broadcast(labels), "group").join(in_cluster, "payment_id").where("clustered or not from_graph").join(best, ["payment_id", "group"], "left")
+    kept = kept.withColumn("detail", F.coalesce("text", F.lower("label")))
+    order = Window.partitionBy("payment_id").orderBy(F.desc("contribution"), "group")
+    kept = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    once = Window.partitionBy("payment_id", "detail").orderBy("rank")
+    kept = kept.withColumn("n", F.row_number().over(once)).where("n = 1")
+    reason = F.struct("rank", F.col("group"), "label", F.round("contribution", 4).alias("contribution"), "detail", F.col("text").isNull().alias("generic"), "from_graph")
+    graph = F.sum(F.when(F.col("from_graph"), F.col("contribution")).otherwise(0.0))
+    per = kept.groupBy("payment_id").agg(F.array_sort(F.collect_list(reason)).alias("reasons"), (graph / F.sum("contribution") > 0.5).alias("graph_driven"))
+    out = in_cluster.join(per, "payment_id", "left")
+    said = F.filter("reasons", lambda r: ~r["generic"])
+    words = F.when(F.size(said) > 0, F.array_join(F.transform(said, lambda r: r["detail"]), "; ")).otherwise(F.array_join(F.transform("reasons", lambda r: r["detail"]), ", "))
+    return out.select(
+        "payment_id", F.coalesce("reasons", F.array().cast("array<struct<rank:int,group:string,label:string,contribution:double,detail:string,generic:boolean,from_graph:boolean>>")).alias("reasons"),
+        F.when(F.col("reasons").isNull(), "no single driver").otherwise(F.concat(F.lit("driven by "), words)).alias("summary"),
+        F.when(~F.col("clustered"), "no linked accounts were known; the score rests on the payment alone").alias("caveat"), F.coalesce("graph_driven", F.lit(False)).alias("graph_driven"),
+    )
+
+
 # ---- notes ----
 
 #: Phrases that keep a reason out of a note.

@@ -59,6 +59,19 @@ def window_nodes(payments: DataFrame, cfg: GraphConfig) -> DataFrame:
     return _runs(days, ["customer_id"], cfg).select(F.explode(F.sequence("from_day", "to_day")).alias("as_of_day"), "customer_id")
 
 
+def window_sizes(payments: DataFrame, cfg: GraphConfig) -> DataFrame:
+    """(as_of_day, n_customers): customers with a payment in the window, from the days they enter and leave.
+
+    Combined to a row per day before the running sum.
+    """
+    days = payments.where("customer_id is not null and day is not null").select("customer_id", "day").distinct()
+    ends = F.array(F.struct(F.col("from_day").alias("day"), F.lit(1).alias("d")), F.struct((F.col("to_day") + 1).alias("day"), F.lit(-1).alias("d")))
+    steps = _runs(days, ["customer_id"], cfg).select(F.inline(ends)).groupBy("day").agg(F.sum("d").alias("d"))
+    every = payments.sparkSession.range(cfg.first_as_of, cfg.last_as_of + 1).select(F.col("id").cast("int").alias("day")).join(F.broadcast(steps), "day", "left")
+    so_far = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    return every.select(F.col("day").alias("as_of_day"), F.coalesce(F.sum("d").over(so_far), F.lit(0)).alias("n_customers"))
+
+
 def cap(cfg: GraphConfig) -> Column:
     """The most users of a value, by its link type."""
     return _by_type(cfg, lambda k: min(k.max_df, cfg.max_degree))
@@ -68,18 +81,17 @@ def _by_type(cfg: GraphConfig, of) -> Column:
     return reduce(lambda out, k: out.when(F.col("link_type") == k.column, of(k)), cfg.links[1:], F.when(F.col("link_type") == cfg.links[0].column, of(cfg.links[0])))
 
 
-def identifier_weights(segments: DataFrame, nodes: DataFrame, cfg: GraphConfig) -> DataFrame:
+def identifier_weights(segments: DataFrame, sizes: DataFrame, cfg: GraphConfig) -> DataFrame:
     """(as_of_day, link_type, value, df, weight) of the values that tie: rare ones weigh more.
 
     The weight is ln(N / df) / ln(N), not below 0, times the prior of the link
     type, where N counts the day's customers; weights under the floor are
     dropped. The table of N has a row per day and is broadcast.
     """
-    n = nodes.groupBy("as_of_day").agg(F.count(F.lit(1)).alias("n_customers"))
     kept = segments.where((F.col("df") >= 2) & (F.col("df") <= cap(cfg)))
     days = kept.select("link_type", "value", "df", F.explode(F.sequence("from_day", "to_day")).alias("as_of_day"))
     idf = F.greatest(F.ln(F.col("n_customers") / F.col("df")) / F.nullif(F.ln("n_customers"), F.lit(0.0)), F.lit(0.0))
-    weighted = days.join(F.broadcast(n), "as_of_day").withColumn("weight", idf * _by_type(cfg, lambda k: F.lit(k.prior)))
+    weighted = days.join(F.broadcast(sizes), "as_of_day").withColumn("weight", idf * _by_type(cfg, lambda k: F.lit(k.prior)))
     return weighted.where(F.col("weight") >= cfg.min_weight).select("as_of_day", "link_type", "value", "df", "weight")
 
 

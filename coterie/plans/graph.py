@@ -29,13 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 
+def _asked(nodes: DataFrame, payments: DataFrame) -> DataFrame:
+    """The nodes that some payment of their own day asks for."""
+    return nodes.join(payments.selectExpr("day as as_of_day", "customer_id").distinct(), ["as_of_day", "customer_id"], "left_semi")
+
+
 G = CONFIG.graph
 _MAKE = {
     "payments": lambda s, d: payments(s, d),
     "runs": lambda s, d: identity.presence(identity.identifier_pairs(table(s, d, "payments"), G.links), G),
     "segments": lambda s, d: identity.user_segments(table(s, d, "runs"), G),
     "nodes": lambda s, d: identity.window_nodes(table(s, d, "payments"), G),
-    "weights": lambda s, d: identity.identifier_weights(table(s, d, "segments"), table(s, d, "nodes"), G),
+    "weights": lambda s, d: identity.identifier_weights(table(s, d, "segments"), identity.window_sizes(table(s, d, "payments"), G), G),
     "members": lambda s, d: identity.memberships(table(s, d, "runs"), table(s, d, "segments"), table(s, d, "weights"), G),
     "edges": lambda s, d: identity.identity_edges(table(s, d, "members"), G),
     "components": lambda s, d: components.connected_components(identity.tie_stars(table(s, d, "members"))),
@@ -46,5 +51,5 @@ _MAKE = {
     "stats": lambda s, d: clusters.cluster_stats(table(s, d, "cohesion"), table(s, d, "behaviour")),
     "votes": lambda s, d: asof.identifier_votes(table(s, d, "members"), table(s, d, "component_clusters")),
     "resolved": lambda s, d: asof.resolve(table(s, d, "payments"), table(s, d, "component_clusters"), table(s, d, "votes"), G),
-    "graph_block": lambda s, d: asof.graph_block(table(s, d, "payments"), table(s, d, "resolved"), identity.degrees(table(s, d, "nodes"), table(s, d, "edges")), table(s, d, "stats")),
+    "graph_block": lambda s, d: asof.graph_block(table(s, d, "payments"), table(s, d, "resolved"), identity.degrees(_asked(table(s, d, "nodes"), table(s, d, "payments")), table(s, d, "edges")), table(s, d, "stats")),
 }

@@ -75,3 +75,17 @@ def group_occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one row per feature comes to the driver
     reference = {r.feature: r.level if r.level is not None else r.center for r in explain.honest_reference(honest, (*TABULAR, *GRAPH), CATEGORICAL, accuracy=10_000).collect()}
     return scoring.occlude(graph, rows.where("split = 'test'"), GROUPS, reference)
+
+
+def alert_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reasons of every test payment in the graph arm, in words."""
+    rows = matrix(spark, sf_dir)
+    _, graph = arms(rows)
+    numeric = (*TABULAR, *GRAPH)
+    reference, _ = materialise(explain.honest_reference(rows.where("split = 'train' and y = 0"), numeric, CATEGORICAL, accuracy=10_000), "reference")
+    centers = {r.feature: r.level if r.level is not None else r.center for r in reference.collect()}  # a row per feature
+    test = rows.where("split = 'test'")
+    contributions, _ = materialise(scoring.occlude(graph, test, GROUPS, centers), "occlusion")
+    quotable = tuple(f for _, quotes in explain.REASONS.values() for f, _ in quotes)
+    z = explain.robust_z(test, reference, quotable)
+    return explain.narrate(contributions, z, test.select("payment_id", F.col("cluster").isNotNull().alias("clustered")), GRAPH_GROUPS)

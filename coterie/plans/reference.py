@@ -652,3 +652,10 @@ def group_occlusion(spark, sf_dir):
     from coterie.plans.models import group_occlusion as run
 
     return run(spark, sf_dir)
+
+
+@query()
+def alert_reasons(spark, sf_dir):
+    from coterie.plans.models import alert_reasons as run
+
+    return run(spark, sf_dir)

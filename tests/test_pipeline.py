@@ -69,7 +69,10 @@ def _graph(spark, data, cfg=CFG):
     p = spark.createDataFrame(data, "customer_id string, day int, card_fingerprint string, ip string")
     runs = identity.presence(identity.identifier_pairs(p, cfg.links), cfg)
     segments, nodes = identity.user_segments(runs, cfg), identity.window_nodes(p, cfg)
-    weights = identity.identifier_weights(segments, nodes, cfg)
+    sizes = identity.window_sizes(p, cfg)
+    counted = {r.as_of_day: r["count"] for r in nodes.groupBy("as_of_day").count().collect()}
+    assert {r.as_of_day: r.n_customers for r in sizes.collect() if r.n_customers} == counted
+    weights = identity.identifier_weights(segments, sizes, cfg)
     members = identity.memberships(runs, segments, weights, cfg)
     return nodes, weights, members, identity.identity_edges(members, cfg)
 
@@ -283,6 +286,22 @@ def test_each_feature_stands_in_one_reason_group():
     assert sorted(everything) == sorted([*models.TABULAR, *models.GRAPH, *contract.CATEGORICAL])
 
 
+def test_reasons_have_words_for_each_group():
+    assert set(explain.REASONS) == set(models.GROUPS)
+    assert all(f in models.GROUPS[g] for g, (_, quotes) in explain.REASONS.items() for f, _ in quotes)
+
+
+def test_narration(spark):
+    c = spark.createDataFrame([("p1", "order_value", 0.4), ("p1", "ring_cohesion", 0.5), ("p1", "card_fanout", 0.2), ("p1", "context", 0.005), ("p2", "ring_cohesion", 0.5), ("p2", "context", 0.3), ("p3", "order_value", 0.001)], "payment_id string, group string, contribution double")
+    z = spark.createDataFrame([("p1", "amount_z_vs_customer", 4.0, 9.0), ("p1", "cl_customers", 12.0, 1.0), ("p1", "g_degree", 7.0, 5.0), ("p1", "new_cards_on_device_24h", 1.0, 0.6), ("p1", "prior_distinct_cards_device", 2.5, 0.9)], "payment_id string, feature string, value double, z double")
+    known = spark.createDataFrame([("p1", True), ("p2", False), ("p3", True)], "payment_id string, clustered boolean")
+    got = {r.payment_id: r for r in explain.narrate(c, z, known, models.GRAPH_GROUPS).collect()}
+    assert [r.detail for r in got["p1"].reasons] == ["an identifier shared with 7 other accounts", "the amount is 4 times what this account usually pays", "2.50 cards seen on this device so far"]
+    assert not got["p1"].graph_driven and got["p1"].caveat is None
+    assert [r.detail for r in got["p2"].reasons] == ["payment context"] and got["p2"].reasons[0].generic and got["p2"].caveat
+    assert got["p3"].reasons == [] and got["p3"].summary == "no single driver"
+
+
 def test_forbidden_columns():
     checks.assert_allowed([*models.TABULAR, *models.GRAPH, *contract.CATEGORICAL])
     with pytest.raises(ValueError, match="is_fraud"):
