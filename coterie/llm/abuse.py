@@ -21,8 +21,8 @@ from coterie.llm.deobfuscate import Restorer, fit_model
 
 KINDS = ("abusive", "hateful", "sexual")
 
-#: Words from which a passage is scored by windows as well, and their length and distance.
-LONG, WINDOW, STEP = 14, 10, 3
+#: Length and distance of the windows by which longer passages are scored as well.
+WINDOWS = ((10, 3), (6, 2))
 #: Score from which a document is a case.
 CASE = 0.3
 
@@ -185,15 +185,15 @@ def train(docs: list[list[list[str]]], labels: list[float], rounds: int = 3, fol
 class Scorer:
     """Scores of texts: restore, cut into passages, take the worst."""
 
-    def __init__(self, counts: dict[str, int], common: set[str], model: PassageModel, remember: int = 50_000):
+    def __init__(self, counts: dict[str, int], common: dict[str, int], model: PassageModel, remember: int = 50_000):
         self.restorer, self.model, self.remember = Restorer(counts, common), model, remember
         self.known: dict[tuple[str, ...], float] = {}
 
     def passage(self, words: list[str]) -> float:
         """Score of a passage: of the whole, and of its windows where a missing full stop may have run several together."""
-        if len(words) <= LONG:
-            return self._score(words)
-        return max(self._score(words), *(self._score(words[i : i + WINDOW]) for i in range(0, len(words) - WINDOW + STEP, STEP)))
+        n = len(words)
+        parts = [words[i : i + size] for size, step in WINDOWS if n > size for i in range(0, n - size + step, step)]
+        return max(map(self._score, [words, *parts]))
 
     def _score(self, words: list[str]) -> float:
         key = tuple(words)

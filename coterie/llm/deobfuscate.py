@@ -33,6 +33,8 @@ LOOK_ALIKES = {
 MASKED = "*#•·"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
+#: How many times rarer than the whole a part of a cut word is.
+RARER = 4
 #: Costs of the channel, in natural logarithms.
 COST_LOOK_ALIKE, COST_MASK, COST_REPEAT, COST_KEEP_ODD, COST_DROP = 0.7, 3.3, 0.3, 6.0, 1.0
 
@@ -138,7 +140,7 @@ def viterbi(written: str, model: CharModel) -> str:
 class Restorer:
     """Restored passages of texts, as lists of words."""
 
-    def __init__(self, counts: dict[str, int], common: set[str], remember: int = 50_000, longest: int = 48):
+    def __init__(self, counts: dict[str, int], common: dict[str, int], remember: int = 50_000, longest: int = 48):
         self.model, self.common, self.remember, self.longest = CharModel(counts), common, remember, longest
         self.known: dict[str, str] = {}
 
@@ -154,10 +156,15 @@ class Restorer:
         return out
 
     def joined(self, a: str, b: str) -> bool:
-        """Whether two neighbours read better as one word: the space between them has the cost of a dropped character."""
-        if a in self.common and b in self.common or len(a) + len(b) > self.longest:
+        """Whether two neighbours read better as one word: the space between them has the cost of a dropped character.
+
+        The whole must be a known word, far more frequent than the rarer part
+        (cut words recur, too), and cheaper under the character model.
+        """
+        whole = self.common.get(a + b, 0)
+        if not whole or len(a) + len(b) > self.longest or RARER * min(self.common.get(a, 0), self.common.get(b, 0)) >= whole:
             return False
-        return a + b in self.common and self.model.word_cost(a + b) + COST_DROP < self.model.word_cost(a) + self.model.word_cost(b)
+        return self.model.word_cost(a + b) + COST_DROP < self.model.word_cost(a) + self.model.word_cost(b)
 
     def spelled(self, letters: str) -> list[str]:
         """Words of spaced-out letters; a one-letter word before them may have come along."""
@@ -244,8 +251,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit_model(docs: DataFrame, grams: int = 300_000, words: int = 100_000, least: int = 3) -> tuple[dict[str, int], set[str]]:
-    """The n-gram counts and the common words of all texts.
+def fit_model(docs: DataFrame, grams: int = 300_000, words: int = 100_000, least: int = 3) -> tuple[dict[str, int], dict[str, int]]:
+    """The n-gram counts and the counts of the common words of all texts.
 
     Counting covers all texts. Of the result the model keeps the ``grams``
     most frequent n-grams and ``words`` most frequent words seen ``least``
@@ -254,7 +261,7 @@ def fit_model(docs: DataFrame, grams: int = 300_000, words: int = 100_000, least
     """
     spark = docs.sparkSession
     counted, path = materialise(word_counts(docs).where(F.col("n") >= least), "words")
-    common = {r.word for r in counted.where(F.length("word") > 1).orderBy(F.desc("n"), "word").limit(words).collect()}
+    common = {r.word: r.n for r in counted.where(F.length("word") > 1).orderBy(F.desc("n"), "word").limit(words).collect()}
     marked = F.concat(F.lit("^"), "word", F.lit("$"))
     spans = F.filter(F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i, k=k: F.when(i + (k - 1) <= F.length("w"), F.substring("w", i, F.lit(k)))) for k in range(1, ORDER + 1)))), lambda g: g.isNotNull())
     each = counted.select(marked.alias("w"), "n").select(F.explode(spans).alias("gram"), "n")

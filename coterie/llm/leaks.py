@@ -12,13 +12,17 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coterie.runtime import materialise
+
 #: Masks of 8 words; each ignores other positions.
 MASKS = ("11101101", "11011011", "10110111")
 
@@ -131,7 +135,10 @@ def matches(text: str | None, items: Items, masks: tuple[str, ...], misses: int)
                 found, covered[diagonal] = _overlap(doc, seq, int(at), p, len(mask), misses)
                 if it not in best or found > best[it]:
                     best[it] = found
-    return {items.ids[it]: v for it, v in best.items()}
+    out: dict[int, tuple[int, int, int]] = {}
+    for it, v in best.items():
+        out[items.ids[it]] = max(v, out.get(items.ids[it], v))
+    return out
 
 
 def leaked_items(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, misses: int = 1, block_words: int = 2_000_000) -> DataFrame:
@@ -140,34 +147,39 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     ``longest`` is the longest run of equal words of the best overlap,
     ``overlap`` its length with substitutions and ``matched`` the equal words
     in it. Items go to the tasks in blocks of at most ``block_words`` words, one
-    pass over the corpus for each block, so what is sent is bounded and every
-    item is compared with every document. Items shorter than a mask have no
-    window and no case; null and empty texts match nothing. An item id that
-    occurs twice counts as two items of one id, of which the better is kept.
+    pass over the corpus for each block, whose result is written before the
+    next block is read. So what the driver and the tasks hold is bounded, and
+    every item is compared with every document. Items shorter than a mask have no
+    window and no case; null and empty texts match nothing. Of repeated
+    documents and of items with one id the best overlap is kept.
     """
     spark = docs.sparkSession
-    size = F.length("text")
-    rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text", size.alias("size")).orderBy("item_id", "text")
-    blocks, block, used = [], [], 0
-    for r in rows.toLocalIterator():
-        if used + r.size > block_words * 6 and block:
-            blocks.append(block)
-            block, used = [], 0
-        block.append((r.item_id, r.text))
-        used += r.size
-    blocks.append(block)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("longest", pa.int32()), ("overlap", pa.int32()), ("matched", pa.int32())])
-    out = None
-    for block in blocks:
+
+    def found_in(block: list[tuple[int, str]]) -> tuple[DataFrame, Broadcast]:
         shared = spark.sparkContext.broadcast(index_items(block, masks))
 
-        def run(batches, shared=shared):
+        def run(batches):
             items = shared.value
             for batch in batches:
                 found = [(d, i, *v) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for i, v in matches(text, items, masks, misses).items()]
                 if found:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
-        part = docs.select("doc_id", "text").mapInArrow(run, FOUND)
-        out = part if out is None else out.unionByName(part)
-    return out
+        return docs.select("doc_id", "text").mapInArrow(run, FOUND), shared
+
+    parts, block, used = [], [], 0
+    rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text", F.length("text").alias("size")).orderBy("item_id", "text")
+    for r in rows.toLocalIterator():
+        # a word has a character and a gap at least
+        if block and (used + r["size"]) // 2 > block_words:
+            part, shared = found_in(block)
+            parts.append(materialise(part, "leaks")[0])
+            shared.unpersist()
+            block, used = [], 0
+        block.append((r["item_id"], r["text"]))
+        used += r["size"]
+    parts.append(found_in(block)[0])
+    # a document or an item may come more than once, an item in several blocks
+    best = F.max(F.struct("longest", "overlap", "matched")).alias("best")
+    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")

@@ -19,12 +19,13 @@ def _counts(words):
     return dict(grams)
 
 
-R = d.Restorer(_counts(WORDS), set(WORDS) - {"a"})
+COMMON = {w: 20 for w in WORDS if len(w) > 1}
+R = d.Restorer(_counts(WORDS), COMMON | {"halfw": 2})
 
 
 @pytest.mark.parametrize(
     ("written", "word"),
-    [("h@lfw1t", "halfwit"), ("s c u m b a g", "scumbag"), ("s.c.u.m.b.a.g", "scumbag"), ("d-i-s-g-u-s-t-i-n-g", "disgusting"), ("pathet\nic", "pathetic"), ("veeermin", "vermin"), ("h*rny", "horny"), ("ST​UP­ID", "stupid"), ("m0r0n", "moron"), ("ｉｄｉｏｔ", "idiot"), ("ídíót", "idiot"), ("wor-thless", "worthless"), ("idiоt", "idiot")],
+    [("h@lfw1t", "halfwit"), ("halfw it", "halfwit"), ("s c u m b a g", "scumbag"), ("s.c.u.m.b.a.g", "scumbag"), ("d-i-s-g-u-s-t-i-n-g", "disgusting"), ("pathet\nic", "pathetic"), ("veeermin", "vermin"), ("h*rny", "horny"), ("ST​UP­ID", "stupid"), ("m0r0n", "moron"), ("ｉｄｉｏｔ", "idiot"), ("ídíót", "idiot"), ("wor-thless", "worthless"), ("idiоt", "idiot")],
 )
 def test_disguised_words_are_restored(written, word):
     assert word in R.passages(f"the courier {written} was late.")[0]
@@ -56,7 +57,7 @@ def test_training_finds_the_passage_behind_the_label():
     model = abuse.train(docs, labels)
     assert all(model.score(p.split()) < abuse.CASE for p in plain)
     assert all(model.score(p.split()) > abuse.CASE for p in bad)
-    scorer = abuse.Scorer(_counts(WORDS), set(WORDS), model)
+    scorer = abuse.Scorer(_counts(WORDS), COMMON, model)
     assert scorer.text("Refund issued today. You are a stup1d id*ot.") > abuse.CASE > scorer.text("Refund issued today.")
     assert scorer.text(None) == scorer.text("") == 0.0
 

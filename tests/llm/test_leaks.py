@@ -39,7 +39,7 @@ def test_every_run_of_eight_equal_words_is_found(spark, seed):
     docs += [(60, None, "x"), (61, "", "x"), docs[0]]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, item_id string")
     bench = spark.createDataFrame([(*i, 0) for i in items], "item_id bigint, text string, doc_id int")
-    want = sorted((d, i) for d, t, _ in docs for i, s in items if i is not None and t and s and _longest(leaks.words(t), leaks.words(s)) >= 8)
+    want = sorted({(d, i) for d, t, _ in docs for i, s in items if i is not None and t and s and _longest(leaks.words(t), leaks.words(s)) >= 8})
     for block in (2_000_000, 3):  # all items at once, and one pass per item
         got = leaks.leaked_items(df, bench, block_words=block).where("longest >= 8")
         assert sorted((r.doc_id, r.item_id) for r in got.collect()) == want
