@@ -119,8 +119,9 @@ def train(docs: list[list[list[str]]], labels: list[float], rounds: int = 3, fol
     In each round every document is judged by a model of the other folds: of a
     positive document the passages found bad are the positive ones, and a
     document whose label the others contradict is left out as a rater's
-    mistake. Without documents of both classes the model scores everything
-    near 0.
+    mistake. Without documents of both classes, or with so few positive ones
+    that no fold confirms a passage of another, the model scores everything
+    near 0: nothing is accused on the word of a single label.
     """
     share = np.array(labels, float)
     positive = share > 0.5
@@ -177,7 +178,8 @@ def train(docs: list[list[list[str]]], labels: list[float], rounds: int = 3, fol
         by_fold, bar = fresh, fresh_bar
     pos, neg = weigh(everyone, False)
     if not pos.any() or not neg.any():
-        pos, neg = weigh(everyone, True)
+        # too few positive documents for one fold to confirm a passage of another
+        return PassageModel({}, -6.0)
     w, b = _model(sets, pos, neg, prior, 2 * steps, l2)
     return PassageModel({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}, float(b))
 
@@ -220,7 +222,7 @@ def labelled_documents(labels: DataFrame, most: int) -> DataFrame:
     return share.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 8_000) -> Scorer:
     """Language model from all texts, classifier from at most ``most`` labelled documents."""
     counts, common = fit_model(docs)
     sample = docs.select("doc_id", "text").join(labelled_documents(labels, most), "doc_id").orderBy("doc_id")
