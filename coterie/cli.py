@@ -14,8 +14,10 @@ REPORTS = ("corpus_summary", "link_coverage", "headline", "recall_at_precision",
 def run(spark: SparkSession, command: str, data: str, out: str, source: str = "payments") -> int:
     """Run one command; returns the exit code. ``verify`` and ``narrative`` fail if a check does."""
     from coterie.plans import models, reference, studies
+    from coterie.runtime import ship
     from coterie.sources import adapters, files
 
+    ship(spark)
     q = lambda name: reference.QUERIES[name](spark, data)
     if command == "all":
         return max(run(spark, s, data, out, source) for s in STEPS)

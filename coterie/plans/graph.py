@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from coterie.config import Config
 from coterie.operators import asof, clusters, communities, components, identity
-from coterie.runtime import materialise
+from coterie.runtime import exists, materialise
 from coterie.sources.contract import payments
 
 CONFIG = Config()
-_KEPT: dict[tuple, DataFrame] = {}
+_KEPT: dict[tuple, tuple[DataFrame, str]] = {}
 
 
 def _state(spark: SparkSession, sf_dir: str) -> str:
@@ -21,11 +21,11 @@ def _state(spark: SparkSession, sf_dir: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A graph table, computed on first use in this session."""
+    """A graph table, computed on first use in this session, and again if its files are gone."""
     key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir), name)
-    if key not in _KEPT:
-        _KEPT[key] = materialise(_MAKE[name](spark, sf_dir), name)[0]
-    return _KEPT[key]
+    if key not in _KEPT or not exists(spark, _KEPT[key][1]):
+        _KEPT[key] = materialise(_MAKE[name](spark, sf_dir), name)
+    return _KEPT[key][0]
 
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import io
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +31,33 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0]}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package's source to the executors, once per application.
+
+    Their Python workers then need neither an installation nor a path. The
+    archive lies in the shared folder.
+    """
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.abspath(__file__))
+    if sc.applicationId in _SHIPPED or not os.path.isdir(root):
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    where = spark._jvm.org.apache.hadoop.fs.Path(work_path(spark, "source") + "/coterie.zip")
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(str(where))
+    _SHIPPED.add(sc.applicationId)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/coterie/{name}-{uuid.uuid4().hex[:12]}"
@@ -50,6 +80,12 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> tuple[Data
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Remove written tables."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

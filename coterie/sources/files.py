@@ -4,19 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from coterie.runtime import exists
+
 #: File names of a CSV source, in the order in which they are looked for.
 VARIANTS = ("{stem}.csv", "{stem}_slim.csv", "{stem}.csv.gz", "{stem}_slim.csv.gz", "{stem}.csv/{stem}.csv")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def read_named(spark: SparkSession, base: str, name: str, make: str = "data") -> DataFrame:
     """A table written by ``write_named``; the error names the step that makes it."""
     path = f"{base}/{name}"
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(f"{path} is not there; run the step '{make}' first")
     return spark.read.parquet(path)
 
@@ -57,7 +54,7 @@ def write_markdown(df: DataFrame, base: str, name: str) -> str:
 
 def csv_variant(spark: SparkSession, base: str, stem: str) -> str | None:
     """The first file variant of a CSV source that is there."""
-    return next((p for v in VARIANTS if _exists(spark, p := f"{base}/{v.format(stem=stem)}")), None)
+    return next((p for v in VARIANTS if exists(spark, p := f"{base}/{v.format(stem=stem)}")), None)
 
 
 def read_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:

@@ -108,6 +108,25 @@ def test_views_show_no_raw_identifier(spark):
     assert views.alert_detail(spark, DATA, "unknown").count() == 0
 
 
+def test_graph_tables_come_back_when_their_files_are_gone(spark):
+    from coterie.plans import graph
+    from coterie.runtime import discard
+
+    before = rows(graph.table(spark, DATA, "weights"))
+    for kept in [v for k, v in graph._KEPT.items() if k[-1] in ("weights", "segments")]:
+        discard(spark, kept[1])
+    assert rows(graph.table(spark, DATA, "weights")) == before
+
+
+def test_source_is_shipped_once(spark):
+    from coterie.runtime import ship
+
+    ship(spark)
+    n = len(spark.sparkContext._python_includes)
+    ship(spark)
+    assert "coterie.zip" in spark.sparkContext._python_includes and len(spark.sparkContext._python_includes) == n
+
+
 def test_stream_gives_the_batch_result(spark, tmp_path):
     schema = "key string, event_day int, known_day int, amount double"
     data = [("a", 3, 3, 5.0), ("a", 20, 21, 1.0), ("a", 4, 22, 2.0), ("b", 1, 2, None), ("a", 2, 60, 9.0), (None, 1, 1, 1.0), ("a", 15, 23, 4.0)]
