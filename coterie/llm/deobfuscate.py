@@ -42,9 +42,10 @@ _ACCENT = regex.compile(r"[̀-ͯ]+")
 _INVISIBLE = regex.compile(r"[\p{Cf}︀-️]+")
 _L = r"[\p{L}\p{M}]"
 _ODD = regex.escape("@$!|+€£(<¡¢&*#•·", special_only=False)
-#: a spaced-out word, or a string of letters, digits and odd characters, or the end of a passage; all in linear time
+#: a spaced-out word, or a string of letters, digits and odd characters, or the end of a passage; all in linear time;
+#: stars in a row are masks of a string and space nothing out
 _TOKEN = regex.compile(
-    r"(?P<spaced>(?<![\p{L}\p{M}\p{N}])[\p{L}@$*0134578]\p{M}*+([ .\-_*/|~])(?:[\p{L}@$*0134578]\p{M}*+\2)+[\p{L}@$*0134578]\p{M}*+(?![\p{L}\p{N}]))"
+    r"(?P<spaced>(?<![\p{L}\p{M}\p{N}])(?:[\p{L}@$0134578]|\*(?!\*))\p{M}*+([ .\-_*/|~])(?:(?:[\p{L}@$0134578]|\*(?!\*))\p{M}*+\2)+(?:[\p{L}@$0134578]|\*(?!\*))\p{M}*+(?!\**+[\p{L}\p{N}]))"
     rf"|(?P<string>[\p{{L}}\p{{M}}\p{{N}}{_ODD}'’\-._]++)"
     r"|(?P<end>[?।;…\x1e]+)"
 )
@@ -120,10 +121,28 @@ def lattice(written: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def viterbi(written: str, model: CharModel) -> str:
-    """The cheapest reading of a written word. Ties go to the reading that sorts first."""
+def viterbi(written: str, model: CharModel, beam: int = 64) -> str:
+    """The cheapest reading of a written word. Ties go to the reading that sorts first.
+
+    With several masks there are very many states. A first pass over the
+    ``beam`` best ones finds some reading; in the second pass states go that
+    cannot get below its cost, which changes no result.
+    """
+    steps = lattice(written)
+    left = [0.0]
+    for options in reversed(steps):
+        left.append(left[-1] + min(extra for _, extra in options))
+    left = left[-2::-1]
+    limit = math.inf
+    if sum(c in MASKED for c in written) > 1:
+        limit = _cheapest(steps, left, model, math.inf, beam)[0] + 1e-9
+    return _cheapest(steps, left, model, limit, None)[1]
+
+
+def _cheapest(steps: list[list[tuple[str, float]]], left: list[float], model: CharModel, limit: float, beam: int | None) -> tuple[float, str]:
+    """Cost and text of the best path that costs no more than ``limit``; ``left`` is the least cost after each step."""
     states: dict[str, tuple[float, str]] = {"^": (0.0, "")}
-    for options in lattice(written):
+    for options, rest in zip(steps, left, strict=True):
         nxt: dict[str, tuple[float, str]] = {}
         for context, (cost, text) in states.items():
             for letter, extra in options:
@@ -131,10 +150,15 @@ def viterbi(written: str, model: CharModel) -> str:
                     into, entry = (context + letter)[-(ORDER - 1) :], (cost + extra + model.cost(context, letter), text + letter)
                 else:
                     into, entry = context, (cost + extra, text)
-                if into not in nxt or entry < nxt[into]:
+                if entry[0] + rest <= limit and (into not in nxt or entry < nxt[into]):
                     nxt[into] = entry
-        states = nxt
-    return min((cost + model.cost(context, "$"), text) for context, (cost, text) in states.items())[1]
+        states = nxt if beam is None else dict(sorted(nxt.items(), key=lambda x: x[1])[:beam])
+    return min((cost + model.cost(context, "$"), text) for context, (cost, text) in states.items())
+
+
+def _hidden(c: str) -> bool:
+    """Whether a written character that is no letter may stand for one."""
+    return c in MASKED or (c in LOOK_ALIKES and not c.isalpha())
 
 
 class Restorer:
@@ -143,13 +167,31 @@ class Restorer:
     def __init__(self, counts: dict[str, int], common: dict[str, int], remember: int = 50_000, longest: int = 48):
         self.model, self.common, self.remember, self.longest = CharModel(counts), common, remember, longest
         self.known: dict[str, str] = {}
+        self.alike: dict[tuple[int, str], list[str]] = {}
+        for w in common:
+            self.alike.setdefault((len(w), w[0]), []).append(w)
+
+    def same_length(self, written: str) -> str | None:
+        """The likeliest common word that has a letter for each written character, if some are masks or look-alikes."""
+        if len(written) > self.longest or not any(_hidden(c) for c in written):
+            return None
+        options = [LETTERS if c in MASKED else LOOK_ALIKES.get(c, "") + (c if c.isalpha() else "") for c in written]
+        if not all(options):
+            return None
+        fits = regex.compile("".join(f"[{o}]" for o in options)).fullmatch
+        found = [w for first in options[0] for w in self.alike.get((len(written), first), ()) if fits(w)]
+        return min(found, key=lambda w: (self.model.word_cost(w), w), default=None)
 
     def word(self, written: str) -> str:
         out = self.known.get(written)
+        if out is None:
+            out = self.same_length(written)
         if out is None:
             # a disguised word is short; longer strings are numbers, addresses or noise and are read in parts
             parts = [written[i : i + self.longest] for i in range(0, len(written), self.longest)]
-            out = "".join(viterbi(p, self.model) for p in parts)
+            each = {p: viterbi(p, self.model) for p in set(parts)}
+            out = "".join(each[p] for p in parts)
+        if written not in self.known:
             if len(self.known) >= self.remember:
                 self.known.clear()
             self.known[written] = out
@@ -173,13 +215,22 @@ class Restorer:
             return [letters[0], rest]
         return [whole]
 
+    def signs(self, string: str) -> list[str]:
+        """A common word written without any letter. Numbers, prices and mere punctuation or masks are none."""
+        if sum(c in LOOK_ALIKES and not c.isdigit() for c in string) < 2 or len(set(string)) < 2:
+            return []
+        word = self.word(string)
+        return [word] if len(word) > 1 and word in self.common else []
+
     def read(self, string: str) -> list[str]:
         """Words of a string without white space inside."""
         if _PLAIN.fullmatch(string):
             mixed = not string.isascii() and _MIXED.search(string)
             return [self.word(string) if mixed or _REPEAT.search(string) else string]
-        letters = len(_LETTER.findall(string))
-        if letters < 2 or letters * 3 < len(string):
+        letters, hidden = len(_LETTER.findall(string)), sum(map(_hidden, string))
+        if not letters:
+            return self.signs(string)
+        if letters + hidden < 2 or (letters + hidden) * 3 < len(string):
             return []
         parts = [p for p in _APART.split(string) if p]
         if all(_PLAIN.fullmatch(p) for p in parts):
@@ -199,8 +250,9 @@ class Restorer:
             if kind == "end":
                 words, ends = [], True
             elif kind == "spaced":
-                letters = len(_LETTER.findall(s))
-                words, ends = (self.spelled(regex.sub(r"[ .\-_/|~]", "", s)) if letters > 2 else []), False
+                run = regex.sub(r"[ .\-_/|~]", "", s)
+                letters, hidden = len(_LETTER.findall(run)), sum(map(_hidden, run))
+                words, ends = (self.signs(run) if not letters else self.spelled(run) if letters + hidden > 2 else []), False
             else:
                 core = s.rstrip(".!-_'’")
                 ends = len(core) < len(s) and s[-1] in ".!"

@@ -31,6 +31,26 @@ def test_disguised_words_are_restored(written, word):
     assert word in R.passages(f"the courier {written} was late.")[0]
 
 
+@pytest.mark.parametrize(
+    ("written", "word"),
+    [("p******c", "pathetic"), ("w*******s", "worthless"), ("v****n", "vermin"), ("5cu#*@*", "scumbag"), ("m0*0*", "moron"), ("$7u*1d", "stupid"), ("v * * m i n", "vermin"), ("h * * * y", "horny"), ("1d10+", "idiot"), ("1|3@5", "ileas")],
+)
+def test_words_with_few_plain_letters_are_restored(written, word):
+    model = d.Restorer(_counts([*WORDS, "ileas"]), COMMON | {"ileas": 20})
+    assert word in model.passages(f"the courier {written} was late.")[0]
+
+
+def test_numbers_prices_and_signs_are_no_words():
+    assert R.passages("$17 £1,200.50 +44 20 *** !!! $$$ #1 7*4 100% 2 * 3 * 4") == []
+
+
+def test_bounded_decoding_equals_all_paths():
+    model = d.CharModel(_counts(WORDS))
+    for written in ("s**d", "p***t", "**rm*n", "x**q", "h*r**"):
+        steps = d.lattice(written)
+        assert d.viterbi(written, model, 2) == d._cheapest(steps, [0.0] * len(steps), model, float("inf"), None)[1]
+
+
 def test_plain_words_stay():
     assert R.passages("The parcel arrived late. Refund issued, today!\nPlease send") == [["the", "parcel", "arrived", "late"], ["refund", "issued", "today"], ["please", "send"]]
     assert R.passages(None) == R.passages("") == R.passages(" \n​") == R.passages("12 345 -- 6.7") == []
