@@ -13,7 +13,7 @@ REPORTS = ("corpus_summary", "link_coverage", "headline", "recall_at_precision",
 
 def run(spark: SparkSession, command: str, data: str, out: str, source: str = "payments") -> int:
     """Run one command; returns the exit code. ``verify`` and ``narrative`` fail if a check does."""
-    from coterie.plans import models, reference, studies
+    from coterie.plans import graph, models, reference, studies
     from coterie.runtime import ship
     from coterie.sources import adapters, files
 
@@ -33,7 +33,7 @@ def run(spark: SparkSession, command: str, data: str, out: str, source: str = "p
         files.write_named(rows.select("payment_id", "split", "y", "score_base", "score_graph"), out, "scores", by=None)
     elif command == "evaluate":
         for name in REPORTS:
-            files.write_report(q(name), out, name)
+            files.write_report(reference.cluster_size_buckets(spark, data, graph.COMMUNITIES) if name == "cluster_size_buckets" else q(name), out, name)
         files.write_markdown(q("ablation"), out, "ablation_md")
     elif command == "explain":
         files.write_report(q("evidence_packets"), out, "evidence", "json")

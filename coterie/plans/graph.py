@@ -46,10 +46,22 @@ _MAKE = {
     "components": lambda s, d: components.connected_components(identity.tie_stars(table(s, d, "members"))),
     "component_clusters": lambda s, d: table(s, d, "components").withColumnRenamed("component", "cluster"),
     "communities": lambda s, d: communities.communities(table(s, d, "components"), table(s, d, "edges"), G),
-    "cohesion": lambda s, d: clusters.cluster_cohesion(table(s, d, "edges"), table(s, d, "component_clusters")),
-    "behaviour": lambda s, d: clusters.cluster_behaviour(table(s, d, "payments"), table(s, d, "component_clusters"), G),
-    "stats": lambda s, d: clusters.cluster_stats(table(s, d, "cohesion"), table(s, d, "behaviour")),
-    "votes": lambda s, d: asof.identifier_votes(table(s, d, "members"), table(s, d, "component_clusters")),
-    "resolved": lambda s, d: asof.resolve(table(s, d, "payments"), table(s, d, "component_clusters"), table(s, d, "votes"), G),
-    "graph_block": lambda s, d: asof.graph_block(table(s, d, "payments"), table(s, d, "resolved"), identity.degrees(_asked(table(s, d, "nodes"), table(s, d, "payments")), table(s, d, "edges")), table(s, d, "stats")),
 }
+
+
+def _of(clusters_of: str, prefix: str) -> dict:
+    """Everything that is built from a table of clusters, under names with the prefix."""
+    t = lambda s, d, name: table(s, d, prefix + name)
+    return {
+        f"{prefix}cohesion": lambda s, d: clusters.cluster_cohesion(table(s, d, "edges"), table(s, d, clusters_of)),
+        f"{prefix}behaviour": lambda s, d: clusters.cluster_behaviour(table(s, d, "payments"), table(s, d, clusters_of), G),
+        f"{prefix}stats": lambda s, d: clusters.cluster_stats(t(s, d, "cohesion"), t(s, d, "behaviour")),
+        f"{prefix}votes": lambda s, d: asof.identifier_votes(table(s, d, "members"), table(s, d, clusters_of)),
+        f"{prefix}resolved": lambda s, d: asof.resolve(table(s, d, "payments"), table(s, d, clusters_of), t(s, d, "votes"), G),
+    }
+
+
+#: the pipeline's clusters are the communities; whole components stand only in the queries that SQL checks
+COMPONENTS, COMMUNITIES = "component_", ""
+_MAKE |= _of("component_clusters", COMPONENTS) | _of("communities", COMMUNITIES)
+_MAKE["graph_block"] = lambda s, d: asof.graph_block(table(s, d, "payments"), table(s, d, "resolved"), identity.degrees(_asked(table(s, d, "nodes"), table(s, d, "payments")), table(s, d, "edges")), table(s, d, "stats"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from coterie.config import LINKS, Config
 from coterie.operators import checks, evaluation, explain, identity, pointintime
-from coterie.plans.graph import table
+from coterie.plans.graph import COMMUNITIES, COMPONENTS, table
 from coterie.plans.problems import VALID, sql_code, sql_identifier
 from coterie.functions.clean import PREFIX
 from coterie.sources.contract import CATEGORICAL, label_day, payments, split_of
@@ -317,7 +317,7 @@ _COHESION = ("mean_edge_weight", "max_edge_weight", "total_weight", "density")
 
 @query(R(STATS, True) + f" select as_of_day, cluster, edges, size, {_r(*_COHESION)} from cohesion")
 def cluster_cohesion(spark, sf_dir):
-    return rounded(table(spark, sf_dir, "cohesion"), *_COHESION)
+    return rounded(table(spark, sf_dir, "component_cohesion"), *_COHESION)
 
 
 _BEHAVIOUR = "cl_failure_rate cl_amount_mean cl_amount_median cl_amount_cv cl_account_age_mean cl_new_account_share cl_signup_std cl_first_seen_std cl_cards_per_device cl_customers_per_address cl_payments_per_active_day cl_burstiness cl_signup_synchrony cl_first_seen_synchrony cl_signup_span_per_customer cl_issuers_per_customer".split()
@@ -325,7 +325,7 @@ _BEHAVIOUR = "cl_failure_rate cl_amount_mean cl_amount_median cl_amount_cv cl_ac
 
 @query(R(STATS, True) + " select * replace (" + ", ".join(f"round({c}, 6) as {c}" for c in _BEHAVIOUR) + ") from behaviour")
 def cluster_behaviour(spark, sf_dir):
-    return rounded(table(spark, sf_dir, "behaviour"), *_BEHAVIOUR)
+    return rounded(table(spark, sf_dir, "component_behaviour"), *_BEHAVIOUR)
 
 
 _SIGNALS = [f"clsig_{n}" for n in ("cohesion", "scale", "card_fanout", "decline", "fresh", "address_concentration", "burst", "cohort_synchrony", "new_accounts")]
@@ -333,22 +333,22 @@ _SIGNALS = [f"clsig_{n}" for n in ("cohesion", "scale", "card_fanout", "decline"
 
 @query(R(RISK, True) + f" select as_of_day, cluster, {_r(*_SIGNALS, 'cl_ring_risk')} from risk")
 def cluster_risk(spark, sf_dir):
-    return rounded(table(spark, sf_dir, "stats").select("as_of_day", "cluster", *_SIGNALS, "cl_ring_risk"), *_SIGNALS, "cl_ring_risk")
+    return rounded(table(spark, sf_dir, "component_stats").select("as_of_day", "cluster", *_SIGNALS, "cl_ring_risk"), *_SIGNALS, "cl_ring_risk")
 
 
 @query(R(VOTES, True) + " select * from votes")
 def identifier_cluster_vote(spark, sf_dir):
-    return table(spark, sf_dir, "votes")
+    return table(spark, sf_dir, "component_votes")
 
 
 @query(R(RESOLVED, True) + " select * from resolved")
 def asof_cluster_resolution(spark, sf_dir):
-    return table(spark, sf_dir, "resolved")
+    return table(spark, sf_dir, "component_resolved")
 
 
 @query(R(RESOLVED, True) + " select split, g_match, count(*) as payments from resolved join conf using (payment_id) group by 1, 2")
 def resolution_coverage(spark, sf_dir):
-    r = table(spark, sf_dir, "resolved").withColumn("split", split_of(F.col("as_of_day")))
+    r = table(spark, sf_dir, "component_resolved").withColumn("split", split_of(F.col("as_of_day")))
     return r.groupBy("split", "g_match").agg(F.count(F.lit(1)).alias("payments"))
 
 
@@ -476,17 +476,17 @@ def cost_sensitivity(spark, sf_dir):
     return evaluation.cost_sensitivity(scored(spark, sf_dir))
 
 
-def _clustered(spark, sf_dir):
+def _clustered(spark, sf_dir, of=COMPONENTS):
     """Test payments with their resolved cluster and its statistics."""
     p = payments(spark, sf_dir, "customer_id", "day", "amount", "is_fraud").withColumn("y", F.col("is_fraud").cast("int")).where(split_of(F.col("day")) == "test")
-    stats = table(spark, sf_dir, "stats").select("as_of_day", "cluster", "cl_customers", "cl_ring_risk")
-    return p.join(table(spark, sf_dir, "resolved"), "payment_id").join(stats, ["as_of_day", "cluster"], "left")
+    stats = table(spark, sf_dir, f"{of}stats").select("as_of_day", "cluster", "cl_customers", "cl_ring_risk")
+    return p.join(table(spark, sf_dir, f"{of}resolved"), "payment_id").join(stats, ["as_of_day", "cluster"], "left")
 
 
 @query(R(RESOLVED + ", sizes_of as (select as_of_day, cluster, count(*) as cl_customers from clusters group by all)", True) + """ select bucket, count(*) as payments, sum(y)::bigint as fraud, round(avg(y), 6) as base_rate from (select is_fraud::int as y, case when coalesce(cl_customers, 0) <= 0 then 'no cluster' when cl_customers <= 4 then '2-4 accounts' when cl_customers <= 19 then '5-19 accounts' when cl_customers <= 99 then '20-99 accounts' else '100+ accounts' end as bucket
  from conf join resolved using (payment_id) left join sizes_of using (as_of_day, cluster) where split = 'test') group by 1""")
-def cluster_size_buckets(spark, sf_dir):
-    return _clustered(spark, sf_dir).groupBy(evaluation.size_bucket(F.col("cl_customers")).alias("bucket")).agg(F.count(F.lit(1)).alias("payments"), F.sum("y").cast("bigint").alias("fraud"), F.round(F.avg("y"), 6).alias("base_rate"))
+def cluster_size_buckets(spark, sf_dir, of=COMPONENTS):
+    return _clustered(spark, sf_dir, of).groupBy(evaluation.size_bucket(F.col("cl_customers")).alias("bucket")).agg(F.count(F.lit(1)).alias("payments"), F.sum("y").cast("bigint").alias("fraud"), F.round(F.avg("y"), 6).alias("base_rate"))
 
 
 @query(R(RESOLVED, True) + """, per as (select as_of_day, cluster, count(*) as n, sum(is_fraud::int) as f from conf join resolved using (payment_id) where split = 'test' and cluster is not null group by all)
@@ -497,7 +497,7 @@ def fraud_concentration(spark, sf_dir):
 
 @query()
 def permutation_test(spark, sf_dir):
-    return evaluation.permutation_test(_clustered(spark, sf_dir))
+    return evaluation.permutation_test(_clustered(spark, sf_dir, COMMUNITIES))
 
 
 @query()
@@ -542,10 +542,10 @@ def robust_z(spark, sf_dir):
 # ---- views ----
 
 
-def _alerts(spark, sf_dir):
+def _alerts(spark, sf_dir, of=COMPONENTS):
     wide = scored(spark, sf_dir).groupBy("payment_id").pivot("arm", ["base", "graph"]).agg(F.first("score"))
     p = payments(spark, sf_dir, "day", "amount", "is_fraud", "ring_type", "account_age_days")
-    r = table(spark, sf_dir, "resolved").select("payment_id", "cluster", F.col("cluster").isNotNull().cast("int").alias("g_in_cluster"))
+    r = table(spark, sf_dir, f"{of}resolved").select("payment_id", "cluster", F.col("cluster").isNotNull().cast("int").alias("g_in_cluster"))
     rows = wide.join(p, "payment_id").join(r, "payment_id")
     return rows.select(
         "payment_id", F.col("graph").alias("score"), F.col("base").alias("baseline_score"), F.round(F.col("amount") / 100, 2).alias("amount_major"), F.round(F.col("graph") * F.col("amount") / 100, 2).alias("exposure"),
@@ -573,8 +573,8 @@ def _top(where: str, k: int) -> str:
 
 
 @query(R(RESOLVED + _SCORED_ONLY + _ALERTS_SQL, True) + " select * from alerts where payment_id in (" + " union ".join([_top("true", 200), *(_top(f"ring_type = '{t}'", 60) for t in ("card_testing", "refund_abuse", "bust_out")), _top("y = 0", 60), _top("g_in_cluster > 0", 80)]) + ")")
-def alert_queue(spark, sf_dir):
-    return explain.alert_queue(_alerts(spark, sf_dir))
+def alert_queue(spark, sf_dir, of=COMPONENTS):
+    return explain.alert_queue(_alerts(spark, sf_dir, of))
 
 
 @query(R(SCORED) + """ select arm, kind, payment_id, score, rank from (select arm, payment_id, score, kind, (row_number() over (partition by arm, kind order by score desc, payment_id))::int as rank from (select *, case when y = 0 then 'honest' when coalesce(ring_type, 'none') = 'none' then 'fraud' else ring_type end as kind from test)) where rank <= 4 and arm = 'graph'""")
@@ -590,8 +590,8 @@ def whatif(spark, sf_dir):
 
 @query(R(RISK + RESOLVED[len(CLUSTERS) :] + _SCORED_ONLY, True) + """ select as_of_day, cluster, count(*) as payments, count(distinct customer_id) as accounts, sum(amount) / 100 as amount_major, round(avg(score), 6) as mean_score, max(score) as max_score, count_if(is_fraud) as flagged_fraud, round(max(cl_ring_risk), 6) as ring_risk, min("day") as first_day, max("day") as last_day, round(sum(amount) / 100 * avg(score), 4) as exposure
  from test join resolved using (payment_id) left join risk using (as_of_day, cluster) where arm = 'graph' and cluster is not null group by 1, 2 order by exposure desc, as_of_day, cluster limit 25""")
-def ring_leaderboard(spark, sf_dir):
-    rows = scored(spark, sf_dir).where("arm = 'graph'").select("payment_id", "score").join(_clustered(spark, sf_dir), "payment_id").where("cluster is not null")
+def ring_leaderboard(spark, sf_dir, of=COMPONENTS):
+    rows = scored(spark, sf_dir).where("arm = 'graph'").select("payment_id", "score").join(_clustered(spark, sf_dir, of), "payment_id").where("cluster is not null")
     per = rows.groupBy("as_of_day", "cluster").agg(
         F.count(F.lit(1)).alias("payments"), F.count_distinct("customer_id").alias("accounts"), (F.sum("amount") / 100).alias("amount_major"), F.round(F.avg("score"), 6).alias("mean_score"), F.max("score").alias("max_score"), F.count_if("is_fraud").alias("flagged_fraud"),
         F.round(F.max("cl_ring_risk"), 6).alias("ring_risk"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.round(F.sum("amount") / 100 * F.avg("score"), 4).alias("exposure"),
@@ -600,19 +600,19 @@ def ring_leaderboard(spark, sf_dir):
 
 
 @query(R(CLUSTERS, True) + f""" select as_of_day, cluster, p.customer_id, count(*) as payments, coalesce(sum(amount), 0) / 100 as amount_major, max(account_age_days) as account_age_days, min("day") as first_day, count_if(status = 'failed') as declines from conf p join clusters c on c.customer_id = p.customer_id and p."day" >= c.as_of_day - {G.window_days} and p."day" < c.as_of_day group by 1, 2, 3""")
-def evidence_members(spark, sf_dir):
-    return explain.evidence_members(table(spark, sf_dir, "payments"), table(spark, sf_dir, "component_clusters"), G.window_days)
+def evidence_members(spark, sf_dir, of=COMPONENTS):
+    return explain.evidence_members(table(spark, sf_dir, "payments"), table(spark, sf_dir, "component_clusters" if of == COMPONENTS else "communities"), G.window_days)
 
 
 @query(R(CLUSTERS, True) + """ select as_of_day, cluster, link_type, value, count(*) as accounts, round(coalesce(any_value(weight), 0), 6) as weight, any_value(weight) is null as pruned from win join clusters using (as_of_day, customer_id) left join weights using (as_of_day, link_type, value) group by 1, 2, 3, 4 having count(*) >= 2""")
-def evidence_identifiers(spark, sf_dir):
-    return rounded(explain.evidence_identifiers(table(spark, sf_dir, "runs"), table(spark, sf_dir, "component_clusters"), table(spark, sf_dir, "weights")), "weight")
+def evidence_identifiers(spark, sf_dir, of=COMPONENTS):
+    return rounded(explain.evidence_identifiers(table(spark, sf_dir, "runs"), table(spark, sf_dir, "component_clusters" if of == COMPONENTS else "communities"), table(spark, sf_dir, "weights")), "weight")
 
 
 @query()
 def evidence_packets(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
-    return explain.evidence_packets(t("resolved"), evidence_members(spark, sf_dir), evidence_identifiers(spark, sf_dir), t("edges"), t("component_clusters"))
+    return explain.evidence_packets(t("resolved"), evidence_members(spark, sf_dir, COMMUNITIES), evidence_identifiers(spark, sf_dir, COMMUNITIES), t("edges"), t("communities"))
 
 
 @query(R(PAIRS) + " select distinct link_type, value, case when length(value) <= 7 then value[1:3] || '…' else value[1:3] || '…' || right(value, 3) end as masked from pairs")

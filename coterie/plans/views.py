@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coterie.plans import reference
+from coterie.plans.graph import COMMUNITIES
 
 RING_TYPES = ("card_testing", "refund_abuse", "bust_out")
 MOST_ALERTS, MOST_RINGS = 400, 100
@@ -22,7 +23,7 @@ def summary(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def alerts(spark: SparkSession, sf_dir: str, verdict: str = "", limit: int = 50) -> DataFrame:
     """The queue, by exposure; ``verdict`` is fraud, honest, graph_only, graph_backed or a ring type. Others filter nothing."""
-    rows = reference.alert_queue(spark, sf_dir)
+    rows = reference.alert_queue(spark, sf_dir, COMMUNITIES)
     kinds = {"fraud": "is_fraud", "honest": "not is_fraud", "graph_only": "score >= 0.99 and baseline_score < 0.99", "graph_backed": "g_in_cluster > 0", **{t: f"ring_type = '{t}'" for t in RING_TYPES}}
     if verdict in kinds:
         rows = rows.where(kinds[verdict])
@@ -32,7 +33,7 @@ def alerts(spark: SparkSession, sf_dir: str, verdict: str = "", limit: int = 50)
 def alert_detail(spark: SparkSession, sf_dir: str, payment_id: str) -> DataFrame:
     """One alert with its masked evidence and its note; no row for an unknown payment."""
     one = lambda df: df.where(F.col("payment_id") == payment_id)
-    row = one(reference._alerts(spark, sf_dir)).drop("y")
+    row = one(reference._alerts(spark, sf_dir, COMMUNITIES)).drop("y")
     evidence = one(reference.evidence_packets(spark, sf_dir)).select("payment_id", F.struct("as_of_day", "attachment", "member_count", "members", "shared_identifiers", "edges").alias("evidence"))
     note = one(reference.merchant_notes(spark, sf_dir)).select("payment_id", F.col("text").alias("note"))
     return row.join(evidence, "payment_id", "left").join(note, "payment_id", "left")
@@ -42,7 +43,7 @@ def rings(spark: SparkSession, sf_dir: str, limit: int = 25) -> DataFrame:
     """Clusters by the money at risk; the cluster's name is masked."""
     from coterie.operators.explain import mask
 
-    return reference.ring_leaderboard(spark, sf_dir).withColumn("cluster", mask(F.col("cluster"), 5)).orderBy(F.desc("exposure")).limit(min(limit, MOST_RINGS))
+    return reference.ring_leaderboard(spark, sf_dir, COMMUNITIES).withColumn("cluster", mask(F.col("cluster"), 5)).orderBy(F.desc("exposure")).limit(min(limit, MOST_RINGS))
 
 
 def whatif(spark: SparkSession, sf_dir: str, payment_id: str) -> DataFrame:

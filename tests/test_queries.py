@@ -39,3 +39,11 @@ def test_without_sql_runs(spark, name):
 
 def test_notes_hold_only_facts(spark):
     assert entry.queries()["merchant_notes"](spark, DATA).where("problems <> ''").count() == 0
+
+
+@pytest.mark.parametrize("name", ["graph_features", "evidence_packets"])
+def test_clusters_of_the_pipeline_are_communities(spark, name):
+    q = entry.queries()
+    found = q[name](spark, DATA).where("cluster is not null").select("as_of_day", "cluster").distinct()
+    assert found.count() > 0
+    assert found.join(q["louvain_clusters"](spark, DATA), ["as_of_day", "cluster"], "left_anti").count() == 0
