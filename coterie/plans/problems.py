@@ -131,6 +131,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.each_day(named_entities(busy)).select("entity_type", "entity", "day")
 
 
+def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trailing totals and averages of every entity and day, in segments of days with equal ones.
+
+    An entity's segments cover all days from its first payment to the last day
+    of the table, days without payments included.
+    """
+    seg = rolling.trailing_averages(named_entities(rolling_segments(spark, sf_dir)))
+    return seg.select("entity_type", "entity", "day_from", "day_to", "n_7", "total_7", "avg_7", "n_30", "total_30", "avg_30")
+
+
+def p6_day_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trailing totals and averages in a row per entity and day, from its first payment on, inactive days included."""
+    return rolling.each_day(p6_totals(spark, sf_dir))
+
+
 def p6_entity_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per entity the peaks of its trailing totals and their means over all days, with or without payments."""
     seg = named_entities(rolling_segments(spark, sf_dir))
@@ -141,7 +156,7 @@ def p6_entity_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_window_features, p1_entity_rows, p2_found, p2_weekly, p4_found, p4_key_stats, p5_found, p6_found, p6_entity_totals)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_window_features, p1_entity_rows, p2_found, p2_weekly, p4_found, p4_key_stats, p5_found, p6_found, p6_totals, p6_day_totals, p6_entity_totals)}
 
 # ---- the same queries in SQL ----
 
@@ -192,5 +207,8 @@ select payment_id, 'snapshot' as kind, arg_max(snapshot_id, (as_of_day, s.create
 union all
 select p.payment_id, 'known_fraud', arg_max(f.payment_id, (f.created_at, f.payment_id)) from valid p join valid f on f.customer_id = p.customer_id and f.is_fraud and f.created_at < p.created_at and f.label_available_day <= p."day" group by 1""",
     "p6_found": ENTITY_SQL + ' select entity_type, entity, "day" from totals where n_7 >= 15 and total_30 >= 100000',
+    "p6_day_totals": ENTITY_SQL + f""", spans as (select entity_type, entity, min("day") as lo from daily group by 1, 2)
+select a.entity_type, a.entity, k.d::int as "day", coalesce(t.n_7, 0)::bigint as n_7, coalesce(t.total_7, 0)::double as total_7, coalesce(t.total_7, 0) / 7.0::double as avg_7, coalesce(t.n_30, 0)::bigint as n_30, coalesce(t.total_30, 0)::double as total_30, coalesce(t.total_30, 0) / 30.0::double as avg_30
+from spans a join range({DAYS}) k(d) on k.d >= a.lo left join totals t on t.entity_type = a.entity_type and t.entity = a.entity and t."day" = k.d""",
     "p6_entity_totals": ENTITY_SQL + f" select entity_type, entity, count(*)::int as days_with_activity_30, max(n_7) as peak_n_7, max(total_7) as peak_total_7, max(n_30) as peak_n_30, max(total_30) as peak_total_30, sum(total_7) / {DAYS} / 7 as mean_avg_7, sum(total_30) / {DAYS} / 30 as mean_avg_30 from totals group by 1, 2",
 }

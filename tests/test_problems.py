@@ -207,3 +207,15 @@ def test_rolling_equals_brute_force_on_all_days(spark):
     assert rows(rolling.trailing_segments(df.limit(0), 0, 49)) == []
     avg = rolling.trailing_averages(days).where("entity = 'a' and day = 20").head()
     assert avg.avg_7 == avg.total_7 / 7
+
+
+def test_segments_of_totals_cover_every_day(spark):
+    from coterie.plans import problems
+
+    data = "/root/testdata/sf0.001"
+    seg = problems.p6_totals(spark, data)
+    days = problems.p6_day_totals(spark, data)
+    assert days.where("n_30 = 0 and avg_30 = 0").count() > 0
+    per = seg.groupBy("entity_type", "entity").agg(F.min("day_from").alias("lo"), F.max("day_to").alias("hi"), F.sum(F.col("day_to") - F.col("day_from") + 1).alias("n"))
+    assert per.where(f"hi <> {problems.DAYS - 1} or n <> hi - lo + 1").count() == 0
+    assert days.count() == per.agg(F.sum("n")).head()[0]
