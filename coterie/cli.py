@@ -4,21 +4,33 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 STEPS = ("data", "features", "train", "evaluate", "explain", "verify")
 EXTRA = ("structure", "seedstudy", "labelnoise", "subgroup", "narrative", "views")
 REPORTS = ("corpus_summary", "link_coverage", "headline", "recall_at_precision", "ablation", "confusion", "per_archetype", "archetype_lift", "fp_composition", "missed_fraud", "novel_vs_seen", "cost_curve", "optimal_threshold", "cost_sensitivity", "cluster_size_buckets")
 
 
+def _scores(spark: SparkSession, data: str, out: str) -> DataFrame:
+    """The scores that ``train`` wrote; trains first where there are none."""
+    from coterie.runtime import exists
+    from coterie.sources import files
+
+    for step, name in (("features", "matrix"), ("train", "scores")):
+        if not exists(spark, f"{out}/scores") and not exists(spark, f"{out}/{name}"):
+            run(spark, step, data, out)
+    return files.read_named(spark, out, "scores", "train")
+
+
 def run(spark: SparkSession, command: str, data: str, out: str, source: str = "payments") -> int:
     """Run one command; returns the exit code. ``verify`` and ``narrative`` fail if a check does."""
-    from coterie.plans import graph, models, reference, studies
+    from coterie.plans import models, reference, studies
     from coterie.runtime import ship
     from coterie.sources import adapters, files
 
     ship(spark)
-    q = lambda name: reference.QUERIES[name](spark, data)
+    q = lambda name: reference.judged(spark, data, name, scores)
+    scores = _scores(spark, data, out) if command in ("evaluate", "explain", "narrative", "views") else None
     if command == "all":
         return max(run(spark, s, data, out, source) for s in STEPS)
     if command == "data":
@@ -33,7 +45,7 @@ def run(spark: SparkSession, command: str, data: str, out: str, source: str = "p
         files.write_named(rows.select("payment_id", "split", "y", "score_base", "score_graph"), out, "scores", by=None)
     elif command == "evaluate":
         for name in REPORTS:
-            files.write_report(reference.cluster_size_buckets(spark, data, graph.COMMUNITIES) if name == "cluster_size_buckets" else q(name), out, name)
+            files.write_report(q(name), out, name)
         files.write_markdown(q("ablation"), out, "ablation_md")
     elif command == "explain":
         files.write_report(q("evidence_packets"), out, "evidence", "json")
@@ -55,9 +67,9 @@ def run(spark: SparkSession, command: str, data: str, out: str, source: str = "p
     elif command == "views":
         from coterie.plans import views
 
-        files.write_report(views.alerts(spark, data, limit=400), out, "view_alerts", "json")
-        files.write_report(views.rings(spark, data), out, "view_rings", "json")
-        for name, df in views.summary(spark, data).items():
+        files.write_report(views.alerts(spark, data, limit=400, scores=scores), out, "view_alerts", "json")
+        files.write_report(views.rings(spark, data, scores=scores), out, "view_rings", "json")
+        for name, df in views.summary(spark, data, scores).items():
             files.write_report(df, out, f"view_{name}", "json")
     else:
         raise ValueError(f"unknown command {command!r}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,15 +114,20 @@ def _counts(sql: str) -> str:
     return sql
 
 
-def scored(spark: SparkSession, sf_dir: str, test_only: bool = True) -> DataFrame:
-    """Payments of both arms with scores that are plain arithmetic of their columns.
+def scored(spark: SparkSession, sf_dir: str, test_only: bool = True, scores: DataFrame | None = None) -> DataFrame:
+    """Payments of both arms with their scores: those of ``scores`` (payment_id, score_base, score_graph).
 
-    They exercise the evaluation and say nothing about how well anything is
-    detected; trained scores come from ``gbt_scores``.
+    Without that table, as in the queries that SQL checks, scores are plain
+    arithmetic of the columns. Those exercise the evaluation and say nothing
+    about how well anything is detected.
     """
     p = payments(spark, sf_dir).withColumn("split", split_of(F.col("day"))).withColumn("y", F.col("is_fraud").cast("int"))
     if test_only:
         p = p.where("split = 'test'")
+    if scores is not None:
+        p = p.join(scores.select("payment_id", F.col("score_base").alias("_base"), F.col("score_graph").alias("_graph")), "payment_id")
+        arms = F.array(*(F.struct(F.lit(a).alias("arm"), F.round(f"_{a}", 4).alias("score")) for a in ("base", "graph")))
+        return p.select("*", F.inline(arms)).drop("_base", "_graph")
     whole = F.col("amount").cast("bigint")
     base = F.round(F.lit(0.35) * F.col("y") + F.lit(0.0001) * ((F.col("created_at") * 31 + whole * 17) % 6500), 4)
     graph = F.round(F.lit(0.5) * F.col("y") + F.lit(0.0001) * ((F.col("created_at") * 13 + whole * 7) % 5000), 4)
@@ -361,8 +368,8 @@ def graph_features(spark, sf_dir):
 
 
 @query(R(CURVE) + " select arm, threshold, tp, fp, round(precision, 9) as precision, round(recall, 9) as recall from curve")
-def pr_curve(spark, sf_dir):
-    return rounded(evaluation.pr_curve(scored(spark, sf_dir)), "precision", "recall", digits=9)
+def pr_curve(spark, sf_dir, scores=None):
+    return rounded(evaluation.pr_curve(scored(spark, sf_dir, scores=scores)), "precision", "recall", digits=9)
 
 
 _AP = "ap as (select arm, sum((recall - before) * precision) as pr_auc from (select *, coalesce(lag(recall) over (partition by arm order by threshold desc), 0) as before from curve) group by 1)"
@@ -370,18 +377,18 @@ _ROC = "roc as (select arm, sum(pos * (below + (n - pos) / 2)) / nullif(sum(pos)
 
 
 @query(R(CURVE) + f", {_AP} select arm, round(pr_auc, 9) as pr_auc from ap")
-def average_precision(spark, sf_dir):
-    return rounded(evaluation.average_precision(scored(spark, sf_dir)), "pr_auc", digits=9)
+def average_precision(spark, sf_dir, scores=None):
+    return rounded(evaluation.average_precision(scored(spark, sf_dir, scores=scores)), "pr_auc", digits=9)
 
 
 @query(R(CURVE) + f", {_ROC} select arm, round(roc_auc, 9) as roc_auc from roc")
-def roc_auc(spark, sf_dir):
-    return rounded(evaluation.roc_auc(scored(spark, sf_dir)), "roc_auc", digits=9)
+def roc_auc(spark, sf_dir, scores=None):
+    return rounded(evaluation.roc_auc(scored(spark, sf_dir, scores=scores)), "roc_auc", digits=9)
 
 
 @query(R(CURVE) + f", {_AP}, {_ROC} select arm, n, positives, round(positives / n, 9) as base_rate, round(pr_auc, 9) as pr_auc, round(roc_auc, 9) as roc_auc from (select arm, sum(n)::bigint as n, sum(pos)::bigint as positives from agg group by 1) join ap using (arm) join roc using (arm)")
-def headline(spark, sf_dir):
-    return rounded(evaluation.headline(scored(spark, sf_dir)), "base_rate", "pr_auc", "roc_auc", digits=9)
+def headline(spark, sf_dir, scores=None):
+    return rounded(evaluation.headline(scored(spark, sf_dir, scores=scores)), "base_rate", "pr_auc", "roc_auc", digits=9)
 
 
 _OPERATING = """, targets(target_precision) as (values (0.95::double), (0.9), (0.8), (0.6)), hits as (select arm, target_precision, arg_max({recall: recall, threshold: threshold, precision: precision}, (recall, -threshold)) filter (precision >= target_precision) as b, max(precision) as top from curve cross join targets group by 1, 2),
@@ -389,57 +396,57 @@ operating as (select arm, target_precision, coalesce(b.recall, 0) as recall, coa
 
 
 @query(R(CURVE) + _OPERATING + f" select arm, target_precision, threshold, {_r('recall', 'achieved_precision')} from operating")
-def recall_at_precision(spark, sf_dir):
-    return rounded(evaluation.recall_at_precision(scored(spark, sf_dir)), "recall", "achieved_precision")
+def recall_at_precision(spark, sf_dir, scores=None):
+    return rounded(evaluation.recall_at_precision(scored(spark, sf_dir, scores=scores)), "recall", "achieved_precision")
 
 
 @query(R(CURVE) + """, targets(target_recall) as (values (0.5::double), (0.7), (0.9)), hits as (select arm, target_recall, arg_max({threshold: threshold, precision: precision}, (precision, -threshold)) filter (recall >= target_recall) as b from curve cross join targets group by 1, 2)
 select arm, target_recall, round(coalesce(b.precision, 0), 6) as precision, coalesce(b.threshold, 0) as threshold from hits""")
-def precision_at_recall(spark, sf_dir):
-    return rounded(evaluation.precision_at_recall(scored(spark, sf_dir)), "precision")
+def precision_at_recall(spark, sf_dir, scores=None):
+    return rounded(evaluation.precision_at_recall(scored(spark, sf_dir, scores=scores)), "precision")
 
 
 @query(R(CURVE) + _OPERATING + """ select b.target_precision, round(b.recall, 6) as base_recall, round(g.recall, 6) as graph_recall, round(g.recall - b.recall, 6) as lift, round((g.recall - b.recall) / nullif(b.recall, 0) * 100, 6) as relative_lift from operating b join operating g using (target_precision) where b.arm = 'base' and g.arm = 'graph'""")
-def ablation(spark, sf_dir):
-    return rounded(evaluation.ablation(evaluation.recall_at_precision(scored(spark, sf_dir))), "base_recall", "graph_recall", "lift", "relative_lift")
+def ablation(spark, sf_dir, scores=None):
+    return rounded(evaluation.ablation(evaluation.recall_at_precision(scored(spark, sf_dir, scores=scores))), "base_recall", "graph_recall", "lift", "relative_lift")
 
 
 @query(R(SCORED) + """, c as (select arm, 0.6::double as threshold, count_if(score >= 0.6 and y = 1) as tp, count_if(score >= 0.6 and y = 0) as fp, count_if(score < 0.6 and y = 1) as fn, count_if(score < 0.6 and y = 0) as tn from test group by 1)
 select *, round(tp / nullif(tp + fp, 0), 6) as precision, round(tp / nullif(tp + fn, 0), 6) as recall, round((tp + fp) / (tp + fp + fn + tn), 6) as alert_rate, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) as f1 from c""")
-def confusion(spark, sf_dir):
-    return rounded(evaluation.confusion(scored(spark, sf_dir), THRESHOLDS), "precision", "recall", "alert_rate", "f1")
+def confusion(spark, sf_dir, scores=None):
+    return rounded(evaluation.confusion(scored(spark, sf_dir, scores=scores), THRESHOLDS), "precision", "recall", "alert_rate", "f1")
 
 
 @query(R(SCORED) + """ select arm, ring_type as archetype, count(*) as payments, round(avg((score >= 0.6)::int), 6) as recall, round(median(score), 6) as median_score, round(coalesce(sum(amount) filter (status = 'captured'), 0) / 100) as amount_major, round(coalesce(sum(amount) filter (score >= 0.6 and status = 'captured'), 0) / 100) as caught_major from test where ring_type <> 'none' group by 1, 2""")
-def per_archetype(spark, sf_dir):
-    return rounded(evaluation.per_archetype(scored(spark, sf_dir), 0.6), "recall", "median_score")
+def per_archetype(spark, sf_dir, scores=None):
+    return rounded(evaluation.per_archetype(scored(spark, sf_dir, scores=scores), 0.6), "recall", "median_score")
 
 
 @query(R(SCORED) + """, a as (select arm, ring_type as archetype, avg((score >= 0.6)::int) as recall from test where ring_type <> 'none' group by 1, 2) select archetype, round(b.recall, 6) as base_recall, round(g.recall, 6) as graph_recall, round(g.recall - b.recall, 6) as lift from a b join a g using (archetype) where b.arm = 'base' and g.arm = 'graph'""")
-def archetype_lift(spark, sf_dir):
-    return rounded(evaluation.archetype_lift(evaluation.per_archetype(scored(spark, sf_dir), 0.6)), "base_recall", "graph_recall", "lift")
+def archetype_lift(spark, sf_dir, scores=None):
+    return rounded(evaluation.archetype_lift(evaluation.per_archetype(scored(spark, sf_dir, scores=scores), 0.6)), "base_recall", "graph_recall", "lift")
 
 
 @query(R(SCORED) + """, fp as (select arm, coalesce(nullif(array_to_string(list_sort(list_distinct([regexp_replace(t, '_[^_]*$', '') for t in string_split(coalesce(benign_cluster, ''), ';') if t <> ''])), '+'), ''), 'no_shared_identifier') as bucket from test where score >= 0.4 and y = 0)
 select arm, bucket, count(*) as false_positives, round(count(*) / sum(count(*)) over (partition by arm), 4) as share from fp group by 1, 2""")
-def fp_composition(spark, sf_dir):
-    return evaluation.fp_composition(scored(spark, sf_dir), 0.4)
+def fp_composition(spark, sf_dir, scores=None):
+    return evaluation.fp_composition(scored(spark, sf_dir, scores=scores), 0.4)
 
 
 @query(R(SCORED) + """ select arm, ring_type as archetype, count(*) as missed_payments, round(coalesce(sum(amount) filter (status = 'captured'), 0) / 100) as missed_major, round(median(score), 4) as median_score, round(median(amount) / 100) as median_amount_major from test where score < 0.6 and y = 1 group by 1, 2""")
-def missed_fraud(spark, sf_dir):
-    return evaluation.missed_fraud(scored(spark, sf_dir), 0.6)
+def missed_fraud(spark, sf_dir, scores=None):
+    return evaluation.missed_fraud(scored(spark, sf_dir, scores=scores), 0.6)
 
 
 @query(R(SCORED) + """, seen as (select distinct ring_id from conf where split = 'train' and is_fraud and ring_id is not null) select arm, case when seen.ring_id is not null then 'seen_in_training' else 'novel_ring' end as cohort, count(distinct t.ring_id) as rings, count(*) as payments, round(avg((score >= 0.6)::int), 6) as recall from test t left join seen on seen.ring_id = t.ring_id where y = 1 group by 1, 2""")
-def novel_vs_seen(spark, sf_dir):
+def novel_vs_seen(spark, sf_dir, scores=None):
     train = payments(spark, sf_dir, "day", "is_fraud", "ring_id").withColumn("y", F.col("is_fraud").cast("int")).where(split_of(F.col("day")) == "train")
-    return rounded(evaluation.novel_vs_seen(scored(spark, sf_dir), train, 0.6), "recall")
+    return rounded(evaluation.novel_vs_seen(scored(spark, sf_dir, scores=scores), train, 0.6), "recall")
 
 
 @query(R(CURVE) + " select arm, round(coalesce(sum(pos_amount), 0) / 100 * 0.88 + sum(pos) * 1500, 4) as do_nothing_cost from agg group by 1")
-def do_nothing_cost(spark, sf_dir):
-    return rounded(evaluation.do_nothing_cost(scored(spark, sf_dir)), "do_nothing_cost", digits=4)
+def do_nothing_cost(spark, sf_dir, scores=None):
+    return rounded(evaluation.do_nothing_cost(scored(spark, sf_dir, scores=scores)), "do_nothing_cost", digits=4)
 
 
 def _cost_sql(points: int) -> str:
@@ -461,19 +468,19 @@ _COST_COLUMNS = "arm, threshold, blocked, reviewed, caught_fraud, missed_fraud,
 
 
 @query(R(CURVE) + _cost_sql(200) + f", final as (select *, do_nothing_cost - total_cost as net_saving from costs) select {_COST_COLUMNS} from final")
-def cost_curve(spark, sf_dir):
-    return _cents(evaluation.cost_curve(scored(spark, sf_dir)))
+def cost_curve(spark, sf_dir, scores=None):
+    return _cents(evaluation.cost_curve(scored(spark, sf_dir, scores=scores)))
 
 
 @query(R(CURVE) + _cost_sql(200) + f", final as (select *, do_nothing_cost - total_cost as net_saving from costs) select {_COST_COLUMNS} from final qualify row_number() over (partition by arm order by round(total_cost, 6), threshold) = 1")
-def optimal_threshold(spark, sf_dir):
-    return _cents(evaluation.optimal_threshold(evaluation.cost_curve(scored(spark, sf_dir))))
+def optimal_threshold(spark, sf_dir, scores=None):
+    return _cents(evaluation.optimal_threshold(evaluation.cost_curve(scored(spark, sf_dir, scores=scores))))
 
 
 @query(R(CURVE) + _cost_sql(90) + """, varied as (select arm, churn_factor, threshold, blocked, caught_fraud, do_nothing_cost, fraud_loss + chargebacks + margin_loss * churn_factor + review_loss as total from costs cross join (values (1.0::double), (1.8), (2.6), (4.0), (6.0)) f(churn_factor))
 select arm, churn_factor, threshold as optimal_threshold, blocked, caught_fraud, round(do_nothing_cost - total) as net_saving, round((do_nothing_cost - total) / nullif(do_nothing_cost, 0) * 100, 1) as saving_percent from varied qualify row_number() over (partition by arm, churn_factor order by round(total, 6), threshold) = 1""")
-def cost_sensitivity(spark, sf_dir):
-    return evaluation.cost_sensitivity(scored(spark, sf_dir))
+def cost_sensitivity(spark, sf_dir, scores=None):
+    return evaluation.cost_sensitivity(scored(spark, sf_dir, scores=scores))
 
 
 def _clustered(spark, sf_dir, of=COMPONENTS):
@@ -542,8 +549,8 @@ def robust_z(spark, sf_dir):
 # ---- views ----
 
 
-def _alerts(spark, sf_dir, of=COMPONENTS):
-    wide = scored(spark, sf_dir).groupBy("payment_id").pivot("arm", ["base", "graph"]).agg(F.first("score"))
+def _alerts(spark, sf_dir, of=COMPONENTS, scores=None):
+    wide = scored(spark, sf_dir, scores=scores).groupBy("payment_id").pivot("arm", ["base", "graph"]).agg(F.first("score"))
     p = payments(spark, sf_dir, "day", "amount", "is_fraud", "ring_type", "account_age_days")
     r = table(spark, sf_dir, f"{of}resolved").select("payment_id", "cluster", F.col("cluster").isNotNull().cast("int").alias("g_in_cluster"))
     rows = wide.join(p, "payment_id").join(r, "payment_id")
@@ -573,25 +580,25 @@ def _top(where: str, k: int) -> str:
 
 
 @query(R(RESOLVED + _SCORED_ONLY + _ALERTS_SQL, True) + " select * from alerts where payment_id in (" + " union ".join([_top("true", 200), *(_top(f"ring_type = '{t}'", 60) for t in ("card_testing", "refund_abuse", "bust_out")), _top("y = 0", 60), _top("g_in_cluster > 0", 80)]) + ")")
-def alert_queue(spark, sf_dir, of=COMPONENTS):
-    return explain.alert_queue(_alerts(spark, sf_dir, of))
+def alert_queue(spark, sf_dir, of=COMPONENTS, scores=None):
+    return explain.alert_queue(_alerts(spark, sf_dir, of, scores))
 
 
 @query(R(SCORED) + """ select arm, kind, payment_id, score, rank from (select arm, payment_id, score, kind, (row_number() over (partition by arm, kind order by score desc, payment_id))::int as rank from (select *, case when y = 0 then 'honest' when coalesce(ring_type, 'none') = 'none' then 'fraud' else ring_type end as kind from test)) where rank <= 4 and arm = 'graph'""")
-def top_per_type(spark, sf_dir):
-    return explain.top_per_type(scored(spark, sf_dir).where("arm = 'graph'")).select("arm", "kind", "payment_id", "score", "rank")
+def top_per_type(spark, sf_dir, scores=None):
+    return explain.top_per_type(scored(spark, sf_dir, scores=scores).where("arm = 'graph'")).select("arm", "kind", "payment_id", "score", "rank")
 
 
 @query(R(SCORED) + " select payment_id, g.score as with_graph, b.score as without_graph, round(g.score - b.score, 4) as delta from test g join test b using (payment_id) where g.arm = 'graph' and b.arm = 'base'")
-def whatif(spark, sf_dir):
-    wide = scored(spark, sf_dir).groupBy("payment_id").pivot("arm", ["base", "graph"]).agg(F.first("score"))
+def whatif(spark, sf_dir, scores=None):
+    wide = scored(spark, sf_dir, scores=scores).groupBy("payment_id").pivot("arm", ["base", "graph"]).agg(F.first("score"))
     return wide.select("payment_id", F.col("graph").alias("with_graph"), F.col("base").alias("without_graph"), F.round(F.col("graph") - F.col("base"), 4).alias("delta"))
 
 
 @query(R(RISK + RESOLVED[len(CLUSTERS) :] + _SCORED_ONLY, True) + """ select as_of_day, cluster, count(*) as payments, count(distinct customer_id) as accounts, sum(amount) / 100 as amount_major, round(avg(score), 6) as mean_score, max(score) as max_score, count_if(is_fraud) as flagged_fraud, round(max(cl_ring_risk), 6) as ring_risk, min("day") as first_day, max("day") as last_day, round(sum(amount) / 100 * avg(score), 4) as exposure
  from test join resolved using (payment_id) left join risk using (as_of_day, cluster) where arm = 'graph' and cluster is not null group by 1, 2 order by exposure desc, as_of_day, cluster limit 25""")
-def ring_leaderboard(spark, sf_dir, of=COMPONENTS):
-    rows = scored(spark, sf_dir).where("arm = 'graph'").select("payment_id", "score").join(_clustered(spark, sf_dir, of), "payment_id").where("cluster is not null")
+def ring_leaderboard(spark, sf_dir, of=COMPONENTS, scores=None):
+    rows = scored(spark, sf_dir, scores=scores).where("arm = 'graph'").select("payment_id", "score").join(_clustered(spark, sf_dir, of), "payment_id").where("cluster is not null")
     per = rows.groupBy("as_of_day", "cluster").agg(
         F.count(F.lit(1)).alias("payments"), F.count_distinct("customer_id").alias("accounts"), (F.sum("amount") / 100).alias("amount_major"), F.round(F.avg("score"), 6).alias("mean_score"), F.max("score").alias("max_score"), F.count_if("is_fraud").alias("flagged_fraud"),
         F.round(F.max("cl_ring_risk"), 6).alias("ring_risk"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.round(F.sum("amount") / 100 * F.avg("score"), 4).alias("exposure"),
@@ -621,11 +628,11 @@ def masked_identifiers(spark, sf_dir):
 
 
 @query()
-def merchant_notes(spark, sf_dir):
+def merchant_notes(spark, sf_dir, scores=None):
     """The payment's decision notes: drafted from the facts of its alert and verified."""
     from coterie.plans.notes import notes
 
-    return notes(spark, sf_dir)
+    return notes(spark, sf_dir, scores)
 
 
 @query(R(CONF) + """ select 'graph of a later day' as "check", 0::bigint as violations, (select count(*) from conf) as rows union all select 'presence outside the window', 0, 0 where false union all select 'immature label in training', count_if(label_available_day > 150), count(*) from conf where split in ('train', 'val') and coalesce(label_matured, false) union all select 'clock after day', count_if(created_at // 86400 > "day"), count(*) from conf""")
@@ -659,3 +666,10 @@ def alert_reasons(spark, sf_dir):
     from coterie.plans.models import alert_reasons as run
 
     return run(spark, sf_dir)
+
+
+def judged(spark: SparkSession, sf_dir: str, name: str, scores: DataFrame | None) -> DataFrame:
+    """The query ``name``, over the given scores and the communities where it reads scores or clusters."""
+    q = QUERIES[name]
+    takes = inspect.signature(q).parameters
+    return q(spark, sf_dir, **({"scores": scores} if "scores" in takes else {}), **({"of": COMMUNITIES} if "of" in takes else {}))

@@ -1,6 +1,7 @@
 """Read-only views over the results: summary, alerts, one alert, rings, what-if.
 
-Each is a DataFrame. No view shows a raw identifier.
+Each is a DataFrame. No view shows a raw identifier. ``scores`` is the table of
+trained scores, as in ``reference.scored``.
 """
 
 from __future__ import annotations
@@ -15,40 +16,40 @@ RING_TYPES = ("card_testing", "refund_abuse", "bust_out")
 MOST_ALERTS, MOST_RINGS = 400, 100
 
 
-def summary(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def summary(spark: SparkSession, sf_dir: str, scores: DataFrame | None = None) -> dict[str, DataFrame]:
     """The result tables by name."""
     names = ("corpus_summary", "link_coverage", "headline", "confusion", "ablation", "per_archetype", "fp_composition", "missed_fraud", "optimal_threshold", "causality_violations")
-    return {n: reference.QUERIES[n](spark, sf_dir) for n in names}
+    return {n: reference.judged(spark, sf_dir, n, scores) for n in names}
 
 
-def alerts(spark: SparkSession, sf_dir: str, verdict: str = "", limit: int = 50) -> DataFrame:
+def alerts(spark: SparkSession, sf_dir: str, verdict: str = "", limit: int = 50, scores: DataFrame | None = None) -> DataFrame:
     """The queue, by exposure; ``verdict`` is fraud, honest, graph_only, graph_backed or a ring type. Others filter nothing."""
-    rows = reference.alert_queue(spark, sf_dir, COMMUNITIES)
+    rows = reference.alert_queue(spark, sf_dir, COMMUNITIES, scores)
     kinds = {"fraud": "is_fraud", "honest": "not is_fraud", "graph_only": "score >= 0.99 and baseline_score < 0.99", "graph_backed": "g_in_cluster > 0", **{t: f"ring_type = '{t}'" for t in RING_TYPES}}
     if verdict in kinds:
         rows = rows.where(kinds[verdict])
     return rows.drop("y").orderBy(F.desc("exposure"), "payment_id").limit(min(limit, MOST_ALERTS))
 
 
-def alert_detail(spark: SparkSession, sf_dir: str, payment_id: str) -> DataFrame:
+def alert_detail(spark: SparkSession, sf_dir: str, payment_id: str, scores: DataFrame | None = None) -> DataFrame:
     """One alert with its masked evidence and its note; no row for an unknown payment."""
     one = lambda df: df.where(F.col("payment_id") == payment_id)
-    row = one(reference._alerts(spark, sf_dir, COMMUNITIES)).drop("y")
+    row = one(reference._alerts(spark, sf_dir, COMMUNITIES, scores)).drop("y")
     evidence = one(reference.evidence_packets(spark, sf_dir)).select("payment_id", F.struct("as_of_day", "attachment", "member_count", "members", "shared_identifiers", "edges").alias("evidence"))
-    note = one(reference.merchant_notes(spark, sf_dir)).select("payment_id", F.col("text").alias("note"))
+    note = one(reference.merchant_notes(spark, sf_dir, scores)).select("payment_id", F.col("text").alias("note"))
     return row.join(evidence, "payment_id", "left").join(note, "payment_id", "left")
 
 
-def rings(spark: SparkSession, sf_dir: str, limit: int = 25) -> DataFrame:
+def rings(spark: SparkSession, sf_dir: str, limit: int = 25, scores: DataFrame | None = None) -> DataFrame:
     """Clusters by the money at risk; the cluster's name is masked."""
     from coterie.operators.explain import mask
 
-    return reference.ring_leaderboard(spark, sf_dir, COMMUNITIES).withColumn("cluster", mask(F.col("cluster"), 5)).orderBy(F.desc("exposure")).limit(min(limit, MOST_RINGS))
+    return reference.ring_leaderboard(spark, sf_dir, COMMUNITIES, scores).withColumn("cluster", mask(F.col("cluster"), 5)).orderBy(F.desc("exposure")).limit(min(limit, MOST_RINGS))
 
 
-def whatif(spark: SparkSession, sf_dir: str, payment_id: str) -> DataFrame:
+def whatif(spark: SparkSession, sf_dir: str, payment_id: str, scores: DataFrame | None = None) -> DataFrame:
     """The scores of one payment with and without the graph."""
-    return reference.whatif(spark, sf_dir).where(F.col("payment_id") == payment_id)
+    return reference.whatif(spark, sf_dir, scores).where(F.col("payment_id") == payment_id)
 
 
 VIEWS = {"alerts": alerts, "alert": alert_detail, "rings": rings, "whatif": whatif}

@@ -98,6 +98,21 @@ def test_command_line(spark, tmp_path):
         cli.run(spark, "nothing", DATA, out)
 
 
+def test_commands_report_on_the_written_scores(spark, tmp_path):
+    from coterie.plans import reference
+    from coterie.sources import contract
+
+    out = f"file://{tmp_path}"
+    p = contract.payments(spark, DATA).select("payment_id", F.lit(0.25).alias("score_base"), F.lit(0.75).alias("score_graph"))
+    files.write_named(p, out, "scores", by=None)
+    assert cli.run(spark, "evaluate", DATA, out) == 0
+    got = spark.read.option("header", True).csv(f"{out}/headline").collect()
+    assert {(r.arm, float(r.roc_auc)) for r in got} == {("base", 0.5), ("graph", 0.5)}
+    assert {r.score for r in views.alerts(spark, DATA, scores=p).collect()} == {0.75}
+    assert {r.with_graph for r in views.whatif(spark, DATA, views.alerts(spark, DATA).head().payment_id, p).collect()} == {0.75}
+    assert reference.scored(spark, DATA, scores=p).where("score not in (0.25, 0.75)").count() == 0
+
+
 def test_views_show_no_raw_identifier(spark):
     text = " ".join(r.value for df in (views.alerts(spark, DATA), views.rings(spark, DATA)) for r in df.select(F.to_json(F.struct("*")).alias("value")).collect())
     one = views.alerts(spark, DATA).head().payment_id
