@@ -167,6 +167,7 @@ class Restorer:
     def __init__(self, counts: dict[str, int], common: dict[str, int], remember: int = 50_000, longest: int = 48):
         self.model, self.common, self.remember, self.longest = CharModel(counts), common, remember, longest
         self.known: dict[str, str] = {}
+        self.strings: dict[str, tuple[list[str], bool]] = {}
         self.alike: dict[tuple[int, str], list[str]] = {}
         for w in common:
             self.alike.setdefault((len(w), w[0]), []).append(w)
@@ -240,24 +241,34 @@ class Restorer:
             return [self.word(p) if _REPEAT.search(p) else p for p in parts]
         return [self.word(string)]
 
+    def string(self, written: str) -> tuple[list[str], bool]:
+        """Words of a string, and whether it ends a passage. Short ones are remembered: few are ever new."""
+        if (got := self.strings.get(written)) is None:
+            core = written.rstrip(".!-_'’")
+            got = self.read(core.lstrip(".-_'’")), len(core) < len(written) and written[-1] in ".!"
+            if len(written) <= self.longest:
+                if len(self.strings) >= self.remember:
+                    self.strings.clear()
+                self.strings[written] = got
+        return got
+
     def passages(self, text: str | None) -> list[list[str]]:
         """Passages of a text as restored words. Null, empty and blank texts have none."""
+        common, strings = self.common, self.strings
         out: list[list[str]] = []
         now: list[str] = []
         last_end = -2
         for m in _TOKEN.finditer(fold(_lines(text)) if text else ""):
             kind, s = m.lastgroup, m.group()
-            if kind == "end":
+            if kind == "string":
+                words, ends = strings.get(s) or self.string(s)
+            elif kind == "end":
                 words, ends = [], True
-            elif kind == "spaced":
+            else:
                 run = regex.sub(r"[ .\-_/|~]", "", s)
                 letters, hidden = len(_LETTER.findall(run)), sum(map(_hidden, run))
                 words, ends = (self.signs(run) if not letters else self.spelled(run) if letters + hidden > 2 else []), False
-            else:
-                core = s.rstrip(".!-_'’")
-                ends = len(core) < len(s) and s[-1] in ".!"
-                words = self.read(core.lstrip(".-_'’"))
-            if len(words) == 1 and now and m.start() - last_end == 1 and self.joined(now[-1], words[0]):
+            if len(words) == 1 and now and now[-1] + words[0] in common and m.start() - last_end == 1 and self.joined(now[-1], words[0]):
                 now[-1] += words[0]
             else:
                 now += words

@@ -101,3 +101,29 @@ def test_fit_on_tables(spark):
     assert min(out[i] for i in range(0, 60, 3)) > abuse.CASE > max(out[i] for i in range(60) if i % 3)
     empty = abuse.fit(docs.limit(0), labels.limit(0))
     assert all(r.score < 0.01 for r in abuse.score_documents(docs, empty).collect())
+
+
+def test_batches_and_windows_score_like_single_passages():
+    rng = random.Random(1)
+    words = [*WORDS, "you", "your", "idiots", "nude", "kill", "x"]
+    docs = [[[rng.choice(words) for _ in range(rng.randrange(0, 25))] for _ in range(rng.randrange(0, 4))] for _ in range(60)]
+    names = sorted({f for d_ in docs for p in d_ for f in abuse.features(p)})
+    model = abuse.PassageModel({f: rng.uniform(-1, 2) for f in names if rng.random() < 0.6}, -1.0)
+
+    def slow(doc):
+        parts = [q for p in doc if p for q in [p, *(p[i : i + n] for n, step in abuse.WINDOWS if len(p) > n for i in range(0, len(p) - n + step, step))] if q]
+        return max(map(model.score, parts), default=0.0)
+
+    assert abuse.BatchModel(model).scores(docs) == pytest.approx([slow(d_) for d_ in docs])
+    assert list(abuse.BatchModel(model).scores([])) == [] and list(abuse.BatchModel(abuse.PassageModel({}, 0.0)).scores([[], [[]], [["a"]]])) == [0.0, 0.0, 0.5]
+
+
+def test_few_labels_are_enough_for_what_they_show():
+    plain = ["the parcel arrived late", "refund issued today", "please send receipt", "courier was friendly"]
+    docs = [[plain[i % 4].split(), plain[(i + 1) % 4].split()] for i in range(20)] + [[plain[0].split(), "you are a pathetic halfwit".split()]]
+    model = abuse.train(docs, [0.0] * 20 + [1.0], [1] * 21)
+    assert model.score("you are a worthless halfwit".split()) > abuse.CASE > max(model.score(p.split()) for p in plain)
+    # a single rater against all others is no proof, two are
+    odd = [*docs[:20], ["courier was late".split(), "paid in grain".split()]]
+    one, two = (abuse.train(odd, [0.0] * 20 + [1.0], [1] * 20 + [n]).score("paid in grain".split()) for n in (1, 2))
+    assert one < two
