@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coterie.config import Costs, GraphConfig, Link
-from coterie.operators import asof, checks, clusters, communities, components, evaluation, explain, identity, pointintime, scoring
+from coterie.operators import asof, catalogue, checks, clusters, communities, components, evaluation, explain, identity, pointintime, scoring
 from coterie.plans import models
 from coterie.sources import contract
 from tests.conftest import rows
@@ -251,21 +251,22 @@ def test_mask(spark):
     assert [r[0] for r in df.select(explain.mask(F.col("v"))).collect()] == ["cfp…fgh", "sho…", None]
 
 
-def test_merchant_wording(spark):
-    said = [("across the cluster, 3 card per device",), ("Combined edge weight 1.34",), ("decline rate of 0%",), ("1 account per address",), ("",), (None,), ("a rate of 10%",)]
-    got = [r[0] for r in spark.createDataFrame(said, "t string").select(explain.merchant_wording(F.col("t"))).collect()]
-    assert got == ["across the linked accounts, 3 cards per device", None, None, "1 account per address", None, None, "a rate of 10%"]
+def test_quotes(spark):
+    z = spark.createDataFrame([("a", "cl_cards_per_device", 3.5, 4.0), ("b", "cl_failure_rate", 0.001, 5.0), ("c", "cl_failure_rate", 0.42, 5.0), ("d", "vel_card_24h", 1.0, 5.0), ("e", "vel_card_24h", 1200.0, 5.0), ("f", "hour_of_day", 3.0, 9.0), ("g", "vel_card_24h", 0.0, 5.0)], "payment_id string, feature string, value double, z double")
+    got = {r.payment_id: (r.text, r.number) for r in explain.quotes(z).collect()}
+    assert got == {"a": ("the tied accounts used 3.50 cards per device", "3.50"), "c": ("42% of the payments of the tied accounts failed", "42%"), "d": ("this card paid once in the day before", "1"), "e": ("this card paid 1,200 times in the day before", "1,200")}
 
 
-FACTS = explain.Facts("pay_A12", 1234.0, "hold for review", 0.912, ["7 cards on this device in a day"], 4, ["device shared by 5 accounts"], 12)
+FACTS = explain.Facts("pay_A12", "1,234.00", "held for review", ["7 cards were new on this device in the day before", "a device is used by 5 accounts"], ["7", "1", "5"])
 
 
 def test_a_draft_passes_its_own_check():
     assert explain.verify(explain.draft(FACTS), FACTS) == []
-    assert explain.verify(explain.draft(explain.Facts("p", 1.0, "allow", 0.1)), explain.Facts("p", 1.0, "allow", 0.1)) == []
+    bare = explain.Facts("p", "1.00", "released")
+    assert explain.verify(explain.draft(bare), bare) == [] and explain.NOTHING in explain.draft(bare)
 
 
-@pytest.mark.parametrize("text", ["pay_A12 was held for 99 reasons", "Payment held over 1,234", "pay_A12 looks like a criminal at work", "pay_A12: STOLEN card"])
+@pytest.mark.parametrize("text", ["pay_A12 was held for 99 reasons", "Payment held over 1,234.00", "pay_A12 looks like a criminal at work", "pay_A12: STOLEN card", "pay_A12 has 12 cards", "pay_A12 over 1,234.007", "pay_A12 over 11,234.00", "pay_A12: 7.5 cards", "pay_A123 has 7 cards"])
 def test_notes_that_go_beyond_the_facts_are_rejected(text):
     assert explain.verify(text, FACTS)
     note = explain.write_note(FACTS, lambda f: text)
@@ -273,32 +274,37 @@ def test_notes_that_go_beyond_the_facts_are_rejected(text):
 
 
 def test_a_good_writer_is_kept():
-    assert explain.write_note(FACTS, lambda f: "pay_A12 over 1,234 waits, 7 cards.")["source"] == "writer"
+    assert explain.write_note(FACTS, lambda f: "pay_A12 over 1,234.00 waits, 7 cards.")["source"] == "writer"
 
 
-def test_link_lines():
-    links = [("device", 5, False), ("device", 4, False), ("ip address", 90, True), ("email (alias-normalised)", 2, False)]
-    assert explain.link_lines(links) == ["2 different devices, one of them shared by 5 accounts", "email address shared by 2 accounts"]
+def test_link_points(spark):
+    ids = [("device_fingerprint", "a", 5, False), ("device_fingerprint", "b", 4, False), ("ip", "c", 90, True), ("email_root", "d", 2, False)]
+    df = spark.createDataFrame([(1, "c1", *i) for i in ids], "as_of_day int, cluster string, link_type string, value string, accounts bigint, pruned boolean")
+    r = explain.link_points(df).head()
+    assert [x.text for x in r.links] == ["2 devices are shared, one of them by 5 accounts", "a mail address is used by 2 accounts"]
+    assert explain.link_points(df.limit(0)).count() == 0
 
 
 def test_each_feature_stands_in_one_reason_group():
     everything = [c for cols in models.GROUPS.values() for c in cols]
     assert sorted(everything) == sorted([*models.TABULAR, *models.GRAPH, *contract.CATEGORICAL])
+    assert {c for g in models.GRAPH_GROUPS for c in models.GROUPS[g]} == set(models.GRAPH)
 
 
-def test_reasons_have_words_for_each_group():
-    assert set(explain.REASONS) == set(models.GROUPS)
-    assert all(f in models.GROUPS[g] for g, (_, quotes) in explain.REASONS.items() for f, _ in quotes)
+def test_quoted_features_are_known():
+    assert {s.feature for s in catalogue.SENTENCES} <= {*models.TABULAR, *models.GRAPH}
 
 
 def test_narration(spark):
-    c = spark.createDataFrame([("p1", "order_value", 0.4), ("p1", "ring_cohesion", 0.5), ("p1", "card_fanout", 0.2), ("p1", "context", 0.005), ("p2", "ring_cohesion", 0.5), ("p2", "context", 0.3), ("p3", "order_value", 0.001)], "payment_id string, group string, contribution double")
-    z = spark.createDataFrame([("p1", "amount_z_vs_customer", 4.0, 9.0), ("p1", "cl_customers", 12.0, 1.0), ("p1", "g_degree", 7.0, 5.0), ("p1", "new_cards_on_device_24h", 1.0, 0.6), ("p1", "prior_distinct_cards_device", 2.5, 0.9)], "payment_id string, feature string, value double, z double")
+    g = catalogue.group_of
+    amounts, ties, sharing, means = g("amount_z_vs_customer"), g("cl_customers"), g("new_cards_on_device_24h"), g("method")
+    c = spark.createDataFrame([("p1", amounts, 0.4), ("p1", ties, 0.5), ("p1", sharing, 0.2), ("p1", means, 0.005), ("p2", ties, 0.5), ("p2", means, 0.3), ("p3", amounts, 0.001)], "payment_id string, group string, contribution double")
+    z = spark.createDataFrame([("p1", "amount_z_vs_customer", 4.0, 9.0), ("p1", "cl_customers", 12.0, 3.5), ("p1", "new_cards_on_device_24h", 1.0, 0.6), ("p1", "prior_distinct_cards_device", 2.5, 0.9)], "payment_id string, feature string, value double, z double")
     known = spark.createDataFrame([("p1", True), ("p2", False), ("p3", True)], "payment_id string, clustered boolean")
     got = {r.payment_id: r for r in explain.narrate(c, z, known, models.GRAPH_GROUPS).collect()}
-    assert [r.detail for r in got["p1"].reasons] == ["an identifier shared with 7 other accounts", "the amount is 4 times what this account usually pays", "2.50 cards seen on this device so far"]
+    assert [r.detail for r in got["p1"].reasons] == ["12 accounts are tied by shared details", "the amount is 4 times what this account pays on average", "2.50 cards had paid from this device"]
     assert not got["p1"].graph_driven and got["p1"].caveat is None
-    assert [r.detail for r in got["p2"].reasons] == ["payment context"] and got["p2"].reasons[0].generic and got["p2"].caveat
+    assert [r.detail for r in got["p2"].reasons] == [means] and got["p2"].reasons[0].generic and got["p2"].caveat
     assert got["p3"].reasons == [] and got["p3"].summary == "no single driver"
 
 
