@@ -1,10 +1,9 @@
 """Tables that judge scores: curves, operating points, costs and breakdowns.
 
 Input is a table of scored payments: y (0 or 1), score, amount, and for the
-breakdowns their own columns; ``arm`` names the model. Everything starts from
-one aggregation per distinct score, rounded to four digits: at most 10,001
-rows per arm, however many payments there are. Windows over the scores run on
-those rows only.
+breakdowns their own columns; ``arm`` names the model. Curves and costs start
+from one aggregation per distinct score. Scores are taken as they are, so
+every threshold of a curve tells what flagging from it up gives.
 """
 
 from __future__ import annotations
@@ -18,46 +17,82 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from coterie.config import Costs
+from coterie.runtime import materialise
 
 PRECISIONS = (0.95, 0.90, 0.80, 0.60)
 
 
+MEASURES = ("n", "pos", "amount", "pos_amount")
+
+
 def by_score(scored: DataFrame) -> DataFrame:
     """(arm, score, n, pos, amount, pos_amount) per distinct score. Rows with a null y or score are left out."""
     rows = scored.where("y is not null and score is not null")
-    return rows.groupBy("arm", F.round("score", 4).alias("score")).agg(
+    return rows.groupBy("arm", F.col("score").cast("double").alias("score")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").cast("bigint").alias("pos"), F.sum("amount").alias("amount"), F.sum(F.when(F.col("y") == 1, F.col("amount")).otherwise(0.0)).alias("pos_amount")
     )
 
 
+def add_up(rows: DataFrame) -> DataFrame:
+    """``rows`` (arm, score, mark, measures) with each measure's sum down to the row, and over its arm.
+
+    Down means from the greatest score, rows with ``mark`` after others of the
+    same score. Rows are ranged by (arm, score) and written; sums run inside
+    each range, and what the ranges before hold, a row per arm and range, is
+    added. So there may be as many distinct scores as payments.
+    """
+    ranged, _ = materialise(rows.repartitionByRange("arm", F.desc("score"), "mark").withColumn("part", F.spark_partition_id()), "scores")
+    per = ranged.groupBy("arm", "part").agg(*(F.sum(m).alias(m) for m in MEASURES))
+    before, arm = Window.partitionBy("arm").orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("arm")
+    base = per.select("arm", "part", *(F.sum(m).over(before).alias(f"base_{m}") for m in MEASURES), *(F.sum(m).over(arm).alias(f"all_{m}") for m in MEASURES))
+    down = Window.partitionBy("arm", "part").orderBy(F.desc("score"), "mark").rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranged.select("*", *(F.sum(m).over(down).alias(f"in_{m}") for m in MEASURES))
+    joined = inside.join(F.broadcast(base), ["arm", "part"])  # a row per arm and range
+    return joined.select("arm", "score", "mark", *MEASURES, *((F.coalesce(f"base_{m}", F.lit(0)) + F.col(f"in_{m}")).alias(f"down_{m}") for m in MEASURES), *(f"all_{m}" for m in MEASURES))
+
+
+def curve_points(scored: DataFrame) -> DataFrame:
+    """Each distinct score of each arm with its measures added up."""
+    return add_up(by_score(scored).withColumn("mark", F.lit(False)))
+
+
+def _curve(points: DataFrame) -> DataFrame:
+    tp, n = F.col("down_pos"), F.col("down_n")
+    return points.select("arm", F.col("score").alias("threshold"), tp.alias("tp"), (n - tp).alias("fp"), (tp / n).alias("precision"), F.coalesce(tp / F.nullif("all_pos", F.lit(0)), F.lit(0.0)).alias("recall"))
+
+
 def pr_curve(scored: DataFrame) -> DataFrame:
     """(arm, threshold, tp, fp, precision, recall) at every distinct score, flagging scores from it up."""
-    down = Window.partitionBy("arm").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    arm = Window.partitionBy("arm")
-    c = by_score(scored).select("arm", F.col("score").alias("threshold"), F.sum("pos").over(down).alias("tp"), F.sum(F.col("n") - F.col("pos")).over(down).alias("fp"), F.sum("pos").over(arm).alias("all_pos"))
-    return c.select("arm", "threshold", "tp", "fp", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.coalesce(F.col("tp") / F.nullif("all_pos", F.lit(0)), F.lit(0.0)).alias("recall"))
+    return _curve(curve_points(scored))
+
+
+def _precision() -> Column:
+    """The precision at each score, weighted by the recall it adds."""
+    return F.coalesce(F.sum(F.col("pos") / F.nullif("all_pos", F.lit(0)) * F.col("down_pos") / F.col("down_n")), F.lit(0.0))
+
+
+def _in_order() -> Column:
+    """The share of pairs of a positive and a negative in order, of equal scores half."""
+    c = F.col
+    wins = c("pos") * ((c("all_n") - c("all_pos")) - (c("down_n") - c("down_pos")) + (c("n") - c("pos")) / 2)
+    pairs = F.max("all_pos").cast("double") * (F.max("all_n") - F.max("all_pos"))
+    return F.sum(wins) / F.nullif(pairs, F.lit(0.0))
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """(arm, pr_auc): the precision at each score, weighted by the recall it adds."""
-    w = Window.partitionBy("arm").orderBy(F.desc("threshold"))
-    step = (F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))) * F.col("precision")
-    return pr_curve(scored).withColumn("step", step).groupBy("arm").agg(F.sum("step").alias("pr_auc"))
+    return curve_points(scored).groupBy("arm").agg(_precision().alias("pr_auc"))
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
     """(arm, roc_auc): the share of pairs in order, equal scores counting half; null with one class only."""
-    below = Window.partitionBy("arm").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    neg = F.col("n") - F.col("pos")
-    c = by_score(scored).withColumn("neg", neg).withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    per = c.groupBy("arm").agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("wins"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
-    return per.select("arm", (F.col("wins") / F.nullif(F.col("p") * F.col("q"), F.lit(0))).alias("roc_auc"))
+    return curve_points(scored).groupBy("arm").agg(_in_order().alias("roc_auc"))
 
 
 def headline(scored: DataFrame) -> DataFrame:
     """(arm, n, positives, base_rate, pr_auc, roc_auc)."""
-    n = by_score(scored).groupBy("arm").agg(F.sum("n").alias("n"), F.sum("pos").alias("positives"))
-    return n.withColumn("base_rate", F.col("positives") / F.col("n")).join(average_precision(scored), "arm").join(roc_auc(scored), "arm")
+    n, pos = F.max("all_n"), F.max("all_pos")
+    return curve_points(scored).groupBy("arm").agg(n.alias("n"), pos.alias("positives"), (pos / n).alias("base_rate"), _precision().alias("pr_auc"), _in_order().alias("roc_auc"))
 
 
 def recall_at_precision(scored: DataFrame, targets: tuple[float, ...] = PRECISIONS) -> DataFrame:
@@ -165,15 +200,13 @@ def cost_curve(scored: DataFrame, costs: Costs = Costs(), points: int = 200) ->
     """
     spark = scored.sparkSession
     s = by_score(scored)
-    measures = ("n", "pos", "amount", "pos_amount")
     grid = thresholds(spark, points).unionByName(spark.range(1).select(F.lit(float(costs.review_from)).alias("threshold"))).distinct()
-    arms = s.select("arm").distinct()
+    arms = scored.where("y is not null and score is not null").select("arm").distinct()
     zero = [F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("pos"), F.lit(0.0).alias("amount"), F.lit(0.0).alias("pos_amount")]
     marks = arms.withColumn("k", F.lit(1)).join(F.broadcast(grid.withColumn("k", F.lit(1))), "k").select("arm", F.col("threshold").alias("score"), *zero, F.lit(True).alias("mark"))
-    both = s.withColumn("mark", F.lit(False)).unionByName(marks)
-    down = Window.partitionBy("arm").orderBy(F.desc("score"), "mark").rowsBetween(Window.unboundedPreceding, 0)
     arm = Window.partitionBy("arm")
-    at = both.select("arm", "score", "mark", *(F.sum(m).over(down).alias(m) for m in measures), *(F.sum(m).over(arm).alias(f"all_{m}") for m in measures)).where("mark")
+    at = add_up(s.withColumn("mark", F.lit(False)).unionByName(marks)).where("mark")
+    at = at.select("arm", "score", *(F.col(f"down_{m}").alias(m) for m in MEASURES), *(f"all_{m}" for m in MEASURES))
     at = at.withColumn("from_review", F.max(F.when(F.col("score") == costs.review_from, F.col("n"))).over(arm))
     c = F.col
     out = at.select(
@@ -225,6 +258,50 @@ def fraud_concentration(rows: DataFrame, keys: tuple[str, ...] = ("as_of_day", "
     return per.agg(F.sum("n").alias("clustered_rows"), F.count(F.lit(1)).alias("clusters"), F.sum("f").alias("fraud_rows"), F.coalesce(F.sum(hot) / F.nullif(F.sum("f"), F.lit(0)), F.lit(0.0)).alias("concentration"))
 
 
+def hypergeometric(rng: np.random.Generator, good: int, other: int, drawn: int, limit: int = 10**9 - 1) -> int:
+    """How many of ``good`` are among ``drawn`` out of ``good + other``.
+
+    Exact below ``limit`` of each kind, the most that NumPy draws from. Above
+    it the law is normal to within one in a thousand of its deviation, or,
+    where few can be drawn at all, binomial.
+    """
+    if drawn <= 0 or good <= 0:
+        return 0
+    if other <= 0:
+        return min(drawn, good)
+    if good <= limit and other <= limit:
+        return int(rng.hypergeometric(good, other, drawn))
+    n = good + other
+    mean = drawn * (good / n)
+    var = mean * (other / n) * ((n - drawn) / max(1, n - 1))
+    if mean * (other / n) < 1000 or var < 1000:
+        # few can be drawn at all: a binomial step is exact to the share that was drawn
+        return int(min(good, drawn, rng.binomial(min(good, drawn), min(1.0, max(good, drawn) / n))))
+    return int(min(good, drawn, max(0, drawn - other, round(rng.normal(mean, var**0.5)))))
+
+
+def _hot_frauds(rng: np.random.Generator, n: int, c: int, inside: int, chunk: int = 1_000_000) -> int:
+    """Frauds in the clusters that are mostly fraud, of ``c`` clusters of ``n`` rows that hold ``inside`` frauds.
+
+    The clusters are filled in chunks, each by one draw from what is left.
+    """
+    hot, done = 0, 0
+    while done < c and inside:
+        k = min(chunk, c - done)
+        part = hypergeometric(rng, inside, (c - done) * n - inside, k * n)
+        if part and k * n < 10**9:
+            f = rng.multivariate_hypergeometric(np.full(k, n), part, method="marginals")
+            hot += int(f[f / n > 0.5].sum())
+        elif part:
+            # clusters so large that a chunk goes beyond what NumPy draws: one after the other
+            rest = part
+            for j in range(k):
+                f = hypergeometric(rng, rest, (k - j) * n - rest, n)
+                hot, rest = hot + (f if f / n > 0.5 else 0), rest - f
+        done, inside = done + k, inside - part
+    return hot
+
+
 def permutation_test(rows: DataFrame, permutations: int = 400, seed: int = 20260905, keys: tuple[str, ...] = ("as_of_day", "cluster")) -> DataFrame:
     """Fraud concentration against clusters of the same sizes filled at random.
 
@@ -247,11 +324,10 @@ def permutation_test(rows: DataFrame, permutations: int = 400, seed: int = 20260
                 left, bad, hot = total, fraud, 0
                 for n, c in hist:
                     # frauds that fall into the clusters of this size, then split over them
-                    inside = int(rng.hypergeometric(bad, left - bad, n * c)) if n * c else 0
+                    inside = hypergeometric(rng, bad, left - bad, n * c)
                     left, bad = left - n * c, bad - inside
                     if n >= 2 and inside:
-                        f = rng.multivariate_hypergeometric([n] * c, inside) if c * n < 10**9 else rng.multinomial(inside, [1 / c] * c)
-                        hot += int(f[f / n > 0.5].sum())
+                        hot += _hot_frauds(rng, n, c, inside)
                 out.append(hot / fraud if fraud else 0.0)
             yield pd.DataFrame({"value": out})
 

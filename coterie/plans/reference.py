@@ -92,8 +92,8 @@ RESOLVED = f"""{VOTES}, own as (select payment_id, 0 as rank, cluster from conf
 inherited as (select payment_id, ord + 1 as rank, cluster from ({_TARGETS}) t join votes using (as_of_day, link_type, value) join specs using (link_type)),
 best as (select payment_id, arg_min(cluster, rank) as cluster, min(rank) as rank from (select * from own union all select * from inherited) group by 1),
 resolved as (select payment_id, "day" as as_of_day, cluster, case when rank is null then 0 when rank = 0 then 1 else 2 end as g_match from conf left join best using (payment_id))"""
-SCORED = f"""{CONF}, scored as (select c.*, is_fraud::int as y, 'base' as arm, round(0.35::double * is_fraud::int + 0.0001::double * ((created_at * 31 + amount::bigint * 17) % 6500), 4) as score from conf c
-  union all select c.*, is_fraud::int, 'graph', round(0.5::double * is_fraud::int + 0.0001::double * ((created_at * 13 + amount::bigint * 7) % 5000), 4) from conf c),
+SCORED = f"""{CONF}, scored as (select c.*, is_fraud::int as y, 'base' as arm, 0.35::double * is_fraud::int + ((created_at * 31 + amount::bigint * 17) % 6500)::double / 10007.0::double as score from conf c
+  union all select c.*, is_fraud::int, 'graph', 0.5::double * is_fraud::int + ((created_at * 13 + amount::bigint * 7) % 5000)::double / 10007.0::double from conf c),
 test as (select * from scored where split = 'test')"""
 CURVE = f"""{SCORED}, agg as (select arm, score, count(*) as n, sum(y)::bigint as pos, sum(amount) as amount, sum(case when y = 1 then amount else 0 end) as pos_amount from test group by 1, 2),
 curve as (select arm, threshold, tp, fp, tp / (tp + fp) as precision, coalesce(tp / nullif(all_pos, 0), 0) as recall from (select arm, score as threshold, sum(pos) over (partition by arm order by score desc)::bigint as tp, sum(n - pos) over (partition by arm order by score desc)::bigint as fp, sum(pos) over (partition by arm) as all_pos from agg))"""
@@ -126,11 +126,11 @@ def scored(spark: SparkSession, sf_dir: str, test_only: bool = True, scores: Dat
         p = p.where("split = 'test'")
     if scores is not None:
         p = p.join(scores.select("payment_id", F.col("score_base").alias("_base"), F.col("score_graph").alias("_graph")), "payment_id")
-        arms = F.array(*(F.struct(F.lit(a).alias("arm"), F.round(f"_{a}", 4).alias("score")) for a in ("base", "graph")))
+        arms = F.array(*(F.struct(F.lit(a).alias("arm"), F.col(f"_{a}").alias("score")) for a in ("base", "graph")))
         return p.select("*", F.inline(arms)).drop("_base", "_graph")
     whole = F.col("amount").cast("bigint")
-    base = F.round(F.lit(0.35) * F.col("y") + F.lit(0.0001) * ((F.col("created_at") * 31 + whole * 17) % 6500), 4)
-    graph = F.round(F.lit(0.5) * F.col("y") + F.lit(0.0001) * ((F.col("created_at") * 13 + whole * 7) % 5000), 4)
+    base = F.lit(0.35) * F.col("y") + ((F.col("created_at") * 31 + whole * 17) % 6500).cast("double") / F.lit(10007.0)
+    graph = F.lit(0.5) * F.col("y") + ((F.col("created_at") * 13 + whole * 7) % 5000).cast("double") / F.lit(10007.0)
     arms = F.array(F.struct(F.lit("base").alias("arm"), base.alias("score")), F.struct(F.lit("graph").alias("arm"), graph.alias("score")))
     return p.select("*", F.inline(arms))
 

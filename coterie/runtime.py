@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import hashlib
 import io
 import os
@@ -19,12 +20,16 @@ _LOCAL: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is read from ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder is made and removed at exit.
+    It is read from ``spark.checkpoint.dir``. Only where that is unset and all
+    runs on one machine, as in tests, a temporary folder is made and removed at
+    exit; on a cluster each executor would see a folder of its own, so that is
+    an error.
     """
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="coterie-"))
         atexit.register(shutil.rmtree, _LOCAL[0], True)
@@ -58,9 +63,29 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+_KEPT: set[str] = set()
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/coterie/{name}-{uuid.uuid4().hex[:12]}"
+    """A path in the shared folder that nothing else uses.
+
+    It lies in a folder of the application, which is removed when the driver's
+    Python ends: results are lazy and may read written tables until then.
+    """
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_dir(spark)}/coterie/{app}"
+    if app not in _KEPT:
+        _KEPT.add(app)
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        conf = spark._jsc.hadoopConfiguration()
+
+        def remove() -> None:
+            # a JVM that is already gone leaves the folder to whoever owns the shared one
+            with contextlib.suppress(Exception):
+                where.getFileSystem(conf).delete(where, True)
+
+        atexit.register(remove)
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def named_path(spark: SparkSession, name: str, source: str) -> str:

@@ -323,3 +323,37 @@ def test_an_arm_learns_and_occlusion_finds_why(spark):
     occ = scoring.occlude(arm, df.where("y = 1").limit(5), {"value": ["amount"], "time": ["hour_of_day"]}, {"amount": 1.0, "hour_of_day": 3.0})
     per = {r.group: r.c for r in occ.groupBy("group").agg(F.avg("contribution").alias("c")).collect()}
     assert per["value"] > 0.3 > abs(per["time"])
+
+
+def test_curve_and_confusion_agree_on_close_scores(spark):
+    data = [(0, 0.95), (1, 0.91999), (1, 0.91996), (0, 0.91995), (1, 0.5), (0, 0.5)]
+    df = spark.createDataFrame([("base", y, s, 1.0) for y, s in data], "arm string, y int, score double, amount double")
+    for r in evaluation.pr_curve(df).collect():
+        c = evaluation.confusion(df, {"base": r.threshold}).head()
+        assert (c.tp, c.fp) == (r.tp, r.fp)
+    assert evaluation.pr_curve(df).count() == 5
+    costs = {r.threshold: r.blocked for r in evaluation.cost_curve(df, points=40).collect()}
+    assert all(n == sum(s >= t for _, s in data) for t, n in costs.items())
+
+
+def test_curves_over_many_ranges_equal_brute_force(spark):
+    rng = random.Random(5)
+    data = [(a, int(rng.random() < 0.3), rng.choice([rng.random(), 0.5]), 1.0) for a in ("base", "graph") for _ in range(400)]
+    df = spark.createDataFrame(data, "arm string, y int, score double, amount double").repartition(7)
+    got = {r.arm: r for r in evaluation.headline(df).collect()}
+    for arm in ("base", "graph"):
+        pos, neg = ([s for a, y, s, _ in data if a == arm and y == k] for k in (1, 0))
+        want = sum((p > q) + (p == q) / 2 for p in pos for q in neg) / len(pos) / len(neg)
+        assert got[arm].roc_auc == pytest.approx(want) and (got[arm].n, got[arm].positives) == (400, len(pos))
+    points = evaluation.pr_curve(df).where("arm = 'base'").collect()
+    assert all(p.tp + p.fp == sum(s >= p.threshold for a, _, s, _ in data if a == "base") for p in points)
+    assert evaluation.headline(df.limit(0)).count() == 0
+
+
+def test_draws_from_urns_beyond_a_thousand_million():
+    rng = np.random.default_rng(1)
+    assert abs(evaluation.hypergeometric(rng, 3 * 10**9, 10**9, 10**9) / 10**9 - 0.75) < 1e-4
+    few = [evaluation.hypergeometric(rng, 50, 4 * 10**9, 2 * 10**9) for _ in range(300)]
+    assert 23 < np.mean(few) < 27 and max(few) <= 50
+    assert evaluation.hypergeometric(rng, 5, 0, 3) == 3 and evaluation.hypergeometric(rng, 0, 5, 3) == 0
+    assert evaluation._hot_frauds(rng, 2, 3, 6) == 6 and 0 <= evaluation._hot_frauds(rng, 10, 2_500_000, 1000) <= 1000
