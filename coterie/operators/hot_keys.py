@@ -1,127 +1,98 @@
 """Per-key results when a few keys hold most records: exact offset chunking.
 
-Rows are ranged over (key, order columns), so a key of any size is cut into
-pieces of equal size and every partition holds the same number of rows. One
-pass over the sorted partitions counts each key's rows in each partition, in
-pieces of at most ``chunk_rows``, and reduces each piece to a state. Prefix
-sums over the partitions give each piece its first row number in its key, and
-the states of a key's pieces are merged in that order.
+Rows are ranged by time into input partitions of equal size, whatever their
+keys. Each partition numbers and counts the rows of each key that it holds and
+reduces them to one ordered state. Prefix sums of the counts over the
+partitions give each (partition, key) the number of its first row in the key.
+A key with more rows than a chunk is then cut at multiples of the chunk size
+by the numbers of its rows, so all chunks but a key's last are equal. The
+ordered states of a key's chunks are merged across their boundaries.
+
+A task holds rows of one input partition at most, so no key, however large,
+makes a task larger than others.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PIECES = "field tinyint, key_value string, part int, piece bigint, n bigint, total double, first_at bigint, last_at bigint, max_gap bigint"
-
-
-def _pieces(chunk_rows: int):
-    schema = pa.schema([("field", pa.int8()), ("key_value", pa.string()), ("part", pa.int32()), ("piece", pa.int64()), ("n", pa.int64()), ("total", pa.float64()), ("first_at", pa.int64()), ("last_at", pa.int64()), ("max_gap", pa.int64())])
-
-    def run(batches):
-        open_key, open_n, serial = None, 0, 0  # the piece that may go on in the next batch
-        held: list | None = None  # its state
-        for batch in batches:
-            rows = batch.num_rows
-            if not rows:
-                continue
-            field, key = batch.column("field"), batch.column("key_value")
-            at = batch.column("at").to_numpy(zero_copy_only=False)
-            amount = batch.column("amount").to_numpy(zero_copy_only=False)
-            part = batch.column("part")[0].as_py()
-            new = np.ones(rows, bool)
-            if rows > 1:
-                same = pc.and_(pc.equal(field[1:], field[:-1]), pc.fill_null(pc.equal(key[1:], key[:-1]), False))
-                both_null = pc.and_(pc.equal(field[1:], field[:-1]), pc.and_(pc.is_null(key[1:]), pc.is_null(key[:-1])))
-                new[1:] = ~pc.or_(same, both_null).to_numpy(zero_copy_only=False)
-            goes_on = held is not None and open_key == (field[0].as_py(), key[0].as_py())
-            new[0] = not goes_on
-            # cut long runs of a key every chunk_rows rows
-            starts = np.flatnonzero(new)
-            run_start = np.zeros(rows, np.int64)
-            run_start[starts] = starts
-            run_start = np.maximum.accumulate(run_start)
-            pos = np.arange(rows) - run_start
-            if goes_on:
-                first = starts[0] if len(starts) else rows
-                pos[:first] += open_n
-            cut = np.flatnonzero(new | (pos % chunk_rows == 0))
-            lead = 0 if len(cut) and cut[0] == 0 else 1  # the rows before the first cut go to the held piece
-            edges = np.concatenate([[0], cut, [rows]]) if lead else np.concatenate([cut, [rows]])
-            gap = np.zeros(rows, np.int64)
-            gap[1:] = at[1:] - at[:-1]
-            gap[edges[:-1]] = -1
-            counts = np.diff(edges)
-            sums = np.add.reduceat(amount, edges[:-1])
-            gaps = np.maximum.reduceat(gap, edges[:-1])
-            firsts, lasts = at[edges[:-1]], at[edges[1:] - 1]
-            keys, fields = key.take(pa.array(edges[:-1])).to_pylist(), field.take(pa.array(edges[:-1])).to_pylist()
-            done: list[list] = []
-            for i in range(len(counts)):
-                if i == 0 and lead:
-                    held[4] += int(counts[0])
-                    held[5] += float(sums[0])
-                    held[8] = max(held[8], int(gaps[0]), int(firsts[0] - held[7]))
-                    held[7] = int(lasts[0])
-                    continue
-                if held is not None:
-                    done.append(held)
-                held = [fields[i], keys[i], part, serial, int(counts[i]), float(sums[i]), int(firsts[i]), int(lasts[i]), int(gaps[i])]
-                serial += 1
-            open_key, open_n = (field[rows - 1].as_py(), key[rows - 1].as_py()), int(pos[-1]) + 1
-            if done:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
-        if held is not None:
-            yield pa.record_batch([pa.array([c], f.type) for c, f in zip(held, schema, strict=True)], schema=schema)
-
-    return run
-
-
-def key_pieces(rows: DataFrame, chunk_rows: int = 50_000) -> DataFrame:
-    """One state per piece of a key, with the number of its first row in the key.
-
-    ``rows`` has field, key_value, at, tie, amount. A null key is a key like
-    any other (callers that want none filter the result); null times count as
-    0 and null or NaN amounts as 0, ties in ``at`` are ordered by ``tie``.
+from coterie.runtime import materialise
+
+KEY = ("field", "key_value")
+
+
+def input_partitions(rows: DataFrame) -> DataFrame:
+    """``rows`` ranged by (at, tie) and written, each with the number ``part`` of its partition.
+
+    Null times count as 0. Partitions rise in time; rows of one time are
+    spread by ``tie``.
+    """
+    timed = rows.withColumn("at", F.coalesce(F.col("at").cast("bigint"), F.lit(0)))
+    return materialise(timed.repartitionByRange("at", "tie").withColumn("part", F.spark_partition_id()), "timed")[0]
+
+
+def _same_key(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of ``a`` with those of ``b`` of the same partition and key, also the null key."""
+    other = b.select(*(F.col(c).alias(f"_{c}") for c in ("part", *KEY)), *(c for c in b.columns if c not in ("part", *KEY)))
+    on = (F.col("part") == F.col("_part")) & (F.col("field") == F.col("_field")) & F.col("key_value").eqNullSafe(F.col("_key_value"))
+    return a.join(other, on).drop("_part", "_field", "_key_value")
+
+
+def _state(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.groupBy("part", *KEY, *more).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.max("gap").alias("max_gap")
+    )
+
+
+def key_pieces(rows: DataFrame, chunk_rows: int = 50_000, ranged: bool = False) -> DataFrame:
+    """One state per chunk of a key and input partition, with the number of its first row in the key.
+
+    ``rows`` has field, key_value, at, tie, amount, and where it is ``ranged``
+    the part from ``input_partitions``; other columns are ignored. A null key is a key like any other (callers that
+    want none filter the result); null times count as 0 and null or NaN
+    amounts as 0, ties in ``at`` are ordered by ``tie``. ``max_gap`` is the
+    longest time between two consecutive rows of the piece, or between its
+    first and the row before it in the partition.
     """
-    clean = rows.select(
-        F.col("field").cast("tinyint").alias("field"),
-        "key_value",
-        F.coalesce(F.col("at").cast("bigint"), F.lit(0)).alias("at"),
-        "tie",
-        F.coalesce(F.when(~F.isnan("amount"), F.col("amount").cast("double")), F.lit(0.0)).alias("amount"),
+    if not ranged:
+        rows = input_partitions(rows.select(*KEY, "at", "tie", "amount"))
+    clean = rows.select("part", F.col("field").cast("tinyint").alias("field"), "key_value", "at", "tie", F.coalesce(F.when(~F.isnan("amount"), F.col("amount").cast("double")), F.lit(0.0)).alias("amount"))
+    local = Window.partitionBy("part", *KEY).orderBy("at", "tie")
+    numbered = clean.withColumn("local", F.row_number().over(local)).withColumn("gap", F.col("at") - F.lag("at").over(local))
+    key = Window.partitionBy(*KEY)
+    before = key.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = _state(numbered).withColumn("first_row", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("key_rows", F.sum("n").over(key))
+    whole = counted.where(F.col("key_rows") <= chunk_rows).select(*KEY, F.lit(0).cast("bigint").alias("chunk"), "part", "first_row", "n", "total", "first_at", "last_at", "max_gap")
+    # few keys are larger than a chunk; Spark broadcasts their offsets if they are small
+    offsets = counted.where(F.col("key_rows") > chunk_rows).select("part", *KEY, F.col("first_row").alias("offset"))
+    cut = _same_key(numbered, offsets).withColumn("row", F.col("offset") + F.col("local") - 1).withColumn("chunk", F.floor(F.col("row") / chunk_rows))
+    pieces = cut.groupBy("part", *KEY, "chunk").agg(
+        F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.max("gap").alias("max_gap")
     )
-    order = ("field", "key_value", "at", "tie")
-    ranged = clean.repartitionByRange(*order).sortWithinPartitions(*order)
-    pieces = ranged.select("field", "key_value", "at", "amount", F.spark_partition_id().alias("part")).mapInArrow(_pieces(chunk_rows), PIECES)
-    before = Window.partitionBy("field", "key_value").orderBy("part", "piece")
-    return pieces.withColumn("first_row", F.sum("n").over(before) - F.col("n"))
+    return whole.unionByName(pieces)
 
 
-def per_key(rows: DataFrame, chunk_rows: int = 50_000) -> DataFrame:
-    """(field, key_value, n, total, first_at, last_at, max_gap, pieces) for every key.
+def per_key(rows: DataFrame, chunk_rows: int = 50_000, ranged: bool = False) -> DataFrame:
+    """(field, key_value, n, total, first_at, last_at, max_gap, chunks) for every key.
 
     ``max_gap`` is the longest time between two consecutive rows of the key,
     null for a single row. It shows the ordered merge: the gap across two
     pieces comes from the last row of one and the first row of the next.
     """
-    pieces = key_pieces(rows, chunk_rows)
-    order = Window.partitionBy("field", "key_value").orderBy("first_row")
+    pieces = key_pieces(rows, chunk_rows, ranged)
+    order = Window.partitionBy(*KEY).orderBy("first_row")
     across = F.col("first_at") - F.lag("last_at").over(order)
     return (
-        pieces.withColumn("gap", F.greatest(F.nullif("max_gap", F.lit(-1)), across))
-        .groupBy("field", "key_value")
+        pieces.withColumn("gap", F.greatest("max_gap", across))
+        .groupBy(*KEY)
         .agg(
             F.sum("n").alias("n"),
             F.sum("total").alias("total"),
             F.min("first_at").alias("first_at"),
             F.max("last_at").alias("last_at"),
             F.max("gap").alias("max_gap"),
-            F.count(F.lit(1)).alias("pieces"),
+            (F.max("chunk") + 1).alias("chunks"),
         )
     )

@@ -75,9 +75,10 @@ KEY_FIELDS = ("shipping_address_hash", "device_fingerprint", "ip")
 def key_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-key results of the three fields; the field is its place in KEY_FIELDS."""
     columns = {c: identifier_body(c) if c in PREFIX else F.col(c) for c in KEY_FIELDS} | {"created_at": F.col("created_at"), "amount": F.col("amount"), "tie": F.xxhash64("payment_id")}
-    p = valid_payments(read_table(spark, sf_dir, "payments"), columns)
+    p = valid_payments(read_table(spark, sf_dir, "payments"), columns).withColumnRenamed("created_at", "at").drop("payment_id")
     fields = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("field"), F.col(c).alias("key_value")) for i, c in enumerate(KEY_FIELDS)))
-    return hot_keys.per_key(p.select(F.inline(fields), F.col("created_at").alias("at"), "tie", "amount"))
+    # a payment is ranged once, with all its keys
+    return hot_keys.per_key(hot_keys.input_partitions(p).select("part", F.inline(fields), "at", "tie", "amount"), ranged=True)
 
 
 def named_keys(keys: DataFrame) -> DataFrame:

@@ -147,6 +147,14 @@ def test_key_pieces_are_numbered_without_gaps_and_bounded(spark):
     assert sum(p.n for p in pieces) == 5000
 
 
+def test_chunks_of_a_hot_key_are_equal(spark):
+    df = spark.range(2000).select(F.lit(1).cast("tinyint").alias("field"), F.when(F.col("id") % 4 > 0, "hot").alias("key_value"), (F.col("id") % 7).alias("at"), F.col("id").alias("tie"), F.lit(1.0).alias("amount"))
+    chunks = hot_keys.key_pieces(df, chunk_rows=70).groupBy("key_value", "chunk").agg(F.sum("n").alias("n"), F.min("first_row").alias("first"))
+    for key, n in (("hot", 1500), (None, 500)):
+        got = sorted((r.chunk, r.first, r.n) for r in chunks.collect() if r.key_value == key)
+        assert got == [(i, i * 70, min(70, n - i * 70)) for i in range(-(-n // 70))]
+
+
 def test_hot_keys_of_nothing(spark):
     assert rows(hot_keys.per_key(spark.createDataFrame([], KEYED))) == []
 
