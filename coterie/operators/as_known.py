@@ -8,8 +8,13 @@ Time is cut into epochs. For each epoch in which an entity has events, its
 snapshot holds the best change that every event of the epoch can see; the
 epoch's change log holds those that only some of them can see. Both are
 written to the shared folder. Events, snapshots and logs meet partitioned by
-(entity, epoch), so an entity that holds a third of all rows is spread over
-the epochs; each partition is replayed once, in order of time.
+(entity, epoch); each group is replayed once, in order of time.
+
+A group of more than a bounded number of rows is cut into slices of equal size
+along time. What a slice must know of those before it is, per feed and day,
+the best change so far: a snapshot of its own, no longer than the days of its
+changes. So an entity that holds a third of all rows is spread over as many
+tasks as it has slices.
 """
 
 from __future__ import annotations
@@ -52,7 +57,7 @@ def _epoch_from(x: Column, y: Column, strict: bool, days: int) -> tuple[Column,
 
 
 def _replay(feeds: list[tuple[str, bool]]):
-    """Replay of rows sorted by entity, epoch, y and order.
+    """Replay of rows sorted by entity, epoch, slice, y and order.
 
     ``feeds`` has the name and by_x of each. Per group and feed a front of
     changes is kept, sorted by x and rising in rank: a change that another
@@ -64,10 +69,10 @@ def _replay(feeds: list[tuple[str, bool]]):
         group, fronts = None, []
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
-            cols = [batch.column(c).to_pylist() for c in ("entity", "epoch", "feed", "x", "y", "ref")]
-            for entity, epoch, feed, x, y, ref in zip(*cols, strict=True):
-                if (entity, epoch) != group:
-                    group, fronts = (entity, epoch), [([], []) for _ in feeds]
+            cols = [batch.column(c).to_pylist() for c in ("entity", "epoch", "slice", "feed", "x", "y", "ref")]
+            for entity, epoch, part, feed, x, y, ref in zip(*cols, strict=True):
+                if (entity, epoch, part) != group:
+                    group, fronts = (entity, epoch, part), [([], []) for _ in feeds]
                 if feed >= 0:
                     xs, ranks = fronts[feed]
                     rank = (x, y, ref) if feeds[feed][1] else (y, ref)
@@ -93,12 +98,39 @@ def _replay(feeds: list[tuple[str, bool]]):
     return run
 
 
-def attributes_as_known(events: DataFrame, feeds: list[Feed], epoch_days: int = 15) -> DataFrame:
+def _best(feeds: list[Feed]) -> Column:
+    """The greatest change by the order of its feed, as a struct with x, y, ref."""
+    by_x = F.col("feed").isin([k for k, f in enumerate(feeds) if f.by_x])
+    order = F.struct(F.when(by_x, F.col("x")).otherwise(0), "y", "ref")
+    return F.max_by(F.struct("x", "y", "ref"), order)
+
+
+def _slices(rows: DataFrame, feeds: list[Feed]) -> DataFrame:
+    """``rows`` of large groups cut along time into slices, each with the best changes of those before it.
+
+    The rows are ranged by group and time and written, so a slice is what a
+    group has in one partition. Changes are first reduced to the best one per
+    slice and day; only these go to the later slices of the group.
+    """
+    group = ("entity", "epoch")
+    cut, _ = materialise(rows.drop("slice").repartitionByRange(*group, "at", "ord").withColumn("slice", F.spark_partition_id() + 1), "slices")
+    slices = cut.select(*group, "slice").distinct()
+    # per group, feed and day the best change of each slice, then of all slices before
+    best = cut.where("feed >= 0").groupBy(*group, "feed", "x", "slice").agg(_best(feeds).alias("best"))
+    later = best.select(*group, "feed", "x", F.col("slice").alias("made"), "best").join(slices, [*group]).where("made < slice")
+    carried = later.select(*group, "slice", "feed", F.col("best.x").alias("x"), F.col("best.y").alias("y"), F.col("best.ref").alias("ref"))
+    carried = carried.groupBy(*group, "slice", "feed", F.col("x").alias("day")).agg(_best(feeds).alias("best"))
+    start = carried.select(*group, "slice", "feed", F.col("best.x").alias("x"), F.col("best.y").alias("y"), F.lit(-2).alias("ord"), F.col("best.ref").alias("ref"), F.lit(-(2**62)).alias("at"))
+    return cut.unionByName(start)
+
+
+def attributes_as_known(events: DataFrame, feeds: list[Feed], epoch_days: int = 15, group_rows: int = 200_000) -> DataFrame:
     """(event_id, feed, ref_id): of each event and feed the attribute known then.
 
     ``events`` has event_id, entity, x (day) and y (second); it is read
     several times, so give a written table. Events that see no change of a
     feed have no row for it; events without entity, day or second see nothing.
+    Groups of more than ``group_rows`` rows are replayed in slices.
     """
     span = epoch_days * DAY
     ev = events.where("event_id is not null and entity is not null and x is not null and y is not null").select(
@@ -106,7 +138,7 @@ def attributes_as_known(events: DataFrame, feeds: list[Feed], epoch_days: int =
     )
     ex, ey = F.floor(F.col("x") / epoch_days).cast("int"), F.floor(F.col("y") / span).cast("int")
     ev = ev.withColumn("epoch", F.least(ex, ey)).withColumn("wide", ex != ey)
-    wanted = ev.select("entity", "epoch").distinct()
+    wanted, _ = materialise(ev.groupBy("entity", "epoch").agg(F.count(F.lit(1)).alias("rows")), "asked")
     straddling = ev.where("wide").select("entity", "epoch").distinct()
 
     parts = []
@@ -132,5 +164,11 @@ def attributes_as_known(events: DataFrame, feeds: list[Feed], epoch_days: int =
     # the snapshot comes first in its group, whatever its time
     changes = known.select("entity", "epoch", "feed", "x", "y", F.when(F.col("snapshot"), -1).otherwise(F.col("ord")).alias("ord"), "ref", F.when(F.col("snapshot"), F.lit(-(2**62))).otherwise(F.col("y")).alias("at"))
     asked = ev.select("entity", "epoch", F.lit(-1).alias("feed"), "x", "y", F.lit(1).alias("ord"), F.col("event_id").alias("ref"), F.col("y").alias("at"))
-    rows = asked.unionByName(changes).repartition("entity", "epoch").sortWithinPartitions("entity", "epoch", "at", "ord")
-    return rows.select("entity", "epoch", "feed", "x", "y", "ref").mapInArrow(_replay([(f.name, f.by_x) for f in feeds]), FOUND)
+    rows = asked.unionByName(changes).withColumn("slice", F.lit(0))
+    large = known.groupBy("entity", "epoch").agg(F.count(F.lit(1)).alias("rows")).unionByName(wanted).groupBy("entity", "epoch").agg(F.sum("rows").alias("rows"))
+    large, _ = materialise(large.where(F.col("rows") > group_rows).select("entity", "epoch"), "large")
+    if large.limit(1).count():
+        # at most one group per ``group_rows`` rows: Spark broadcasts them if they are few
+        rows = rows.join(large, ["entity", "epoch"], "left_anti").unionByName(_slices(rows.join(large, ["entity", "epoch"], "left_semi"), feeds))
+    rows = rows.repartition("entity", "epoch", "slice").sortWithinPartitions("entity", "epoch", "slice", "at", "ord")
+    return rows.select("entity", "epoch", "slice", "feed", "x", "y", "ref").mapInArrow(_replay([(f.name, f.by_x) for f in feeds]), FOUND)

@@ -171,8 +171,8 @@ def _as_known(events, changes, strict, by_x):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_as_known_equals_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "group_rows"), [*((s, 200_000) for s in range(4)), (4, 20), (5, 1)])
+def test_as_known_equals_brute_force(spark, seed, group_rows):
     rng = random.Random(seed)
     day = 86400
     # days and seconds disagree by up to 40 days, so events see changes of several logs
@@ -183,7 +183,7 @@ def test_as_known_equals_brute_force(spark, seed):
     one += one[:10]  # repeated rows
     ev = spark.createDataFrame([(*e, "clash") for e in events], "event_id string, entity string, x int, y bigint, ref string")
     ch = lambda c: spark.createDataFrame([(*r, 1) for r in c], "entity string, x int, y bigint, ref string, epoch int")
-    got = as_known.attributes_as_known(ev, [as_known.Feed("one", ch(one), False, True), as_known.Feed("two", ch(two), True, False)], epoch_days=10)
+    got = as_known.attributes_as_known(ev, [as_known.Feed("one", ch(one), False, True), as_known.Feed("two", ch(two), True, False)], 10, group_rows)
     assert sorted((r.event_id, r.ref_id) for r in got.where("feed = 'one'").collect()) == _as_known(events, one, False, True)
     assert sorted((r.event_id, r.ref_id) for r in got.where("feed = 'two'").collect()) == _as_known(events, two, True, False)
 
