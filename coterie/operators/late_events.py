@@ -7,6 +7,12 @@ events is no larger than any other. Each key's cells are then played in the
 order they became known: totals are kept in period order with a snapshot every
 few periods, and a late cell restores the snapshot before its period, replays
 the periods after it and replaces their outputs.
+
+The verdict on a cell is what the ledger did with it. As time goes on, the
+ledger issues the outputs of periods that have ended and releases snapshots
+that lie beyond the cut-off: a cell of a period that is not issued yet is on
+time, one of an issued period corrects it, and one whose period has been
+released finds nothing to restore and comes too late.
 """
 
 from __future__ import annotations
@@ -31,24 +37,50 @@ class ReplayLedger:
     running count and total before it.
     """
 
-    def __init__(self, period_days: int = 7, lateness: int = 28, every: int = 4):
-        self.period_days, self.lateness, self.every = period_days, lateness, every
+    def __init__(self, period_days: int = 7, lateness: int = 28, every: int = 4, disorder: int = 90):
+        self.period_days, self.lateness, self.every, self.disorder = period_days, lateness, every, disorder
         self.order: list[int] = []
         self.outputs: dict[int, list] = {}
         self.snapshots: dict[int, tuple] = {}
         self.too_late: dict[int, int] = {}
         self.late: dict[int, int] = {}
         self.replayed = 0
-
-    def verdict(self, period: int, known: int) -> str:
-        over = known - (period * self.period_days + self.period_days - 1)
-        return ON_TIME if over <= 0 else CORRECTS if over <= self.lateness else TOO_LATE
+        self.clock: int | None = None  # the latest day heard of
+        self.issued = self.released = 0  # the last period whose output is out, and whose snapshot is gone
+        self.first_block: int | None = None  # the earliest block that can still be restored
+
+    def _last_ended(self, day: int) -> int:
+        """The last period that ended before ``day``."""
+        return (day - self.period_days) // self.period_days
+
+    def advance(self, known: int) -> None:
+        """Move to the day ``known``: issue what has ended, release what is beyond the cut-off.
+
+        A stream may bring days in disorder; snapshots therefore stay
+        ``disorder`` days longer. One before them stays as the base.
+        """
+        self.clock = known if self.clock is None else max(self.clock, known)
+        self.issued, self.released = self._last_ended(known), self._last_ended(known - self.lateness)
+        needed = (self._last_ended(self.clock - self.lateness - self.disorder) + 1) // self.every
+        old = sorted(b for b in self.snapshots if b <= needed)
+        for b in old[:-1]:
+            del self.snapshots[b]
+            self.first_block = old[-1]
+
+    def verdict(self, period: int) -> str:
+        """What becomes of a cell of this period now."""
+        if period > self.issued:
+            return ON_TIME
+        lost = self.first_block is not None and period // self.every < self.first_block
+        return TOO_LATE if period <= self.released or lost else CORRECTS
 
     def ingest(self, cells: list[tuple[int, int, int, float]]) -> list[str]:
         """Take cells (period, known day, count, total) that became known together; returns their verdicts."""
+        if cells:
+            self.advance(cells[0][1])
         verdicts, earliest, corrected = [], None, set()
-        for period, known, n, total in cells:
-            v = self.verdict(period, known)
+        for period, _, n, total in cells:
+            v = self.verdict(period)
             verdicts.append(v)
             if v == TOO_LATE:
                 self.too_late[period] = self.too_late.get(period, 0) + n

@@ -1,8 +1,8 @@
 """The late-event ledger as a stream: outputs are replaced as late records arrive.
 
-The stream is first aggregated to cells of (key, period, known day), the same
-as in the batch; each micro-batch's cells update a per-key state that holds
-the ledger. An output row with a higher revision replaces the one before.
+Within each micro-batch events are first added up to cells of (key, period,
+known day) where they are read, so a key that holds most events sends few rows;
+the cells then update a per-key state that holds the ledger. An output row with a higher revision replaces the one before.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ OUT = "key string, period int, n bigint, total double, running_n bigint, running
 
 
 def dump(ledger: ReplayLedger, revision: int) -> str:
-    return json.dumps({"order": ledger.order, "outputs": ledger.outputs, "snapshots": ledger.snapshots, "late": ledger.late, "too_late": ledger.too_late, "revision": revision})
+    return json.dumps({"order": ledger.order, "outputs": ledger.outputs, "snapshots": ledger.snapshots, "late": ledger.late, "too_late": ledger.too_late, "clock": ledger.clock, "first_block": ledger.first_block, "revision": revision})
 
 
 def load(text: str, period_days: int, lateness: int, every: int) -> tuple[ReplayLedger, int]:
@@ -28,14 +28,21 @@ def load(text: str, period_days: int, lateness: int, every: int) -> tuple[Replay
     ints = lambda m: {int(k): v for k, v in m.items()}
     ledger.order, ledger.outputs, ledger.snapshots = d["order"], ints(d["outputs"]), {int(k): tuple(v) for k, v in d["snapshots"].items()}
     ledger.late, ledger.too_late = ints(d["late"]), ints(d["too_late"])
+    ledger.clock, ledger.first_block = d["clock"], d["first_block"]
     return ledger, d["revision"]
 
 
+def _add_up(batches):
+    """Cells of the rows of each Arrow batch."""
+    for pdf in batches:
+        yield pdf.groupby(["key", "period", "known"], as_index=False).agg(n=("amount", "size"), total=("amount", "sum"))
+
+
 def corrected_totals(events: DataFrame, period_days: int = 7, lateness: int = 28, every: int = 4) -> DataFrame:
     """Changed outputs of each micro-batch from a stream of (key, event_day, known_day, amount).
 
     Rows without key, event day or known day are left out, null amounts are 0.
-    Within a micro-batch a key's rows come to one task as Arrow batches; the
+    Within a micro-batch a key's cells come to one task as Arrow batches; the
     state has a few numbers per period, whatever the number of events. Events
     beyond the cut-off change nothing; a row with verdict 'too_late' tells how
     many there were. All other rows are the new outputs of their period.
@@ -45,10 +52,10 @@ def corrected_totals(events: DataFrame, period_days: int = 7, lateness: int = 28
         ledger, revision = load(state.get[0], period_days, lateness, every) if state.exists else (ReplayLedger(period_days, lateness, every), 0)
         cells: dict[tuple[int, int], list] = {}
         for pdf in batches:
-            for r in pdf.groupby(["known", "period"])["amount"].agg(["size", "sum"]).reset_index().itertuples(index=False):
+            for r in pdf.itertuples(index=False):
                 c = cells.setdefault((int(r.known), int(r.period)), [0, 0.0])
-                c[0] += int(r.size)
-                c[1] += float(r.sum)
+                c[0] += int(r.n)
+                c[1] += float(r.total)
         before = {p: list(v) for p, v in ledger.outputs.items()}
         how: dict[int, set[str]] = {}
         refused: dict[int, int] = {}
@@ -69,4 +76,5 @@ def corrected_totals(events: DataFrame, period_days: int = 7, lateness: int = 28
     rows = events.where("key is not null and event_day is not null and known_day is not null").select(
         "key", F.floor(F.col("event_day") / period_days).cast("int").alias("period"), F.col("known_day").cast("int").alias("known"), F.coalesce(F.when(~F.isnan("amount"), F.col("amount")), F.lit(0.0)).alias("amount")
     )
-    return rows.groupBy("key").applyInPandasWithState(update, OUT, "ledger string", "update", GroupStateTimeout.NoTimeout)
+    cells = rows.mapInPandas(_add_up, "key string, period int, known int, n bigint, total double")
+    return cells.groupBy("key").applyInPandasWithState(update, OUT, "ledger string", "update", GroupStateTimeout.NoTimeout)

@@ -100,6 +100,17 @@ def test_late_replays_only_the_suffix():
     assert ledger.replayed - before == 2  # periods 8 and 9, from the snapshot before 8
 
 
+def test_a_ledger_releases_what_no_cell_can_ask_for():
+    ledger = late_events.ReplayLedger(7, 28, every=2, disorder=0)
+    for p in range(40):
+        ledger.ingest([(p, 7 * p, 1, 1.0)])
+    assert len(ledger.snapshots) <= 5 and ledger.outputs[39][2] == 40
+    assert ledger.ingest([(36, 274, 1, 1.0)]) == ["corrects"] and ledger.outputs[39][2] == 41
+    assert ledger.ingest([(3, 274, 1, 1.0)]) == ["too_late"]
+    # a day that comes in disorder finds its snapshot gone
+    assert ledger.ingest([(3, 40, 1, 1.0)]) == ["too_late"] and ledger.too_late == {3: 2}
+
+
 def test_late_events_with_nulls_ties_and_clashing_columns(spark):
     schema = "payment_id string, key string, event_day int, known_day int, amount double, verdict string, n int"
     data = [("a", "refund", 3, 3, 5.0, "", 0), ("b", "refund", 3, 7, None, "", 0), ("b", "refund", 3, 7, None, "", 0), ("c", "refund", 6, 34, float("nan"), "", 0), ("d", "refund", 0, 35, 2.0, "", 0), ("e", None, 1, 1, 1.0, "", 0), ("f", "refund", None, 1, 1.0, "", 0), ("g", "refund", 1, None, 1.0, "", 0), ("h", "other", -1, -1, 1.0, "", 0)]
