@@ -5,7 +5,8 @@ so a set of any size is a list of bounded runs, and a popular day, city or
 identifier never lands in one task. A run holds the sorted distinct hashes of
 one group and bucket, delta-coded. Runs of the finest groups are the stored,
 mergeable form: the run of a coarser group, or of two stores together, is the
-k-way union of runs.
+k-way union of runs. A store of fewer buckets is cut to those of the finer one
+first: a bucket is a range of hashes, so a run falls apart into runs.
 
 Two identifiers count as one only if their 64-bit hashes agree. Among n
 identifiers the expected number of such pairs, and with it both the
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIMS = ("day", "method", "city")
-RUNS = "field tinyint, bucket int, day int, method string, city string, n bigint, run binary"
+RUNS = "field tinyint, bits tinyint, bucket int, day int, method string, city string, n bigint, run binary"
 COUNTS = "field tinyint, grouping string, day int, method string, city string, n bigint"
 
 
@@ -80,22 +81,43 @@ def build_runs(ids: DataFrame, bits: int) -> DataFrame:
         rows = []
         for (day, method, city), h in cells:
             run = np.sort(h.to_numpy().view(np.uint64))
-            rows.append((field, bucket, None if pd.isna(day) else int(day), None if pd.isna(method) else method, None if pd.isna(city) else city, len(run), encode_run(run)))
-        return pd.DataFrame(rows, columns=["field", "bucket", *DIMS, "n", "run"]).astype({"day": "Int32"})
+            rows.append((field, bits, bucket, None if pd.isna(day) else int(day), None if pd.isna(method) else method, None if pd.isna(city) else city, len(run), encode_run(run)))
+        return pd.DataFrame(rows, columns=["field", "bits", "bucket", *DIMS, "n", "run"]).astype({"day": "Int32"})
 
     bucket = F.shiftrightunsigned("h", 64 - bits).cast("int")
     return pairs.withColumn("bucket", bucket).groupBy("field", "bucket").applyInPandas(encode, RUNS)
 
 
+def with_bits(runs: DataFrame, bits: int) -> DataFrame:
+    """The runs of a store in 2**bits buckets, which must not be fewer than it has."""
+
+    def cut(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                if r.bits > bits:
+                    raise ValueError(f"a run of {r.bits} bits cannot be put into buckets of {bits}")
+                h = decode_run(r.run)
+                bucket = h >> np.uint64(64 - bits)
+                names, starts = np.unique(bucket, return_index=True)
+                for name, part in zip(names.tolist(), np.split(h, starts[1:]), strict=True):
+                    rows.append((r.field, bits, name, r.day, r.method, r.city, len(part), encode_run(part)))
+            yield pd.DataFrame(rows, columns=["field", "bits", "bucket", *DIMS, "n", "run"]).astype({"day": "Int32"})
+
+    return runs.select("field", "bits", "bucket", *DIMS, "n", "run").mapInPandas(cut, RUNS)
+
+
 def merge_stores(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The runs of two stores with the same number of bits, united."""
+    """The runs of two stores, united in as many buckets as the finer one has; read twice."""
 
     def unite(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[:1].copy()
         run = union_runs([decode_run(r) for r in pdf["run"]])
         return first.assign(n=len(run), run=[encode_run(run)], day=first["day"].astype("Int32"))
 
-    return a.unionByName(b).groupBy("field", "bucket", *DIMS).applyInPandas(unite, RUNS)
+    both = a.unionByName(b)
+    bits = both.agg(F.max("bits")).head()[0]
+    return both if bits is None else with_bits(both, bits).groupBy("field", "bits", "bucket", *DIMS).applyInPandas(unite, RUNS)
 
 
 def _lattice() -> list[tuple[tuple[str, ...], tuple[str, ...] | None]]:
@@ -113,6 +135,8 @@ def distinct_counts(runs: DataFrame) -> DataFrame:
 
     def cube(pdf: pd.DataFrame) -> pd.DataFrame:
         field = pdf["field"].iloc[0]
+        if pdf["bits"].nunique() > 1:
+            raise ValueError("runs of different bits; unite the stores by merge_stores")
         day = pdf["day"].astype("Int32")
         cells = list(zip((None if pd.isna(d) else int(d) for d in day), pdf["method"], pdf["city"], strict=True))
         level = {DIMS: {c: decode_run(r) for c, r in zip(cells, pdf["run"], strict=True)}}

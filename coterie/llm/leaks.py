@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from coterie.runtime import materialise
 
-#: Masks of 8 words; each ignores other positions.
-MASKS = ("11101101", "11011011", "10110111")
+#: Masks of 8 words; each asks for five, at distances the other does not repeat.
+MASKS = ("10011101", "11010011")
 
 FOUND = "doc_id bigint, item_id bigint, longest int, overlap int, matched int"
 _INVISIBLE = regex.compile(r"[\p{Mn}\p{Me}\p{Cf}]+")

@@ -14,13 +14,13 @@ from coterie.sources.payments import read_table, valid_payments
 COUNTED = ("card_fingerprint", "device_fingerprint", "shipping_address_hash", "customer_id")
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored runs of the four identifiers by day, method and city."""
+def runs(spark: SparkSession, sf_dir: str, days: str = "true", more_bits: int = 0) -> DataFrame:
+    """The stored runs of the four identifiers by day, method and city, of the days that fulfil a condition."""
     payments = read_table(spark, sf_dir, "payments")
     columns = {c: identifier_body(c) if c in PREFIX else F.col(c) for c in COUNTED} | {"day": F.col("day"), "method": code("method"), "city": F.col("city")}
     fields = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("field"), F.col(c).alias("id")) for i, c in enumerate(COUNTED)))
-    ids = valid_payments(payments, columns).select(F.inline(fields), "day", "method", "city")
-    return distinct_runs.build_runs(ids, distinct_runs.hash_bits(payments.count()))
+    ids = valid_payments(payments, columns).where(days).select(F.inline(fields), "day", "method", "city")
+    return distinct_runs.build_runs(ids, distinct_runs.hash_bits(payments.count()) + more_bits)
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -33,6 +33,14 @@ def p3_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(distinct_runs.with_error(distinct_runs.distinct_counts(stored)))
 
 
+def p3_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from two stores, of the first half of the days and of the rest, the later one in more buckets, merged."""
+    early, _ = materialise(runs(spark, sf_dir, "day < 75"), "runs")
+    late, _ = materialise(runs(spark, sf_dir, "day >= 75 or day is null", 1), "runs")
+    merged, _ = materialise(distinct_runs.merge_stores(early, late), "runs")
+    return _named(distinct_runs.with_error(distinct_runs.distinct_counts(merged)))
+
+
 def p3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mergeable form: delta-coded runs of the finest groups."""
     return _named(runs(spark, sf_dir))
@@ -80,15 +88,18 @@ def p10_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if(found).alias("found"), F.avg(found.cast("double")).alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (p3_distinct, p3_runs, p7_found, p8_ids, p9_found, p9_overlaps, p10_found, p10_scores, p10_source_rates)}
+QUERIES = {f.__name__: f for f in (p3_distinct, p3_merged, p3_runs, p7_found, p8_ids, p9_found, p9_overlaps, p10_found, p10_scores, p10_source_rates)}
 
 _IDS = " union all ".join(f"select '{c}' as field, {sql_identifier(c) if c in PREFIX else c} as id, \"day\", {sql_code('method')} as method, city from valid" for c in COUNTED)
 
-ORACLE = {
-    "p3_distinct": f"""with {VALID}, ids as ({_IDS}),
+_COUNTS = f"""with {VALID}, ids as ({_IDS}),
 counts as (select field, array_to_string([x for x in [case when grouping("day") = 0 then 'day' end, case when grouping(method) = 0 then 'method' end, case when grouping(city) = 0 then 'city' end] if x is not null], '+') as g,
   "day", method, city, count(distinct id) as n from ids where id is not null group by field, cube ("day", method, city))
-select field, case when g = '' then 'all' else g end as grouping, "day", method, city, n, n::double * (n - 1) / power(2, 65) as error_bound from counts""",
+select field, case when g = '' then 'all' else g end as grouping, "day", method, city, n, n::double * (n - 1) / power(2, 65) as error_bound from counts"""
+
+ORACLE = {
+    "p3_distinct": _COUNTS,
+    "p3_merged": _COUNTS,
     "p7_found": f"""with recursive {VALID},
 uses as (select distinct kind, value, customer_id from (select 'card' as kind, {sql_identifier('card_fingerprint')} as value, customer_id from valid union all select 'address', {sql_identifier('shipping_address_hash')}, customer_id from valid) where value is not null),
 few as (select *, count(*) over (partition by kind, value) as users, min(customer_id) over (partition by kind, value) as first from uses),

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from coterie.llm import distinct_runs as d
@@ -50,8 +51,23 @@ def test_counts_equal_exact_ones_and_stores_merge(spark):
     assert rows(d.distinct_counts(d.build_runs(df(one), 5)), *cols) == _brute(one)
 
 
+@pytest.mark.parametrize(("first", "second"), [(2, 4), (5, 2), (3, 3)])
+def test_stores_of_different_bits_merge(spark, first, second):
+    one, two = _data(400, 3), _data(300, 4)
+    a, b = d.build_runs(spark.createDataFrame(one, SCHEMA), first), d.build_runs(spark.createDataFrame(two, SCHEMA), second)
+    merged = d.merge_stores(a, b)
+    assert {r.bits for r in merged.collect()} == {max(first, second)}
+    assert rows(d.distinct_counts(merged), "field", "grouping", *d.DIMS, "n") == _brute(one + two)
+    if first != second:
+        with pytest.raises(Exception, match="different bits"):
+            d.distinct_counts(a.unionByName(b)).collect()
+    with pytest.raises(Exception, match="cannot be put"):
+        d.with_bits(a, 1).collect()
+
+
 def test_nothing_to_count(spark):
     empty = spark.createDataFrame([], SCHEMA)
+    assert rows(d.merge_stores(d.build_runs(empty, 2), d.build_runs(empty, 3))) == []
     assert rows(d.distinct_counts(d.build_runs(empty, 2))) == []
 
 

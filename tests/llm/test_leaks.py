@@ -53,6 +53,20 @@ def test_substituted_words_are_tolerated(spark):
     assert rows(leaks.leaked_items(df, bench)) == [(1, 7, 10, 20, 19)]
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.2, 0.3])
+def test_recall_of_passages_with_substituted_words(rate):
+    rng = random.Random(7)
+    vocab = [f"v{i}" for i in range(3000)]
+    passages = [[rng.choice(vocab) for _ in range(25)] for _ in range(400)]
+    items = leaks.index_items([(i, " ".join(p)) for i, p in enumerate(passages)])
+    hits = 0
+    for i, p in enumerate(passages):
+        changed = [rng.choice(vocab) if rng.random() < rate else w for w in p]
+        doc = [rng.choice(vocab) for _ in range(20)] + changed + [rng.choice(vocab) for _ in range(20)]
+        hits += i in leaks.matches(" ".join(doc), items, leaks.MASKS, 1)
+    assert hits / len(passages) >= 0.9
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     bench = spark.createDataFrame([], "item_id bigint, text string")
