@@ -58,6 +58,23 @@ class Splits:
     test: tuple[int, int] = (110, 149)
 
 
+@dataclass(frozen=True)
+class Profile:
+    """What differs between sources: links, splits, and how much a fraud weighs in training."""
+
+    links: tuple[Link, ...] = LINKS
+    splits: Splits = field(default_factory=Splits)
+    positive_weight: float = 6.0
+
+
+#: The sources that differ from the default.
+PROFILES = {
+    "cards": Profile(CARD_DATA_LINKS, Splits((0, 119), (120, 149), (150, 181)), 3.0),
+    "orders": Profile(splits=Splits((0, 1199), (1200, 1599), (1600, 2404))),
+    "events": Profile(splits=Splits((0, 17), (18, 21), (22, 29))),
+}
+
+
 @dataclass(frozen=True)
 class Maturity:
     dispute_window: int = 45

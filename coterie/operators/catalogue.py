@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 #: Who a feature tells about, by the first pattern its name matches.
 SUBJECTS = (
+    (r"^src_", "source"),
     (r"^g_", "links"),
     (r"^(cl_|clsig_|size$|edges$|density$|mean_edge|max_edge)", "cluster"),
     (r"^vel_ip", "connection"),
@@ -23,6 +24,7 @@ SUBJECTS = (
 )
 #: What a feature tells, by the first pattern its name matches.
 ASPECTS = (
+    (r"^src_", "counters"),
     (r"fail|decline", "declines"),
     (r"refund", "refunds"),
     (r"amount|ticket", "amounts"),

@@ -91,11 +91,15 @@ def prior_distinct(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     return running(flagged(df, first_of_pair(df, a, b), "is_first"), a, {name: F.col("is_first").cast("int")}).select("payment_id", F.col(name).cast("bigint").alias(name))
 
 
-def scalars(df: DataFrame) -> DataFrame:
+def scalar_columns() -> list[Column]:
     """Features of the row itself."""
-    return df.select(
-        "payment_id", "amount", F.log1p("amount").alias("log_amount"), ((F.col("created_at") % DAY) / HOUR).alias("hour_of_day"), (F.col("day") % 7).alias("day_of_week"), "account_age_days", (F.col("amount") < 5000).cast("int").alias("is_micro_ticket")
-    )
+    c = F.col
+    return [c("amount"), F.log1p("amount").alias("log_amount"), ((c("created_at") % DAY) / HOUR).alias("hour_of_day"), (c("day") % 7).alias("day_of_week"), c("account_age_days"), (c("amount") < 5000).cast("int").alias("is_micro_ticket")]
+
+
+def scalars(df: DataFrame) -> DataFrame:
+    """Features of the row itself, by payment."""
+    return df.select("payment_id", *scalar_columns())
 
 
 #: Pairs whose prior distinct counts are features: (under, what, name).
@@ -125,36 +129,119 @@ def refunds_known(df: DataFrame) -> DataFrame:
     return df.select("payment_id", "customer_id", "day", own.alias("own")).join(known, ["customer_id", "day"]).select("payment_id", (F.col("refunds") - F.col("own")).alias("prior_customer_refunds"))
 
 
-def tabular_features(df: DataFrame) -> DataFrame:
-    """All features of the tabular block, one row per payment."""
-    out = scalars(df)
-    out = out.join(
-        running(df, "customer_id", {"failures": F.coalesce((F.col("status") == "failed").cast("int"), F.lit(0)), "amounts": F.coalesce("amount", F.lit(0.0))}).withColumnRenamed("prev_at", "prev_customer"),
-        "payment_id", "left",
-    ).join(running(df, "device_fingerprint", {}).select("payment_id", F.col("prev_at").alias("prev_device")), "payment_id", "left")
-    out = out.join(df.select("payment_id", "created_at", *(F.coalesce(c, F.lit("__none__")).alias(c) for c in ("method", "card_network", "card_type", "card_issuer", "city"))), "payment_id")
-    out = out.join(refunds_known(df), "payment_id", "left")
-    for a, b, name in DISTINCT:
-        out = out.join(prior_distinct(df, a, b, name), "payment_id", "left")
-    first_card = flagged(df, first_of_pair(df, "device_fingerprint", "card_fingerprint"), "is_first")
-    out = out.join(trailing_counts(first_card, "device_fingerprint", {"new_cards_on_device_24h": DAY, "new_cards_on_device_7d": 7 * DAY}, only=F.col("is_first")), "payment_id", "left")
-    for key, (short, windows) in VELOCITY.items():
-        out = out.join(trailing_counts(df, key, {f"vel_{short}_{n}": s for n, s in windows.items()}), "payment_id", "left")
+#: The order of the keys in the combined plan; refunds are a kind of their own, by day.
+KINDS = (*VELOCITY, "refunds")
+LONGEST = 7 * DAY
+_MEASURES = ("n", "failed", "amount", "seen_a", "seen_b")
+
+
+def _key_events(df: DataFrame) -> DataFrame:
+    """All that happens under a key, in one table: (kind, key, at, tie, marker, payment_id, measures, prev, trail, trail_new).
+
+    A payment is an event under each of its keys. The first payment of a pair
+    of ``DISTINCT`` is one more, marked event under the pair's first key, and
+    sorts behind the payment itself. Refunds are events of their customer on
+    their day, ahead of the payments that ask for them.
+    """
+    c, zero = F.col, F.lit(0.0)
+    kind = {k: i for i, k in enumerate(KINDS)}
+    timed = df.where("created_at is not null")
+    keys = F.array(*(F.struct(F.lit(kind[k]).alias("kind"), F.col(k).alias("key")) for k in VELOCITY))
+    failed = F.coalesce((c("status") == "failed").cast("double"), zero)
+    paid = timed.select(F.inline(keys), c("created_at").alias("at"), "payment_id", failed.alias("failed"), F.coalesce("amount", zero).alias("amount")).where("key is not null")
+    paid = paid.select("kind", "key", "at", c("payment_id").alias("tie"), F.lit(0).alias("marker"), "payment_id", F.lit(1.0).alias("n"), "failed", "amount", zero.alias("seen_a"), zero.alias("seen_b"), c("at").alias("prev"), F.lit(1).alias("trail"), F.lit(0).alias("trail_new"))
+
+    # the pairs of one key are told apart as its first and second
+    place: list[tuple[int, str]] = []
+    for a, _, _ in DISTINCT:
+        place.append((kind[a], "seen_a" if (kind[a], "seen_a") not in place else "seen_b"))
+    new_card = next(i for i, (a, b, _) in enumerate(DISTINCT) if (a, b) == ("device_fingerprint", "card_fingerprint"))
+    pairs = F.array(*(F.struct(F.lit(i).alias("pair"), F.col(a).alias("a"), F.col(b).alias("b")) for i, (a, b, _) in enumerate(DISTINCT)))
+    first = timed.select(F.inline(pairs), "created_at", "payment_id").where("a is not null and b is not null").groupBy("pair", "a", "b").agg(F.min(F.struct("created_at", "payment_id")).alias("first"))
+    of_pair = lambda want: F.when(c("pair").isin([i for i, (_, p) in enumerate(place) if p == want]), 1.0).otherwise(0.0).alias(want)
+    kind_of = F.element_at(F.array(*(F.lit(k) for k, _ in place)), c("pair") + 1)
+    marked = first.select(
+        kind_of.alias("kind"), c("a").alias("key"), c("first.created_at").alias("at"), c("first.payment_id").alias("tie"), F.lit(1).alias("marker"), c("first.payment_id").alias("payment_id"), zero.alias("n"), zero.alias("failed"), zero.alias("amount"),
+        of_pair("seen_a"), of_pair("seen_b"), F.lit(None).cast("bigint").alias("prev"), F.lit(0).alias("trail"), (c("pair") == new_card).cast("int").alias("trail_new"),
+    )
+
+    due = F.when(c("refund_day") >= 0, F.greatest("refund_day", "day"))
+    asks = F.array(F.struct(due.alias("on"), F.lit(0).alias("marker")), F.struct(c("day").alias("on"), F.lit(1).alias("marker")))
+    refunds = df.where("customer_id is not null").select(c("customer_id").alias("key"), "payment_id", F.inline(asks)).where("on is not null")
+    refunds = refunds.select(
+        F.lit(kind["refunds"]).alias("kind"), "key", (c("on").cast("bigint") * DAY).alias("at"), F.lit("").alias("tie"), "marker", "payment_id", (1.0 - c("marker")).alias("n"), zero.alias("failed"), zero.alias("amount"), zero.alias("seen_a"), zero.alias("seen_b"),
+        F.lit(None).cast("bigint").alias("prev"), F.lit(0).alias("trail"), F.lit(0).alias("trail_new"),
+    )
+    return paid.unionByName(marked).unionByName(refunds)
+
+
+def tabular_features(df: DataFrame, span: int = SPAN) -> DataFrame:
+    """All features of the tabular block, one row per payment. ``df`` is read several times: give a written table.
+
+    Every key's events go through one shuffle by (kind, key, span of time).
+    What the spans before carried over joins them as one more row at the head
+    of its span, rows shortly before a span are copied into it for the
+    trailing counts, and one aggregation by payment puts the results together.
+    """
+    c = F.col
+    events = _key_events(df).withColumn("span", F.floor(c("at") / span))
+    key = ("kind", "key")
+    per_span = events.groupBy(*key, "span").agg(*(F.sum(m).alias(m) for m in _MEASURES), F.max("prev").alias("prev"))
+    carried = Window.partitionBy(*key).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    head = per_span.select(
+        *key, F.lit(-(2**62)).alias("at"), F.lit("").alias("tie"), F.lit(-1).alias("marker"), F.lit(None).cast("string").alias("payment_id"), *(F.coalesce(F.sum(m).over(carried), F.lit(0.0)).alias(m) for m in _MEASURES), F.max("prev").over(carried).alias("prev"), F.lit(0).alias("trail"), F.lit(0).alias("trail_new"), "span", F.lit(False).alias("own")
+    )
+    reach = F.least(c("span") + -(-LONGEST // span), F.floor((c("at") + LONGEST) / span))
+    last = F.when((c("trail") + c("trail_new")) > 0, reach).otherwise(c("span"))
+    placed = events.withColumn("at_span", F.explode(F.sequence("span", last))).withColumn("own", c("span") == c("at_span"))
+    placed = placed.select(*key, "at", "tie", "marker", "payment_id", *(F.when(c("own"), c(m)).otherwise(0.0).alias(m) for m in _MEASURES), F.when(c("own"), c("prev")).alias("prev"), "trail", "trail_new", c("at_span").alias("span"), "own")
+    group = Window.partitionBy(*key, "span")
+    before = group.orderBy("at", "tie", "marker").rowsBetween(Window.unboundedPreceding, -1)
+    within = lambda seconds: group.orderBy("at").rangeBetween(-seconds, -1)
+    seen = placed.unionByName(head).select(
+        "kind", "marker", "payment_id", "own", "trail_new", *(F.sum(m).over(before).alias(m) for m in _MEASURES), F.max("prev").over(before).alias("prev"),
+        *(F.coalesce(F.sum("trail").over(within(s)), F.lit(0)).alias(f"t_{n}") for n, s in (("1h", HOUR), ("24h", DAY), ("7d", 7 * DAY))),
+        *(F.coalesce(F.sum("trail_new").over(within(s)), F.lit(0)).alias(f"new_{n}") for n, s in (("24h", DAY), ("7d", 7 * DAY))),
+    ).where("own")
+
+    number = {k: i for i, k in enumerate(KINDS)}
+
+    def take(kind: str, column: str, marker: int = 0, more: Column | None = None) -> Column:
+        here = (c("kind") == number[kind]) & (c("marker") == marker)
+        return F.max(F.when(here if more is None else here & more, c(column)))
+
+    whole = lambda x: F.coalesce(x, F.lit(0)).cast("bigint")
+    columns = {
+        "prior_n": take("customer_id", "n"), "failures": take("customer_id", "failed"), "amounts": take("customer_id", "amount"), "prev_customer": take("customer_id", "prev"), "prev_device": take("device_fingerprint", "prev"), "refunds_due": take("refunds", "n", 1),
+        **{f"new_cards_on_device_{n}": whole(take("device_fingerprint", f"new_{n}", 1, c("trail_new") == 1)) for n in ("24h", "7d")},
+        **{f"vel_{short}_{n}": whole(take(k, f"t_{n}")) for k, (short, windows) in VELOCITY.items() for n in windows},
+    }
+    used: set[str] = set()
+    for a, _, name in DISTINCT:
+        columns[name] = whole(take(a, "seen_b" if a in used else "seen_a"))
+        used.add(a)
+    per = seen.groupBy("payment_id").agg(*(x.alias(n) for n, x in columns.items()))
+
+    # a refund on the day of its own payment is not of an earlier payment
+    own_refund = F.when((c("refund_day") >= 0) & (F.greatest("refund_day", "day") <= c("day")), 1).otherwise(0)
+    levels = (F.coalesce(x, F.lit("__none__")).alias(x) for x in ("method", "card_network", "card_type", "card_issuer", "city"))
+    own = df.select("payment_id", "created_at", own_refund.alias("own_refund"), *scalar_columns(), *levels)
+    out = own.join(per, "payment_id", "left")
+    zeros = [n for n in columns if n.startswith(("vel_", "new_")) or n in [name for *_, name in DISTINCT]]
     n = F.nullif("prior_customer_payments", F.lit(0))
-    mean = F.col("amounts") / n
-    counts = [name for *_, name in DISTINCT]
     return (
-        out.withColumn("prior_customer_payments", F.coalesce("prior_n", F.lit(0)).cast("bigint"))
-        .withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in (*counts, "prior_customer_refunds")})
+        out.withColumns({z: F.coalesce(z, F.lit(0).cast("bigint")) for z in zeros})
+        .withColumn("prior_customer_payments", whole(c("prior_n")))
+        .withColumn("prior_customer_refunds", whole(c("refunds_due") - c("own_refund")))
         .withColumns(
             {
                 "prior_customer_failures": F.coalesce("failures", F.lit(0.0)),
-                "prior_customer_failure_rate": F.coalesce(F.col("failures") / n, F.lit(0.0)),
-                "prior_customer_refund_rate": F.coalesce(F.col("prior_customer_refunds") / n, F.lit(0.0)),
-                "amount_z_vs_customer": F.when(mean > 0, F.col("amount") / mean).otherwise(1.0),
-                "seconds_since_prev_customer": F.col("created_at") - F.col("prev_customer"),
-                "seconds_since_prev_device": F.col("created_at") - F.col("prev_device"),
+                "prior_customer_failure_rate": F.coalesce(c("failures") / n, F.lit(0.0)),
+                "prior_customer_refund_rate": F.coalesce(c("prior_customer_refunds") / n, F.lit(0.0)),
+                "amount_z_vs_customer": F.when(c("amounts") / n > 0, c("amount") / (c("amounts") / n)).otherwise(1.0),
+                "seconds_since_prev_customer": c("created_at") - c("prev_customer"),
+                "seconds_since_prev_device": c("created_at") - c("prev_device"),
             }
         )
-        .drop("prior_n", "failures", "amounts", "prev_customer", "prev_device", "created_at")
+        .drop("prior_n", "failures", "amounts", "prev_customer", "prev_device", "created_at", "refunds_due", "own_refund")
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,14 +52,24 @@ class Arm:
         return done.drop("features", "rawPrediction", "probability", "prediction", *(f"{c}_ix" for c in self.categorical))
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        self.model.write().overwrite().save(f"{path}/model")
+        about = json.dumps({"name": self.name, "numeric": self.numeric, "categorical": self.categorical, "levels": self.levels})
+        SparkSession.active().createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/arm")
 
+    @staticmethod
+    def load(path: str) -> Arm:
+        """An arm that was saved."""
+        about = json.loads(SparkSession.active().read.text(f"{path}/arm").head()[0])
+        return Arm(about["name"], PipelineModel.load(f"{path}/model"), about["numeric"], about["categorical"], about["levels"])
 
-def train_arm(name: str, train: DataFrame, numeric: list[str], categorical: list[str], positive_weight: float = 6.0, iterations: int = 20, depth: int = 5, seed: int = 42) -> Arm:
+
+def train_arm(name: str, train: DataFrame, numeric: list[str], categorical: list[str], positive_weight: float = 6.0, iterations: int = 40, depth: int = 5, seed: int = 42, validation: DataFrame | None = None, step: float = 0.1) -> Arm:
     """Boosted trees on ``train``, whose column ``y`` is the label. Forbidden columns raise an error.
 
-    Each tree sees four fifths of the rows, which ones depends on the seed. The
-    vocabulary has at most 254 levels per column and goes to the driver.
+    Each tree sees four fifths of the rows, which ones depends on the seed. With
+    ``validation`` rows boosting stops as soon as a tree no longer lowers their
+    loss by a hundredth; ``iterations`` is the most trees then. The vocabulary
+    has at most 254 levels per column and goes to the driver.
     """
     assert_allowed([*numeric, *categorical])
     levels: dict[str, list[str]] = {c: [] for c in categorical}
@@ -66,10 +77,16 @@ def train_arm(name: str, train: DataFrame, numeric: list[str], categorical: list
         for r in category_vocab(train, tuple(categorical)).orderBy("feature", "rank").collect():
             levels[r.feature].append(r.level)
     arm = Arm(name, None, numeric, categorical, levels)
-    ready = arm.prepare(train).withColumn("weight", F.when(F.col("y") == 1, positive_weight).otherwise(1.0)).withColumn("label", F.col("y").cast("double"))
+    columns = [*numeric, *categorical, "y"]
+    rows = train.select(*columns, F.lit(False).alias("held_out"))
+    if validation is not None:
+        rows = rows.unionByName(validation.select(*columns, F.lit(True).alias("held_out")))
+    ready = arm.prepare(rows).withColumn("weight", F.when(F.col("y") == 1, positive_weight).otherwise(1.0)).withColumn("label", F.col("y").cast("double"))
     indexers = [StringIndexerModel.from_labels([*levels[c], OTHER], inputCol=c, outputCol=f"{c}_ix", handleInvalid="keep") for c in categorical]
     assembler = VectorAssembler(inputCols=[*numeric, *(f"{c}_ix" for c in categorical)], outputCol="features", handleInvalid="keep")
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=iterations, maxDepth=depth, stepSize=0.1, maxBins=max(64, *(len(v) + 3 for v in levels.values())) if levels else 64, subsamplingRate=0.8, seed=seed)
+    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=iterations, maxDepth=depth, stepSize=step, maxBins=max(64, *(len(v) + 3 for v in levels.values())) if levels else 64, subsamplingRate=0.8, seed=seed)
+    if validation is not None:
+        gbt = gbt.setValidationIndicatorCol("held_out")
     arm.model = Pipeline(stages=[*indexers, assembler, gbt]).fit(ready)
     return arm
 

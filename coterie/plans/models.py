@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coterie.operators import catalogue, explain, pointintime, scoring
-from coterie.plans.graph import table
+from coterie.plans.graph import split_in, table
 from coterie.runtime import materialise
-from coterie.sources.contract import CATEGORICAL, split_of
+from coterie.sources.contract import CATEGORICAL
 
 TABULAR = (
     "amount log_amount hour_of_day day_of_week account_age_days is_micro_ticket amount_z_vs_customer seconds_since_prev_customer seconds_since_prev_device prior_customer_payments prior_customer_failures prior_customer_failure_rate prior_customer_refunds prior_customer_refund_rate "
@@ -27,17 +27,31 @@ GRAPH_GROUPS = frozenset(filter(catalogue.from_graph, GROUPS))
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both feature blocks of every payment with its split, label and maturity."""
+    """Both feature blocks of every payment with its split, label and maturity, and the source's own columns."""
     p = table(spark, sf_dir, "payments")
-    own = p.select("payment_id", F.col("is_fraud").cast("int").alias("y"), split_of(F.col("day")).alias("split"), F.coalesce("label_matured", F.lit(False)).alias("matured"))
+    given = (F.col(c).cast("double").alias(c) for c in p.columns if c.startswith("src_"))
+    own = p.select("payment_id", F.col("is_fraud").cast("int").alias("y"), split_in(spark, sf_dir).alias("split"), F.coalesce("label_matured", F.lit(False)).alias("matured"), *given)
     graph = table(spark, sf_dir, "graph_block").select("payment_id", "cluster", *GRAPH)
     return materialise(own.join(pointintime.tabular_features(p), "payment_id").join(graph, "payment_id", "left"), "matrix")[0]
 
 
-def arms(rows: DataFrame, iterations: int = 20) -> tuple[scoring.Arm, scoring.Arm]:
-    """The base and the graph arm, trained on matured training rows."""
-    train = rows.where("split = 'train' and matured")
-    return tuple(scoring.train_arm(n, train, cols, list(CATEGORICAL), iterations=iterations) for n, cols in (("base", TABULAR), ("graph", [*TABULAR, *GRAPH])))
+def inputs(rows: DataFrame) -> dict[str, list[str]]:
+    """The numeric columns of each arm; both read what the source gave."""
+    base = [*TABULAR, *(c for c in rows.columns if c.startswith("src_"))]
+    return {"base": base, "graph": [*base, *GRAPH]}
+
+
+def arms(rows: DataFrame, iterations: int = 40, positive_weight: float = 6.0) -> tuple[scoring.Arm, scoring.Arm]:
+    """The base and the graph arm, trained on matured training rows and stopped by matured validation rows."""
+    train, held_out = (rows.where((F.col("split") == s) & F.col("matured")) for s in ("train", "val"))
+    if not held_out.limit(1).count():
+        held_out = None
+    return tuple(scoring.train_arm(n, train, cols, list(CATEGORICAL), positive_weight, iterations, validation=held_out) for n, cols in inputs(rows).items())
+
+
+def groups_of(rows: DataFrame) -> dict[str, list[str]]:
+    """The reason groups of the features in ``rows``."""
+    return catalogue.groups([*inputs(rows)["graph"], *CATEGORICAL])
 
 
 def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,18 +68,18 @@ def group_occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, graph = arms(rows)
     honest = rows.where("split = 'train' and y = 0")
     # one row per feature comes to the driver
-    reference = {r.feature: r.level if r.level is not None else r.center for r in explain.honest_reference(honest, (*TABULAR, *GRAPH), CATEGORICAL, accuracy=10_000).collect()}
-    return scoring.occlude(graph, rows.where("split = 'test'"), GROUPS, reference)
+    reference = {r.feature: r.level if r.level is not None else r.center for r in explain.honest_reference(honest, tuple(inputs(rows)["graph"]), CATEGORICAL, accuracy=10_000).collect()}
+    return scoring.occlude(graph, rows.where("split = 'test'"), groups_of(rows), reference)
 
 
 def alert_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reasons of every test payment in the graph arm, in words."""
     rows = matrix(spark, sf_dir)
     _, graph = arms(rows)
-    numeric = (*TABULAR, *GRAPH)
+    numeric = tuple(inputs(rows)["graph"])
     reference, _ = materialise(explain.honest_reference(rows.where("split = 'train' and y = 0"), numeric, CATEGORICAL, accuracy=10_000), "reference")
     centers = {r.feature: r.level if r.level is not None else r.center for r in reference.collect()}  # a row per feature
     test = rows.where("split = 'test'")
-    contributions, _ = materialise(scoring.occlude(graph, test, GROUPS, centers), "occlusion")
+    contributions, _ = materialise(scoring.occlude(graph, test, groups_of(rows), centers), "occlusion")
     z = explain.robust_z(test, reference, tuple(q.feature for q in catalogue.SENTENCES))
     return explain.narrate(contributions, z, test.select("payment_id", F.col("cluster").isNotNull().alias("clustered")), GRAPH_GROUPS)

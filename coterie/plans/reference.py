@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from coterie.config import LINKS, Config
 from coterie.operators import checks, evaluation, explain, identity, pointintime
-from coterie.plans.graph import COMMUNITIES, COMPONENTS, table
+from coterie.plans.graph import COMMUNITIES, COMPONENTS, profile, split_in, table
 from coterie.plans.problems import VALID, sql_code, sql_identifier
 from coterie.functions.clean import PREFIX
-from coterie.sources.contract import CATEGORICAL, label_day, payments, split_of
+from coterie.sources.contract import CATEGORICAL, label_day, payments
 
 CONFIG = Config()
 G = CONFIG.graph
@@ -121,7 +121,7 @@ def scored(spark: SparkSession, sf_dir: str, test_only: bool = True, scores: Dat
     arithmetic of the columns. Those exercise the evaluation and say nothing
     about how well anything is detected.
     """
-    p = payments(spark, sf_dir).withColumn("split", split_of(F.col("day"))).withColumn("y", F.col("is_fraud").cast("int"))
+    p = payments(spark, sf_dir).withColumn("split", split_in(spark, sf_dir)).withColumn("y", F.col("is_fraud").cast("int"))
     if test_only:
         p = p.where("split = 'test'")
     if scores is not None:
@@ -152,7 +152,7 @@ def corpus_summary(spark, sf_dir):
     p = payments(spark, sf_dir, "day", "amount", "status", "is_fraud", "ring_id")
     captured = F.col("status") == "captured"
     money = lambda c: F.round(F.coalesce(F.sum(F.when(c, F.col("amount"))), F.lit(0.0)) / 100)
-    return p.groupBy(split_of(F.col("day")).alias("split")).agg(
+    return p.groupBy(split_in(spark, sf_dir).alias("split")).agg(
         F.count(F.lit(1)).alias("payments"), F.count_if("is_fraud").alias("fraud"), F.round(F.avg(F.col("is_fraud").cast("int")), 6).alias("fraud_rate"),
         F.count_distinct(F.when(F.col("is_fraud") & (F.col("ring_id") != ""), F.col("ring_id"))).alias("rings"), money(captured).alias("gmv_major"), money(captured & F.col("is_fraud")).alias("fraud_major"),
     )
@@ -169,7 +169,7 @@ def link_coverage(spark, sf_dir):
 
 @query(R(CONF) + " select payment_id, split from conf")
 def temporal_split(spark, sf_dir):
-    return payments(spark, sf_dir, "day").select("payment_id", split_of(F.col("day")).alias("split"))
+    return payments(spark, sf_dir, "day").select("payment_id", split_in(spark, sf_dir).alias("split"))
 
 
 @query(R(CONF) + """ select payment_id, label_day, label_day <= 150 as matured from (select payment_id, case when disputed and dispute_day >= 0 then dispute_day when refunded and refund_day >= 0 then refund_day when status = 'failed' then "day" else "day" + 45 end as label_day from conf)""")
@@ -180,13 +180,13 @@ def label_maturity(spark, sf_dir):
 
 @query(R(CONF) + " select payment_id, split, is_fraud from conf where split in ('train', 'val') and coalesce(label_matured, false)")
 def matured_training_rows(spark, sf_dir):
-    p = payments(spark, sf_dir, "day", "is_fraud", "label_matured").withColumn("split", split_of(F.col("day")))
+    p = payments(spark, sf_dir, "day", "is_fraud", "label_matured").withColumn("split", split_in(spark, sf_dir))
     return p.where(F.col("split").isin("train", "val") & F.coalesce("label_matured", F.lit(False))).select("payment_id", "split", "is_fraud")
 
 
 @query(R(CONF) + " select split, count(*) as payments, count_if(is_fraud) as fraud, count_if(split in ('train', 'val') and not coalesce(label_matured, false)) as dropped from conf group by 1")
 def split_stats(spark, sf_dir):
-    p = payments(spark, sf_dir, "day", "is_fraud", "label_matured").withColumn("split", split_of(F.col("day")))
+    p = payments(spark, sf_dir, "day", "is_fraud", "label_matured").withColumn("split", split_in(spark, sf_dir))
     dropped = F.col("split").isin("train", "val") & ~F.coalesce("label_matured", F.lit(False))
     return p.groupBy("split").agg(F.count(F.lit(1)).alias("payments"), F.count_if("is_fraud").alias("fraud"), F.count_if(dropped).alias("dropped"))
 
@@ -271,9 +271,30 @@ def new_cards_on_device(spark, sf_dir):
     return pointintime.trailing_counts(marked, "device_fingerprint", {"new_cards_24h": DAY, "new_cards_7d": 7 * DAY}, only=F.col("is_first"))
 
 
-@query()
+def _tabular_sql() -> str:
+    """The queries above, put together: each window of the block in one select, firsts and refunds beside it."""
+    vel = ", ".join(f"case when {k} is null then 0 else count(*) over (partition by {k} order by created_at range between {w} preceding and 1 preceding) end as vel_{short}_{n}" for k, (short, windows) in pointintime.VELOCITY.items() for n, w in windows.items())
+    levels = ", ".join(f"coalesce({c}, '__none__') as {c}" for c in CATEGORICAL)
+    marks = ", ".join(f"{a} is not null and {b} is not null and row_number() over (partition by {a}, {b} order by created_at, payment_id) = 1 as f{i}" for i, (a, b, _) in enumerate(pointintime.DISTINCT))
+    seen = ", ".join(f"case when {a} is null then 0 else coalesce(sum(f{i}::int) over (partition by {a} order by created_at, payment_id rows between unbounded preceding and 1 preceding), 0)::bigint end as {name}" for i, (a, _, name) in enumerate(pointintime.DISTINCT))
+    return R(CONF) + f""", marked as (select *, {marks} from conf),
+seen as (select payment_id, {seen} from marked),
+fresh as (select payment_id, count(*) over (partition by device_fingerprint order by created_at range between 86400 preceding and 1 preceding) as new_cards_on_device_24h, count(*) over (partition by device_fingerprint order by created_at range between 604800 preceding and 1 preceding) as new_cards_on_device_7d from marked where f2),
+refunds as (select p.payment_id, count(q.payment_id) as prior_customer_refunds from conf p left join conf q on q.customer_id = p.customer_id and q.payment_id <> p.payment_id and q.refund_day >= 0 and greatest(q.refund_day, q."day") <= p."day" group by 1),
+own as (select payment_id, amount, ln(1 + amount) as log_amount, (created_at % 86400) / 3600 as hour_of_day, "day" % 7 as day_of_week, account_age_days, (amount < 5000)::int as is_micro_ticket, {levels}, {vel},
+ count(*) over ({_PRIOR}) as prior_customer_payments, coalesce(sum((status = 'failed')::int) over ({_PRIOR}), 0)::double as prior_customer_failures, case when avg(amount) over ({_PRIOR}) > 0 then amount / avg(amount) over ({_PRIOR}) else 1 end as amount_z_vs_customer,
+ created_at - lag(created_at) over (partition by customer_id order by created_at, payment_id) as seconds_since_prev_customer, case when device_fingerprint is not null then created_at - lag(created_at) over (partition by device_fingerprint order by created_at, payment_id) end as seconds_since_prev_device from conf),
+block as (select own.*, seen.* exclude (payment_id), coalesce(new_cards_on_device_24h, 0) as new_cards_on_device_24h, coalesce(new_cards_on_device_7d, 0) as new_cards_on_device_7d, prior_customer_refunds,
+ coalesce(prior_customer_failures / nullif(prior_customer_payments, 0), 0) as prior_customer_failure_rate, coalesce(prior_customer_refunds / nullif(prior_customer_payments, 0), 0) as prior_customer_refund_rate from own join seen using (payment_id) join refunds using (payment_id) left join fresh using (payment_id))
+select * replace ({_r(*_TABULAR_ROUNDED)}) from block"""
+
+
+_TABULAR_ROUNDED = ("log_amount", "hour_of_day", "prior_customer_failure_rate", "prior_customer_refund_rate", "amount_z_vs_customer")
+
+
+@query(_tabular_sql())
 def tabular_features(spark, sf_dir):
-    return pointintime.tabular_features(payments(spark, sf_dir))
+    return rounded(pointintime.tabular_features(table(spark, sf_dir, "payments")), *_TABULAR_ROUNDED)
 
 
 # ---- identity graph ----
@@ -282,7 +303,7 @@ def tabular_features(spark, sf_dir):
 @query(R(DFS) + " select as_of_day, link_type, value, df, df > max_df as pruned from dfs join specs using (link_type) where df >= 2")
 def identifier_df(spark, sf_dir):
     s = table(spark, sf_dir, "segments").where("df >= 2")
-    return s.select(F.explode(F.sequence("from_day", "to_day")).alias("as_of_day"), "link_type", "value", "df", (F.col("df") > identity.cap(G)).alias("pruned"))
+    return s.select(F.explode(F.sequence("from_day", "to_day")).alias("as_of_day"), "link_type", "value", "df", (F.col("df") > identity.cap(profile(spark, sf_dir)[1])).alias("pruned"))
 
 
 @query(R(EDGES) + f" select as_of_day, link_type, value, df, {_r('weight')} from weights")
@@ -311,7 +332,7 @@ def connected_components(spark, sf_dir):
 def component_density(spark, sf_dir):
     from coterie.operators.communities import component_density as density
 
-    return rounded(density(table(spark, sf_dir, "components"), table(spark, sf_dir, "edges"), G), "density")
+    return rounded(density(table(spark, sf_dir, "components"), table(spark, sf_dir, "edges"), profile(spark, sf_dir)[1]), "density")
 
 
 @query()
@@ -355,7 +376,7 @@ def asof_cluster_resolution(spark, sf_dir):
 
 @query(R(RESOLVED, True) + " select split, g_match, count(*) as payments from resolved join conf using (payment_id) group by 1, 2")
 def resolution_coverage(spark, sf_dir):
-    r = table(spark, sf_dir, "component_resolved").withColumn("split", split_of(F.col("as_of_day")))
+    r = table(spark, sf_dir, "component_resolved").withColumn("split", split_in(spark, sf_dir, "as_of_day"))
     return r.groupBy("split", "g_match").agg(F.count(F.lit(1)).alias("payments"))
 
 
@@ -440,7 +461,7 @@ def missed_fraud(spark, sf_dir, scores=None):
 
 @query(R(SCORED) + """, seen as (select distinct ring_id from conf where split = 'train' and is_fraud and ring_id is not null) select arm, case when seen.ring_id is not null then 'seen_in_training' else 'novel_ring' end as cohort, count(distinct t.ring_id) as rings, count(*) as payments, round(avg((score >= 0.6)::int), 6) as recall from test t left join seen on seen.ring_id = t.ring_id where y = 1 group by 1, 2""")
 def novel_vs_seen(spark, sf_dir, scores=None):
-    train = payments(spark, sf_dir, "day", "is_fraud", "ring_id").withColumn("y", F.col("is_fraud").cast("int")).where(split_of(F.col("day")) == "train")
+    train = payments(spark, sf_dir, "day", "is_fraud", "ring_id").withColumn("y", F.col("is_fraud").cast("int")).where(split_in(spark, sf_dir) == "train")
     return rounded(evaluation.novel_vs_seen(scored(spark, sf_dir, scores=scores), train, 0.6), "recall")
 
 
@@ -485,7 +506,7 @@ def cost_sensitivity(spark, sf_dir, scores=None):
 
 def _clustered(spark, sf_dir, of=COMPONENTS):
     """Test payments with their resolved cluster and its statistics."""
-    p = payments(spark, sf_dir, "customer_id", "day", "amount", "is_fraud").withColumn("y", F.col("is_fraud").cast("int")).where(split_of(F.col("day")) == "test")
+    p = payments(spark, sf_dir, "customer_id", "day", "amount", "is_fraud").withColumn("y", F.col("is_fraud").cast("int")).where(split_in(spark, sf_dir) == "test")
     stats = table(spark, sf_dir, f"{of}stats").select("as_of_day", "cluster", "cl_customers", "cl_ring_risk")
     return p.join(table(spark, sf_dir, f"{of}resolved"), "payment_id").join(stats, ["as_of_day", "cluster"], "left")
 
@@ -518,7 +539,7 @@ select feature, level, count(*) as n, (row_number() over (partition by feature o
 def category_vocab(spark, sf_dir):
     from coterie.operators.scoring import category_vocab as vocab
 
-    return vocab(payments(spark, sf_dir, "day", *CATEGORICAL).where(split_of(F.col("day")) == "train"), CATEGORICAL)
+    return vocab(payments(spark, sf_dir, "day", *CATEGORICAL).where(split_in(spark, sf_dir) == "train"), CATEGORICAL)
 
 
 _NUMERIC = ("amount", "account_age_days", "hour_of_day")
@@ -530,7 +551,7 @@ reference as (select feature, center, coalesce(nullif(median(abs(value - center)
 
 def _honest(spark, sf_dir):
     p = payments(spark, sf_dir, "day", "created_at", "amount", "account_age_days", "is_fraud", *CATEGORICAL).withColumn("hour_of_day", (F.col("created_at") % DAY) / 3600)
-    return p, explain.honest_reference(p.where((split_of(F.col("day")) == "train") & ~F.col("is_fraud")), _NUMERIC, ("method", "city"))
+    return p, explain.honest_reference(p.where((split_in(spark, sf_dir) == "train") & ~F.col("is_fraud")), _NUMERIC, ("method", "city"))
 
 
 @query(R(CONF) + _REFERENCE + """, modes as (select feature, arg_min(level, (-n, level)) as level from (select feature, coalesce(level, '__none__') as level, count(*) as n from (select unnest(['method', 'city']) as feature, unnest([method, city]) as level from honest) group by 1, 2) group by 1)
@@ -635,16 +656,21 @@ def merchant_notes(spark, sf_dir, scores=None):
     return notes(spark, sf_dir, scores)
 
 
-@query(R(CONF) + """ select 'graph of a later day' as "check", 0::bigint as violations, (select count(*) from conf) as rows union all select 'presence outside the window', 0, 0 where false union all select 'immature label in training', count_if(label_available_day > 150), count(*) from conf where split in ('train', 'val') and coalesce(label_matured, false) union all select 'clock after day', count_if(created_at // 86400 > "day"), count(*) from conf""")
-def causality_violations(spark, sf_dir):
+@query(R(CLUSTERS, True) + """ select 'tie without a payment in its window' as "check", count_if(w.value is null) as violations, count(*) as rows from members m left join win w using (as_of_day, link_type, value, customer_id)
+ union all select 'clustered account without a payment in its window', count_if(n.customer_id is null), count(*) from clusters c left join nodes n on n.as_of_day = c.as_of_day and n.customer_id = c.customer_id
+ union all select 'immature label in training', count_if(label_available_day > 150), count(*) from conf where split in ('train', 'val') and coalesce(label_matured, false) union all select 'clock after day', count_if(created_at // 86400 > "day"), count(*) from conf""")
+def causality_violations(spark, sf_dir, of=COMPONENTS):
+    """How many ties, clustered accounts, labels and clocks break the order of time; all but the last must be none."""
     t = lambda n: table(spark, sf_dir, n)
-    return checks.violations(t("payments"), t("resolved"), t("runs"), G.window_days, split_of(F.col("day")), CONFIG.maturity.as_of).where(F.col("check") != "presence outside the window")
+    g = profile(spark, sf_dir)[1]
+    pairs = identity.identifier_pairs(t("payments"), g.links)
+    return checks.violations(t("payments"), pairs, t("members"), t("component_clusters" if of == COMPONENTS else "communities"), g.window_days, split_in(spark, sf_dir), max(CONFIG.maturity.as_of, g.last_as_of + 1))
 
 
 @query(R(CONF) + " select payment_id, label_available_day from conf where split in ('train', 'val') and not coalesce(label_matured, false)")
 def immature_training_rows(spark, sf_dir):
     p = payments(spark, sf_dir, "day", "label_matured", "label_available_day")
-    return p.where(split_of(F.col("day")).isin("train", "val") & ~F.coalesce("label_matured", F.lit(False))).select("payment_id", "label_available_day")
+    return p.where(split_in(spark, sf_dir).isin("train", "val") & ~F.coalesce("label_matured", F.lit(False))).select("payment_id", "label_available_day")
 
 
 @query()

@@ -52,4 +52,18 @@ def whatif(spark: SparkSession, sf_dir: str, payment_id: str, scores: DataFrame
     return reference.whatif(spark, sf_dir, scores).where(F.col("payment_id") == payment_id)
 
 
-VIEWS = {"alerts": alerts, "alert": alert_detail, "rings": rings, "whatif": whatif}
+def health(spark: SparkSession, sf_dir: str, scores: DataFrame | None = None) -> DataFrame:
+    """One row: the number of alerts that can be shown, and whether there are any."""
+    n = F.count(F.lit(1))
+    return reference.alert_queue(spark, sf_dir, COMMUNITIES, scores).agg(F.when(n > 0, "ok").otherwise("empty").alias("status"), n.alias("alerts"))
+
+
+def every(spark: SparkSession, sf_dir: str, scores: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All views but those of one payment, by name."""
+    return {
+        "health": health(spark, sf_dir, scores), "alerts": alerts(spark, sf_dir, limit=MOST_ALERTS, scores=scores), "rings": rings(spark, sf_dir, MOST_RINGS, scores),
+        **summary(spark, sf_dir, scores),
+    }
+
+
+VIEWS = {"health": health, "alerts": alerts, "alert": alert_detail, "rings": rings, "whatif": whatif}

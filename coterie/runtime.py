@@ -111,6 +111,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def state(spark: SparkSession, path: str) -> str:
+    """Size, number and time of the files at a path: changed content is a new state."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    of = fs.getContentSummary(where)
+    return f"{of.getLength()} {of.getFileCount()} {fs.getFileStatus(where).getModificationTime()}"
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Remove written tables."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

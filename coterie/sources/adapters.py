@@ -136,3 +136,14 @@ def load(spark: SparkSession, kind: str, base: str = "") -> DataFrame:
     if kind not in SOURCES:
         raise ValueError(f"unknown source {kind!r}; known are {', '.join(sorted(SOURCES))}")
     return SOURCES[kind](spark, base)
+
+
+def write(spark: SparkSession, kind: str, base: str, out: str) -> int:
+    """Write the payments of a source to ``out``; returns their last day, 0 where there are none."""
+    from coterie.config import PROFILES, Profile
+    from coterie.sources.files import write_named
+
+    rows = load(spark, kind, base)
+    rows = rows.withColumn("split", contract.split_of(F.col("day"), PROFILES.get(kind, Profile()).splits))
+    path = write_named(rows, out, "payments")
+    return spark.read.parquet(path).agg(F.max("day")).head()[0] or 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coterie.config import Maturity, Splits
 from coterie.functions.clean import PREFIX, account_age, code, identifier
+from coterie.runtime import exists
 from coterie.sources.payments import read_table, valid_payments
 
 REQUIRED = {"payment_id": "string", "customer_id": "string", "day": "int", "created_at": "bigint", "amount": "double", "is_fraud": "boolean"}
@@ -64,12 +65,31 @@ def conform(df: DataFrame, splits: Splits = Splits()) -> DataFrame:
 COLUMNS = (*REQUIRED, *LINK_COLUMNS, *NEUTRAL, "signup_day", "account_age_days", "label_available_day", "label_matured")
 
 
+def canonical(base: str) -> str:
+    """Where the command ``data`` writes conformed payments."""
+    return f"{base}/payments"
+
+
+def source_of(spark: SparkSession, base: str) -> tuple[str, int | None]:
+    """The kind of source and the last day of the payments in a folder, as ``data`` noted them."""
+    if not exists(spark, f"{base}/source"):
+        return "payments", None
+    kind, last = spark.read.text(f"{base}/source").head()[0].split()
+    return kind, int(last)
+
+
 def payments(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     """Valid, cleaned and conformed payments; give names to read only those columns.
 
-    Placeholders of identifiers become null, status and method lower case,
-    the account age is taken from the sign-up day.
+    A folder with a table ``payments`` that the command ``data`` wrote holds
+    them already, with columns ``src_*`` where its source has some. Else they
+    are taken from the deliveries in ``payments.parquet``: placeholders of
+    identifiers become null, status and method lower case, the account age is
+    taken from the sign-up day.
     """
+    if exists(spark, canonical(sf_dir)):
+        rows = spark.read.parquet(canonical(sf_dir))
+        return rows.select(*(c for c in (*COLUMNS, *(c for c in rows.columns if c.startswith("src_"))) if c == "payment_id" or not names or c in names))
     source = read_table(spark, sf_dir, "payments")
     special = {c: identifier(c) for c in PREFIX} | {c: code(c) for c in ("status", "method")} | {"account_age_days": account_age()}
     special |= {c: F.nullif(F.trim(c), F.lit("")) for c in ("contact", "email_root", "ip")}

@@ -18,17 +18,40 @@ def read_named(spark: SparkSession, base: str, name: str, make: str = "data") ->
     return spark.read.parquet(path)
 
 
-def write_named(df: DataFrame, base: str, name: str, by: str | None = "day") -> str:
-    """Write a table as Parquet, partitioned by ``by`` where it has that column.
+def write_named(df: DataFrame, base: str, name: str, by: str | None = "day", kind: str = "parquet") -> str:
+    """Write a table as Parquet, or as gzipped CSV with a header, partitioned by ``by`` where it has that column.
 
     Rows are clustered by the partition column first, so each folder gets few
     files; AQE splits a partition that is too large for one.
     """
     path = f"{base}/{name}"
-    if by and by in df.columns:
-        df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
-    else:
-        df.write.mode("overwrite").parquet(path)
+    split = bool(by and by in df.columns)
+    out = (df.hint("rebalance", by) if split else df).write.mode("overwrite")
+    out = out.partitionBy(by) if split else out
+    out.parquet(path) if kind == "parquet" else out.option("header", True).option("compression", "gzip").csv(path)
+    return path
+
+
+def write_source(spark: SparkSession, base: str, kind: str, last_day: int) -> None:
+    """Note the kind of source and the last day of the payments in a folder."""
+    spark.createDataFrame([(f"{kind} {last_day}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/source")
+
+
+def write_bundle(tables: dict[str, DataFrame], base: str, name: str) -> str:
+    """Small result tables as one script that sets ``window.VIEWS`` to an object with a list of rows for each.
+
+    The tables are views of bounded length; their rows are put together by one
+    task.
+    """
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    rows = lambda n, df: df.select(F.to_json(F.struct("*")).alias("row")).agg(F.concat(F.lit(f'"{n}": ['), F.array_join(F.collect_list("row"), ", "), F.lit("]")).alias("value"))
+    every = reduce(DataFrame.unionByName, (rows(n, df) for n, df in tables.items()))
+    text = every.agg(F.concat(F.lit("window.VIEWS = {"), F.array_join(F.array_sort(F.collect_list("value")), ", "), F.lit("};")).alias("value"))
+    path = f"{base}/{name}"
+    text.coalesce(1).write.mode("overwrite").text(path)
     return path
 
 

@@ -80,8 +80,10 @@ def choice(u: Column, options: tuple[tuple[str, float], ...]) -> Column:
 def population(spark: SparkSession, shape: Shape = Shape()) -> DataFrame:
     """One row per honest account, with tags of the harmless groups it belongs to.
 
-    Groups are stretches of a permutation of the customers, of the middle
-    size of their kind; all members take the value of the group's number.
+    Groups are stretches of a permutation of the customers; all members take
+    the value of the group's number. Two groups that follow each other have
+    sizes that add up to the least and the greatest of their kind, and the
+    place of the cut between them is drawn, so all sizes of the range occur.
     """
     s, n = shape.seed, shape.customers * shape.scale
     i = F.col("id")
@@ -102,12 +104,13 @@ def population(spark: SparkSession, shape: Shape = Shape()) -> DataFrame:
         F.lit("").alias("benign_cluster"),
     )
     for column, tag, lo, hi, share in SHARING:
-        size = (lo + hi) // 2
+        both = lo + hi
         # an affine map of the number is a permutation when the factor shares no divisor with n
         factor = next(f for f in range(7919 + lo, 10**6) if math.gcd(f, n) == 1)
         place = (i * factor + hi) % n
-        inside = place < int(n * share) // size * size
-        group = F.floor(place / size)
+        inside = place < int(n * share) // both * both
+        pair = F.floor(place / both)
+        group = 2 * pair + (place % both >= between(lo, hi, unit(s, tag + "cut", pair))).cast("int")
         pop = pop.withColumn(column, F.when(inside, token(column.split("_")[0][:4] + "_", s, tag, group)).otherwise(F.col(column)))
         pop = pop.withColumn("benign_cluster", F.when(inside, F.concat_ws(";", F.nullif("benign_cluster", F.lit("")), F.concat(F.lit(f"{tag}_"), group))).otherwise(F.col("benign_cluster")))
     return pop

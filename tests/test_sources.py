@@ -1,6 +1,7 @@
 """Sources, contract, files, command line and stream."""
 
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,9 +99,49 @@ def test_command_line(spark, tmp_path):
         cli.run(spark, "nothing", DATA, out)
 
 
+def _card_folder(path, n=500):
+    rng = random.Random(4)
+    lines, ids = ["TransactionID,isFraud,TransactionDT,TransactionAmt,ProductCD,card1,card2,card3,card4,card5,card6,addr1,addr2,P_emaildomain,C1,C2,D1"], ["TransactionID,DeviceType,DeviceInfo,id_30,id_31,id_33"]
+    for i in range(n):
+        day, ring = rng.randrange(182), rng.random() < 0.2
+        card = rng.randrange(5) if ring else rng.randrange(5, 200)
+        lines.append(f"{1000 + i},{int(ring)},{86400 * (day + 1) + rng.randrange(86400)},{rng.randrange(5, 500)},W,{card},1,2,visa,{card % 7},debit,{card % 40},87,m{card % 9}.example,{rng.randrange(50) + 100 * ring},{rng.randrange(3)},{rng.randrange(90)}")
+        ids.append(f"{1000 + i},mobile,d{card % 60},os,b,s" if i % 3 else f"{1000 + i},,,,,")
+    (path / "train_transaction.csv").write_text("\n".join(lines))
+    (path / "train_identity.csv").write_text("\n".join(ids))
+
+
+@pytest.mark.parametrize("kind", ["generated", "cards"])
+def test_all_steps_from_other_sources(spark, tmp_path, monkeypatch, kind):
+    from coterie.operators import scoring
+    from coterie.plans.graph import profile
+
+    if kind == "generated":
+        small = generator.Shape(customers=300, payments=700, rings=2)
+        monkeypatch.setitem(adapters.SOURCES, "generated", lambda s, base: contract.conform(generator.generate(s, small)))
+    else:
+        _card_folder(tmp_path)
+    monkeypatch.setattr(cli, "MOST_TREES", 3)
+    data, out = f"file://{tmp_path}", f"file://{tmp_path}/out"
+    for step in ("data", "features", "train", "evaluate", "explain", "bundle"):
+        assert cli.run(spark, step, data, out, kind) == 0
+    # on so few rows shuffled labels may look learned, so only the other checks must hold
+    cli.run(spark, "verify", data, out, kind)
+    bad = spark.read.option("header", True).csv(f"{out}/verification").where("cast(violations as bigint) > 0").collect()
+    assert {r.check for r in bad} <= {"clock after day", "shuffled labels are learned"}
+    given = [c for c in files.read_named(spark, out, "matrix").columns if c.startswith("src_")]
+    arm = scoring.Arm.load(f"{out}/model_graph")
+    if kind == "cards":
+        assert given and set(given) <= set(arm.numeric) and profile(spark, out)[0].links[0].max_df == 40
+        assert {r.split for r in contract.payments(spark, out, "day").join(files.read_named(spark, out, "matrix").select("payment_id", "split"), "payment_id").where("day between 150 and 181").select("split").distinct().collect()} == {"test"}
+    before = rows(files.read_named(spark, out, "scores"), "payment_id", "score_graph")
+    assert cli.run(spark, "score", data, out, kind) == 0
+    assert rows(files.read_named(spark, out, "scores"), "payment_id", "score_graph") == before
+    assert spark.read.text(f"{out}/bundle").head()[0].startswith("window.VIEWS = {")
+
+
 def test_commands_report_on_the_written_scores(spark, tmp_path):
     from coterie.plans import reference
-    from coterie.sources import contract
 
     out = f"file://{tmp_path}"
     p = contract.payments(spark, DATA).select("payment_id", F.lit(0.25).alias("score_base"), F.lit(0.75).alias("score_graph"))
