@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coterie.config import GraphConfig
+from coterie.config import GraphConfig, Link
+from coterie.operators import identity
 
 
 def cluster_cohesion(edges: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -42,40 +43,58 @@ def window_rows(payments: DataFrame, clusters: DataFrame, window_days: int) -> D
     return days.join(clusters, ["as_of_day", "customer_id"])
 
 
-def cluster_behaviour(payments: DataFrame, clusters: DataFrame, cfg: GraphConfig) -> DataFrame:
+#: Identifiers of which a cluster's distinct values are counted, with the names of the counts.
+COUNTED = {"card_fingerprint": "cl_distinct_cards", "device_fingerprint": "cl_distinct_devices", "shipping_address_hash": "cl_distinct_addresses", "ip": "cl_distinct_ips"}
+
+
+def distinct_identifiers(runs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(as_of_day, cluster, a count per identifier): distinct values that a cluster's customers used in the window.
+
+    ``runs`` say on which as-of days a customer's use of a value lies in the
+    window, so no payment is repeated for the days after it. A value is first
+    reduced to a row per cluster and day.
+    """
+    held = runs.where(F.col("link_type").isin(*COUNTED)).select("customer_id", "link_type", "value", "from_day", "to_day")
+    used = clusters.join(held, "customer_id").where(F.col("as_of_day").between(F.col("from_day"), F.col("to_day")))
+    once = used.select("as_of_day", "cluster", "link_type", "value").distinct()
+    return once.groupBy("as_of_day", "cluster").agg(*(F.count_if(F.col("link_type") == c).alias(n) for c, n in COUNTED.items()))
+
+
+def cluster_behaviour(payments: DataFrame, clusters: DataFrame, cfg: GraphConfig, runs: DataFrame | None = None) -> DataFrame:
     """Statistics of the payments that a cluster's customers made in the window before the as-of day.
 
     Nothing here reads a label. Nulls are not counted among distinct values.
     The last-seen lag counts from the last day of any cluster's payments.
+    ``runs`` are those of ``identity.presence``, where they exist already.
     """
-    each = payments.select(
-        "payment_id", "customer_id", "day", "created_at", "amount", "status", "card_fingerprint", "device_fingerprint", "shipping_address_hash", "ip", "account_age_days", "card_issuer", "signup_day"
-    )
+    if runs is None:
+        runs = identity.presence(identity.identifier_pairs(payments, [Link(c, 1.0, 0) for c in COUNTED]), cfg)
+    each = payments.select("payment_id", "customer_id", "day", "created_at", "amount", "status", "account_age_days", "card_issuer", "signup_day")
     rows = window_rows(each, clusters, cfg.window_days)
-    known = lambda c: F.count_distinct(F.col(c))
+    keys = ["as_of_day", "cluster"]
     amount_mean = F.avg("amount")
-    base = rows.groupBy("as_of_day", "cluster").agg(
+    # the days of the window fit the bits of a number; longer windows are counted by their values
+    day = F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(as_of_day - 1 - day as int))"))) if cfg.window_days < 64 else F.count_distinct("day")
+    base = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("cl_payments"),
-        known("customer_id").alias("cl_customers"),
-        known("card_fingerprint").alias("cl_distinct_cards"),
-        known("device_fingerprint").alias("cl_distinct_devices"),
-        known("shipping_address_hash").alias("cl_distinct_addresses"),
-        known("ip").alias("cl_distinct_ips"),
         F.avg((F.coalesce(F.col("status"), F.lit("")) != "captured").cast("double")).alias("cl_failure_rate"),
         amount_mean.alias("cl_amount_mean"),
         F.median("amount").alias("cl_amount_median"),
         (F.stddev_samp("amount") / F.nullif(amount_mean, F.lit(0.0))).alias("cl_amount_cv"),
         F.avg("account_age_days").alias("cl_account_age_mean"),
         F.min("account_age_days").cast("double").alias("cl_account_age_min"),
-        known("day").alias("cl_active_days"),
+        day.cast("bigint").alias("cl_active_days"),
         (F.max("day") - F.min("day") + 1).cast("bigint").alias("cl_day_span"),
         F.max("day").alias("last_day"),
-        known("card_issuer").alias("cl_distinct_issuers"),
         F.avg(F.coalesce((F.col("account_age_days") < 30).cast("double"), F.lit(0.0))).alias("cl_new_account_share"),
     )
+    issuers = rows.where("card_issuer is not null").select(*keys, "card_issuer").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("cl_distinct_issuers"))
+    base = base.join(distinct_identifiers(runs, clusters), keys, "left").join(issuers, keys, "left")
+    base = base.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in (*COUNTED.values(), "cl_distinct_issuers")})
     # an account's sign-up day may differ between payments: that of its first one in the window counts
     firsts = rows.groupBy("as_of_day", "cluster", "customer_id").agg(F.min("day").alias("first_day"), F.min_by("signup_day", F.struct("created_at", "payment_id")).alias("signup"))
-    cohort = firsts.groupBy("as_of_day", "cluster").agg(
+    cohort = firsts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("cl_customers"),
         F.stddev_samp("signup").alias("cl_signup_std"),
         (F.max("signup") - F.min("signup")).cast("double").alias("cl_signup_span"),
         F.stddev_samp("first_day").alias("cl_first_seen_std"),

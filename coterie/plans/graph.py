@@ -72,7 +72,7 @@ def _of(clusters_of: str, prefix: str) -> dict:
     t = lambda s, d, name: table(s, d, prefix + name)
     return {
         f"{prefix}cohesion": lambda s, d: clusters.cluster_cohesion(table(s, d, "edges"), table(s, d, clusters_of)),
-        f"{prefix}behaviour": lambda s, d: clusters.cluster_behaviour(table(s, d, "payments"), table(s, d, clusters_of), _g(s, d)),
+        f"{prefix}behaviour": lambda s, d: clusters.cluster_behaviour(table(s, d, "payments"), table(s, d, clusters_of), _g(s, d), table(s, d, "runs")),
         f"{prefix}stats": lambda s, d: clusters.cluster_stats(t(s, d, "cohesion"), t(s, d, "behaviour")),
         f"{prefix}votes": lambda s, d: asof.identifier_votes(table(s, d, "members"), table(s, d, clusters_of)),
         f"{prefix}resolved": lambda s, d: asof.resolve(table(s, d, "payments"), table(s, d, clusters_of), t(s, d, "votes"), _g(s, d)),
