@@ -134,7 +134,7 @@ def test_louvain_splits_two_cliques_joined_by_an_edge(spark):
     comp = components.connected_components(edges)
     loose = GraphConfig(whole_density=0.9)
     want = {f"cl_5_n{base:02d}": {f"n{i:02d}" for i in range(base, base + 10)} for base in (0, 10)}
-    for limit in (10**6, 5):  # in a task, and by label propagation
+    for limit in (10**6, 5):  # in a task, and in DataFrames
         found = {}
         for r in communities.communities(comp, edges, loose, task_edges=limit).collect():
             found.setdefault(r.cluster, set()).add(r.customer_id)
@@ -142,6 +142,21 @@ def test_louvain_splits_two_cliques_joined_by_an_edge(spark):
     assert {r.cluster for r in communities.communities(comp, edges, GraphConfig(whole_density=0.4)).collect()} == {"cl_5_n00"}
 
 
+def test_communities_are_the_same_in_a_task_and_in_tables(spark):
+    rng = random.Random(8)
+    data = []
+    for day, n, groups in ((1, 40, 5), (2, 60, 9)):
+        for i in range(n):
+            for j in range(i + 1, n):
+                if rng.random() < (0.6 if i % groups == j % groups else 0.03):
+                    data.append((day, f"n{i:02d}", f"n{j:02d}", round(rng.uniform(0.1, 1.0), 3)))
+    edges = spark.createDataFrame(data, "as_of_day int, src string, dst string, weight double")
+    comp = components.connected_components(edges)
+    one, other = (rows(communities.communities(comp, edges, GraphConfig(whole_density=0.99), task_edges=k)) for k in (10**6, 0))
+    assert one == other and 10 < len({r[2] for r in one}) < 25
+    assert rows(communities.communities(comp, edges.limit(0), GraphConfig())) == []
+
+
 def test_resolution_prefers_own_then_strongest_link(spark):
     cfg = GraphConfig()
     p = spark.createDataFrame([("p1", "a", 3, "c1", "d1"), ("p2", "new", 3, "c2", "d1"), ("p3", "new", 3, None, "d1"), ("p4", "zz", 3, None, None)], "payment_id string, customer_id string, day int, card_fingerprint string, device_fingerprint string")
