@@ -42,7 +42,10 @@ def run(spark: SparkSession, command: str, data: str, out: str, source: str = "p
     ``data`` writes the payments of any source to ``out``; all other commands
     read those, or the deliveries in ``data`` where it was not run.
     """
+    from pyspark.sql import functions as F
+
     from coterie.operators import checks, scoring
+    from coterie.operators.explain import mask
     from coterie.plans import models, reference, studies
     from coterie.plans.graph import profile, table
     from coterie.runtime import exists, ship
@@ -72,7 +75,9 @@ def run(spark: SparkSession, command: str, data: str, out: str, source: str = "p
             files.write_report(q(name), out, name)
         files.write_markdown(q("ablation"), out, "ablation_md")
     elif command == "explain":
-        files.write_report(q("evidence_packets"), out, "evidence", "json")
+        files.write_named(q("evidence_packets"), out, "evidence", by=None)
+        for name, raw in (("evidence_members", ("customer_id",)), ("evidence_identifiers", ("value",)), ("evidence_edges", ("src", "dst"))):
+            files.write_named(q(name).withColumns({c: mask(F.col(c), 3 if c == "value" else 5) for c in raw}), out, name, by=None)
         files.write_report(q("merchant_notes"), out, "notes", "json")
     elif command == "verify":
         t = lambda n: table(spark, base, n)

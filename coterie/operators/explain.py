@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from coterie.operators import catalogue
 from coterie.operators.clusters import window_rows
+from coterie.runtime import materialise
 
 
 def mask(value: Column, keep: int = 3) -> Column:
@@ -20,21 +21,49 @@ def mask(value: Column, keep: int = 3) -> Column:
     return F.when(short, F.concat(F.substring(text, 1, keep), F.lit("…"))).otherwise(F.concat(F.substring(text, 1, keep), F.lit("…"), F.right(text, F.lit(keep))))
 
 
+def exact_quantiles(long: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """(feature, q): the quantiles of each feature's values, interpolated between neighbours, as an array in the order of ``shares``.
+
+    ``long`` has feature and value. Equal values are counted first; the counts
+    are ranged by (feature, value) and written, and prefix sums over the ranges
+    give every value its place, so no feature's values come together in one
+    task. A row per feature and share is broadcast.
+    """
+    counted = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranged, _ = materialise(counted.repartitionByRange("feature", "value").withColumn("part", F.spark_partition_id()), "values")
+    per = ranged.groupBy("feature", "part").agg(F.sum("n").alias("n"))
+    every = Window.partitionBy("feature")
+    base = per.select("feature", "part", F.coalesce(F.sum("n").over(every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("feature", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("upto", F.sum("n").over(inside)).join(F.broadcast(base), ["feature", "part"])
+    placed = placed.select("feature", "value", (F.col("base") + F.col("upto") - F.col("n")).alias("first"), (F.col("base") + F.col("upto") - 1).alias("last"))
+    asked = per.groupBy("feature").agg(F.sum("n").alias("rows")).select("feature", "rows", F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("share")) for i, p in enumerate(shares)))))
+    at = F.col("share") * (F.col("rows") - 1)
+    asked = asked.select("feature", "i", (at - F.floor(at)).alias("beyond"), F.floor(at).alias("low"), F.ceil(at).alias("high"))
+    hit = placed.join(F.broadcast(asked), "feature").where("first <= high and last >= low")
+    inside_of = lambda place: F.max(F.when(F.col(place).between(F.col("first"), F.col("last")), F.col("value")))
+    each = hit.groupBy("feature", "i", "beyond").agg(inside_of("low").alias("lo"), inside_of("high").alias("hi"))
+    value = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("beyond")
+    return each.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))).alias("l")).select("feature", F.transform("l", lambda x: x["v"]).alias("q"))
+
+
 def honest_reference(rows: DataFrame, numeric: tuple[str, ...], categorical: tuple[str, ...] = (), accuracy: int | None = None) -> DataFrame:
     """(feature, center, scale, level): what an honest payment looks like.
 
     Numeric features have their median and the median distance from it, or the
     distance of the quartiles, or 1 where those are 0. Categorical ones have
     their most frequent level, the smallest on ties, nulls as '__none__'. The
-    quantiles are exact, or approximate of the given accuracy, which needs
-    bounded memory at any size.
+    quantiles are exact, or approximate of the given accuracy, which is cheaper.
     """
-    q = (lambda c, p: F.percentile(c, p)) if accuracy is None else (lambda c, p: F.percentile_approx(c, p, accuracy))
+    def quantiles(df: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+        if accuracy is None:
+            return exact_quantiles(df, shares)
+        return df.groupBy("feature").agg(F.percentile_approx("value", F.array(*map(F.lit, shares)), accuracy).alias("q"))
+
     long = rows.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in numeric)))).where("value is not null and not isnan(value)")
-    first = long.groupBy("feature").agg(q("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    center = first.select("feature", F.col("q")[1].alias("center"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
-    mad = long.join(F.broadcast(center), "feature").groupBy("feature", "center", "iqr").agg(q(F.abs(F.col("value") - F.col("center")), F.lit(0.5)).alias("mad"))  # a row per feature
-    out = mad.select("feature", "center", F.coalesce(F.nullif("mad", F.lit(0.0)), F.nullif("iqr", F.lit(0.0)), F.lit(1.0)).alias("scale"), F.lit(None).cast("string").alias("level"))
+    center = quantiles(long, (0.25, 0.5, 0.75)).select("feature", F.col("q")[1].alias("center"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    away = long.join(F.broadcast(center), "feature").select("feature", F.abs(F.col("value") - F.col("center")).alias("value"))  # a row per feature
+    out = center.join(F.broadcast(quantiles(away, (0.5,)).select("feature", F.col("q")[0].alias("mad"))), "feature").select("feature", "center", F.coalesce(F.nullif("mad", F.lit(0.0)), F.nullif("iqr", F.lit(0.0)), F.lit(1.0)).alias("scale"), F.lit(None).cast("string").alias("level"))
     if categorical:
         levels = rows.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c), F.lit("__none__")).alias("level")) for c in categorical))))
         mode = levels.groupBy("feature", "level").agg(F.count(F.lit(1)).alias("n")).groupBy("feature").agg(F.min_by("level", F.struct(-F.col("n"), "level")).alias("level"))
@@ -67,22 +96,53 @@ def evidence_identifiers(runs: DataFrame, clusters: DataFrame, weights: DataFram
     return out.withColumn("pruned", F.col("weight").isNull()).withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
-def evidence_packets(resolved: DataFrame, members: DataFrame, identifiers: DataFrame, edges: DataFrame, clusters: DataFrame) -> DataFrame:
-    """One nested row per payment in a cluster: how it is attached, members, identifiers and edges, all masked.
+def evidence_edges(edges: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(as_of_day, cluster, src, dst, weight) of the edges inside clusters."""
+    of = lambda end: clusters.select("as_of_day", F.col("customer_id").alias(end), F.col("cluster").alias(f"c_{end}"))
+    inner = edges.join(of("src"), ["as_of_day", "src"]).join(of("dst"), ["as_of_day", "dst"]).where("c_src = c_dst")
+    return inner.select("as_of_day", F.col("c_src").alias("cluster"), "src", "dst", "weight")
+
 
-    Lists are built once per cluster, not per payment; hub pruning bounds a
-    cluster.
+def evidence_packets(resolved: DataFrame, members: DataFrame, identifiers: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per payment in a cluster: how it is attached, and what the evidence of its cluster adds up to.
+
+    What there is in detail stays in the tables ``members``, ``identifiers``
+    and ``edges``, keyed by (as_of_day, cluster), however large a cluster is.
     """
-    keys = ["as_of_day", "cluster"]
-    m = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("member_count"), F.sort_array(F.collect_list(F.struct((-F.col("amount_major")).alias("o"), mask(F.col("customer_id"), 5).alias("customer"), "payments", "amount_major", "account_age_days", "first_day", "declines"))).alias("members"))
-    i = identifiers.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("o"), (-F.col("accounts")).alias("o2"), "link_type", mask(F.col("value")).alias("masked"), "accounts", "weight", "pruned"))).alias("shared_identifiers"))
-    of = lambda end: clusters.select("as_of_day", F.col("customer_id").alias(end), F.col("cluster").alias(f"c_{end}"))
-    inner = edges.join(of("src"), ["as_of_day", "src"]).join(of("dst"), ["as_of_day", "dst"]).where("c_src = c_dst").withColumn("cluster", F.col("c_src"))
-    e = inner.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("o"), mask(F.col("src"), 5).alias("a"), mask(F.col("dst"), 5).alias("b"), F.round("weight", 3).alias("weight")))).alias("edges"))
-    attached = F.when(F.col("g_match") == 1, "own prior activity in this cluster").otherwise("matched on a shared identifier")
-    clean = lambda name, *fields: F.transform(name, lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias(name)
+    keys, n = ["as_of_day", "cluster"], F.count(F.lit(1))
+    m = members.groupBy(*keys).agg(n.alias("member_count"), F.sum("payments").alias("payments"), F.sum("amount_major").alias("amount_major"), F.sum("declines").alias("declines"))
+    i = identifiers.groupBy(*keys).agg(F.count_if(~F.col("pruned")).alias("shared_identifiers"), F.count_if("pruned").alias("pruned_identifiers"), F.max("accounts").alias("widest_sharing"))
+    e = edges.groupBy(*keys).agg(n.alias("edges"), F.max("weight").alias("max_weight"))
+    attached = F.when(F.col("g_match") == 1, "own payments in this cluster").otherwise("a shared identifier")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     out = resolved.where("cluster is not null").join(m, keys).join(i, keys, "left").join(e, keys, "left")
-    return out.select("payment_id", *keys, attached.alias("attachment"), "member_count", clean("members", "customer", "payments", "amount_major", "account_age_days", "first_day", "declines"), clean("shared_identifiers", "link_type", "masked", "accounts", "weight", "pruned"), clean("edges", "a", "b", "weight"))
+    return out.select("payment_id", *keys, attached.alias("attachment"), "member_count", "payments", "amount_major", "declines", zero("shared_identifiers"), zero("pruned_identifiers"), zero("widest_sharing"), zero("edges"), "max_weight")
+
+
+def nested_evidence(packets: DataFrame, members: DataFrame, identifiers: DataFrame, edges: DataFrame, most: int = 200) -> DataFrame:
+    """The packets of a few payments with their details as lists, all masked.
+
+    A list shows the ``most`` greatest entries; the packet tells how many there
+    are. This is for views of single payments: details are ranked per payment.
+    """
+    keys = ["as_of_day", "cluster"]
+
+    def listed(rows: DataFrame, name: str, order: list[Column], *fields) -> DataFrame:
+        near = packets.select("payment_id", *keys).join(rows, keys)
+        top = near.withColumn("rank", F.row_number().over(Window.partitionBy("payment_id").orderBy(*order))).where(F.col("rank") <= most)
+        entries = top.groupBy("payment_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.struct(*fields).alias("entry")))).alias("l"))
+        return entries.select("payment_id", F.transform("l", lambda x: x["entry"]).alias(name))
+
+    d = F.desc
+    parts = (
+        listed(members, "members", [d("amount_major"), F.col("customer_id")], mask(F.col("customer_id"), 5).alias("customer"), "payments", "amount_major", "account_age_days", "first_day", "declines"),
+        listed(identifiers, "identifiers", [d("weight"), d("accounts"), F.col("value")], "link_type", mask(F.col("value")).alias("masked"), "accounts", "weight", "pruned"),
+        listed(edges, "ties", [d("weight"), F.col("src"), F.col("dst")], mask(F.col("src"), 5).alias("a"), mask(F.col("dst"), 5).alias("b"), F.round("weight", 3).alias("weight")),
+    )
+    out = packets
+    for p in parts:
+        out = out.join(p, "payment_id", "left")
+    return out
 
 
 def alert_queue(scored: DataFrame, exposure: int = 200, per_type: int = 60, honest: int = 60, clustered: int = 80, types: tuple[str, ...] = ("card_testing", "refund_abuse", "bust_out")) -> DataFrame:

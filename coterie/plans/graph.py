@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coterie.config import PROFILES, Config, GraphConfig, Profile
-from coterie.operators import asof, clusters, communities, components, identity
+from coterie.operators import asof, clusters, communities, components, identity, pointintime
 from coterie.runtime import exists, materialise, state
 from coterie.sources.contract import canonical, payments, source_of, split_of
 
@@ -61,7 +61,7 @@ _MAKE = {
     "weights": lambda s, d: identity.identifier_weights(table(s, d, "segments"), identity.window_sizes(table(s, d, "payments"), _g(s, d)), _g(s, d)),
     "members": lambda s, d: identity.memberships(table(s, d, "runs"), table(s, d, "segments"), table(s, d, "weights"), _g(s, d)),
     "edges": lambda s, d: identity.identity_edges(table(s, d, "members"), _g(s, d)),
-    "components": lambda s, d: components.connected_components(identity.tie_stars(table(s, d, "members"))),
+    "components": lambda s, d: components.connected_components(identity.tie_stars(table(s, d, "members")), table(s, d, "members").count()),
     "component_clusters": lambda s, d: table(s, d, "components").withColumnRenamed("component", "cluster"),
     "communities": lambda s, d: communities.communities(table(s, d, "components"), table(s, d, "edges"), _g(s, d)),
 }
@@ -82,4 +82,11 @@ def _of(clusters_of: str, prefix: str) -> dict:
 #: the pipeline's clusters are the communities; whole components stand only in the queries that SQL checks
 COMPONENTS, COMMUNITIES = "component_", ""
 _MAKE |= _of("component_clusters", COMPONENTS) | _of("communities", COMMUNITIES)
-_MAKE["graph_block"] = lambda s, d: asof.graph_block(table(s, d, "payments"), table(s, d, "resolved"), identity.degrees(_asked(table(s, d, "nodes"), table(s, d, "payments")), table(s, d, "edges")), table(s, d, "stats"))
+for _p in (COMPONENTS, COMMUNITIES):
+    _MAKE[f"{_p}graph_block"] = lambda s, d, p=_p: asof.graph_block(table(s, d, "payments"), table(s, d, f"{p}resolved"), identity.degrees(_asked(table(s, d, "nodes"), table(s, d, "payments")), table(s, d, "edges")), table(s, d, f"{p}stats"))
+_MAKE["tabular"] = lambda s, d: pointintime.tabular_features(table(s, d, "payments"))
+
+
+def clusters_of(spark: SparkSession, sf_dir: str, of: str) -> DataFrame:
+    """The components or the communities."""
+    return table(spark, sf_dir, "component_clusters" if of == COMPONENTS else "communities")

@@ -5,22 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coterie.operators import catalogue, explain, pointintime, scoring
+from coterie.operators import catalogue, explain, scoring
+from coterie.plans.features import GRAPH, TABULAR
 from coterie.plans.graph import split_in, table
 from coterie.runtime import materialise
 from coterie.sources.contract import CATEGORICAL
 
-TABULAR = (
-    "amount log_amount hour_of_day day_of_week account_age_days is_micro_ticket amount_z_vs_customer seconds_since_prev_customer seconds_since_prev_device prior_customer_payments prior_customer_failures prior_customer_failure_rate prior_customer_refunds prior_customer_refund_rate "
-    "prior_distinct_cards_customer prior_distinct_devices_customer prior_distinct_cards_device prior_distinct_customers_device prior_distinct_customers_address new_cards_on_device_24h new_cards_on_device_7d "
-    "vel_customer_1h vel_customer_24h vel_customer_7d vel_device_1h vel_device_24h vel_device_7d vel_card_1h vel_card_24h vel_ip_1h vel_ip_24h vel_addr_24h vel_addr_7d"
-).split()
-GRAPH = (
-    "g_degree g_weighted_degree g_max_edge_weight g_mean_edge_weight size edges density mean_edge_weight max_edge_weight cl_payments cl_customers cl_distinct_cards cl_distinct_devices cl_distinct_addresses cl_distinct_ips cl_failure_rate cl_amount_mean cl_amount_median cl_amount_cv cl_account_age_mean cl_account_age_min "
-    "cl_active_days cl_day_span cl_last_seen_lag cl_cards_per_device cl_customers_per_address cl_payments_per_active_day cl_burstiness cl_ring_risk cl_distinct_issuers cl_new_account_share cl_signup_std cl_signup_span cl_first_seen_std cl_first_seen_span cl_signup_synchrony cl_first_seen_synchrony cl_signup_span_per_customer cl_issuers_per_customer "
-    "clsig_cohesion clsig_scale clsig_card_fanout clsig_decline clsig_fresh clsig_address_concentration clsig_burst clsig_cohort_synchrony clsig_new_accounts g_in_cluster g_snapshot_lag g_match"
-).split()
-
 #: The features of each reason group.
 GROUPS = catalogue.groups([*TABULAR, *GRAPH, *CATEGORICAL])
 GRAPH_GROUPS = frozenset(filter(catalogue.from_graph, GROUPS))
@@ -32,7 +22,7 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = (F.col(c).cast("double").alias(c) for c in p.columns if c.startswith("src_"))
     own = p.select("payment_id", F.col("is_fraud").cast("int").alias("y"), split_in(spark, sf_dir).alias("split"), F.coalesce("label_matured", F.lit(False)).alias("matured"), *given)
     graph = table(spark, sf_dir, "graph_block").select("payment_id", "cluster", *GRAPH)
-    return materialise(own.join(pointintime.tabular_features(p), "payment_id").join(graph, "payment_id", "left"), "matrix")[0]
+    return materialise(own.join(table(spark, sf_dir, "tabular"), "payment_id").join(graph, "payment_id", "left"), "matrix")[0]
 
 
 def inputs(rows: DataFrame) -> dict[str, list[str]]:

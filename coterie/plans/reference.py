@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from coterie.config import LINKS, Config
 from coterie.operators import checks, evaluation, explain, identity, pointintime
-from coterie.plans.graph import COMMUNITIES, COMPONENTS, profile, split_in, table
+from coterie.plans.graph import COMMUNITIES, COMPONENTS, clusters_of, profile, split_in, table
 from coterie.plans.problems import VALID, sql_code, sql_identifier
 from coterie.functions.clean import PREFIX
 from coterie.sources.contract import CATEGORICAL, label_day, payments
+from coterie.plans.features import TABULAR
 
 CONFIG = Config()
 G = CONFIG.graph
@@ -294,7 +295,7 @@ _TABULAR_ROUNDED = ("log_amount", "hour_of_day", "prior_customer_failure_rate",
 
 @query(_tabular_sql())
 def tabular_features(spark, sf_dir):
-    return rounded(pointintime.tabular_features(table(spark, sf_dir, "payments")), *_TABULAR_ROUNDED)
+    return rounded(table(spark, sf_dir, "tabular"), *_TABULAR_ROUNDED)
 
 
 # ---- identity graph ----
@@ -542,29 +543,34 @@ def category_vocab(spark, sf_dir):
     return vocab(payments(spark, sf_dir, "day", *CATEGORICAL).where(split_in(spark, sf_dir) == "train"), CATEGORICAL)
 
 
-_NUMERIC = ("amount", "account_age_days", "hour_of_day")
-_HONEST = "honest as (select *, (created_at % 86400) / 3600 as hour_of_day from conf where split = 'train' and not is_fraud)"
-_REFERENCE = f""", {_HONEST}, long as (select unnest(['amount', 'account_age_days', 'hour_of_day']) as feature, unnest([amount, account_age_days::double, hour_of_day]) as value from honest),
+_NUMERIC = TABULAR
+_NAMES = "[" + ", ".join(f"'{c}'" for c in _NUMERIC) + "]"
+_VALUES = "[" + ", ".join(f"{c}::double" for c in _NUMERIC) + "]"
+_LEVELS = ("[" + ", ".join(f"'{c}'" for c in CATEGORICAL) + "]", "[" + ", ".join(CATEGORICAL) + "]")
+_REFERENCE = f""", honest as (select b.* from rounded_block b join conf c using (payment_id) where c.split = 'train' and not c.is_fraud), long as (select feature, value from (select unnest({_NAMES}) as feature, unnest({_VALUES}) as value from honest) where value is not null),
 centers as (select feature, median(value) as center, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) as iqr from long group by 1),
 reference as (select feature, center, coalesce(nullif(median(abs(value - center)), 0), nullif(any_value(iqr), 0), 1) as scale from long join centers using (feature) group by 1, 2)"""
+_ROUNDED_BLOCK = _tabular_sql().replace("select * replace (", "rounded_block as (select * replace (").replace("join fresh using (payment_id))\n", "join fresh using (payment_id)),\n") + ")"
 
 
 def _honest(spark, sf_dir):
-    p = payments(spark, sf_dir, "day", "created_at", "amount", "account_age_days", "is_fraud", *CATEGORICAL).withColumn("hour_of_day", (F.col("created_at") % DAY) / 3600)
-    return p, explain.honest_reference(p.where((split_in(spark, sf_dir) == "train") & ~F.col("is_fraud")), _NUMERIC, ("method", "city"))
+    """The tabular block, and what honest training payments look like in it."""
+    block = tabular_features(spark, sf_dir)
+    p = payments(spark, sf_dir, "day", "is_fraud").where((split_in(spark, sf_dir) == "train") & ~F.col("is_fraud")).select("payment_id")
+    return block, explain.honest_reference(block.join(p, "payment_id", "left_semi"), _NUMERIC, CATEGORICAL)
 
 
-@query(R(CONF) + _REFERENCE + """, modes as (select feature, arg_min(level, (-n, level)) as level from (select feature, coalesce(level, '__none__') as level, count(*) as n from (select unnest(['method', 'city']) as feature, unnest([method, city]) as level from honest) group by 1, 2) group by 1)
+@query(_ROUNDED_BLOCK + _REFERENCE + f""", modes as (select feature, arg_min(level, (-n, level)) as level from (select feature, level, count(*) as n from (select unnest({_LEVELS[0]}) as feature, unnest({_LEVELS[1]}) as level from honest) group by 1, 2) group by 1)
 select feature, round(center, 6) as center, round(scale, 6) as scale, null::varchar as level from reference union all select feature, null, null, level from modes""")
 def honest_reference(spark, sf_dir):
     return rounded(_honest(spark, sf_dir)[1], "center", "scale")
 
 
-@query(R(CONF) + _REFERENCE + """, rows_of as (select payment_id, unnest(['amount', 'account_age_days', 'hour_of_day']) as feature, unnest([amount, account_age_days::double, (created_at % 86400) / 3600]) as value from conf)
-select payment_id, feature, value, round(abs(value - center) / scale, 6) as z from rows_of join reference using (feature)""")
+@query(_ROUNDED_BLOCK + _REFERENCE + f""", rows_of as (select payment_id, unnest({_NAMES}) as feature, unnest({_VALUES}) as value from rounded_block)
+select payment_id, feature, value, round(abs(value - center) / scale, 4) as z from rows_of join reference using (feature) where value is not null""")
 def robust_z(spark, sf_dir):
-    p, reference = _honest(spark, sf_dir)
-    return rounded(explain.robust_z(p, reference, _NUMERIC), "z")
+    block, reference = _honest(spark, sf_dir)
+    return rounded(explain.robust_z(block, reference, _NUMERIC), "z", digits=4)
 
 
 # ---- views ----
@@ -629,18 +635,51 @@ def ring_leaderboard(spark, sf_dir, of=COMPONENTS, scores=None):
 
 @query(R(CLUSTERS, True) + f""" select as_of_day, cluster, p.customer_id, count(*) as payments, coalesce(sum(amount), 0) / 100 as amount_major, max(account_age_days) as account_age_days, min("day") as first_day, count_if(status = 'failed') as declines from conf p join clusters c on c.customer_id = p.customer_id and p."day" >= c.as_of_day - {G.window_days} and p."day" < c.as_of_day group by 1, 2, 3""")
 def evidence_members(spark, sf_dir, of=COMPONENTS):
-    return explain.evidence_members(table(spark, sf_dir, "payments"), table(spark, sf_dir, "component_clusters" if of == COMPONENTS else "communities"), G.window_days)
+    return explain.evidence_members(table(spark, sf_dir, "payments"), clusters_of(spark, sf_dir, of), G.window_days)
 
 
 @query(R(CLUSTERS, True) + """ select as_of_day, cluster, link_type, value, count(*) as accounts, round(coalesce(any_value(weight), 0), 6) as weight, any_value(weight) is null as pruned from win join clusters using (as_of_day, customer_id) left join weights using (as_of_day, link_type, value) group by 1, 2, 3, 4 having count(*) >= 2""")
 def evidence_identifiers(spark, sf_dir, of=COMPONENTS):
-    return rounded(explain.evidence_identifiers(table(spark, sf_dir, "runs"), table(spark, sf_dir, "component_clusters" if of == COMPONENTS else "communities"), table(spark, sf_dir, "weights")), "weight")
+    return rounded(explain.evidence_identifiers(table(spark, sf_dir, "runs"), clusters_of(spark, sf_dir, of), table(spark, sf_dir, "weights")), "weight")
+
+
+@query(R(CLUSTERS, True) + " select e.as_of_day, cluster, src, dst, round(weight, 6) as weight from edges e join clusters c on c.as_of_day = e.as_of_day and c.customer_id = e.src")
+def evidence_edges(spark, sf_dir, of=COMPONENTS):
+    return rounded(explain.evidence_edges(table(spark, sf_dir, "edges"), clusters_of(spark, sf_dir, of)), "weight")
+
+
+def _packets(spark, sf_dir, of):
+    return rounded(explain.evidence_packets(table(spark, sf_dir, f"{of}resolved"), evidence_members(spark, sf_dir, of), evidence_identifiers(spark, sf_dir, of), evidence_edges(spark, sf_dir, of)), "amount_major", digits=2)
 
 
 @query()
 def evidence_packets(spark, sf_dir):
-    t = lambda n: table(spark, sf_dir, n)
-    return explain.evidence_packets(t("resolved"), evidence_members(spark, sf_dir, COMMUNITIES), evidence_identifiers(spark, sf_dir, COMMUNITIES), t("edges"), t("communities"))
+    return _packets(spark, sf_dir, COMMUNITIES)
+
+
+@query(R(RESOLVED, True) + f""", acts as (select as_of_day, cluster, p.customer_id, count(*) as payments, coalesce(sum(amount), 0) / 100 as amount_major, count_if(status = 'failed') as declines from conf p join clusters c on c.customer_id = p.customer_id and p."day" >= c.as_of_day - {G.window_days} and p."day" < c.as_of_day group by 1, 2, 3),
+m as (select as_of_day, cluster, count(*) as member_count, sum(payments)::bigint as payments, round(sum(amount_major), 2) as amount_major, sum(declines)::bigint as declines from acts group by 1, 2),
+shared as (select as_of_day, cluster, link_type, value, count(*) as accounts, any_value(weight) is null as pruned from win join clusters using (as_of_day, customer_id) left join weights using (as_of_day, link_type, value) group by 1, 2, 3, 4 having count(*) >= 2),
+i as (select as_of_day, cluster, count_if(not pruned) as shared_identifiers, count_if(pruned) as pruned_identifiers, max(accounts) as widest_sharing from shared group by 1, 2),
+e as (select e.as_of_day, cluster, count(*) as edges, round(max(weight), 6) as max_weight from edges e join clusters c on c.as_of_day = e.as_of_day and c.customer_id = e.src group by 1, 2)
+select payment_id, as_of_day, cluster, case when g_match = 1 then 'own payments in this cluster' else 'a shared identifier' end as attachment, member_count, payments, amount_major, declines, coalesce(shared_identifiers, 0) as shared_identifiers, coalesce(pruned_identifiers, 0) as pruned_identifiers, coalesce(widest_sharing, 0) as widest_sharing, coalesce(edges, 0) as edges, max_weight
+ from resolved join m using (as_of_day, cluster) left join i using (as_of_day, cluster) left join e using (as_of_day, cluster)""")
+def component_evidence_packets(spark, sf_dir):
+    """The packets of whole components, which SQL can find."""
+    return _packets(spark, sf_dir, COMPONENTS)
+
+
+_BLOCK_ROUNDED = ("g_weighted_degree", "g_max_edge_weight", "g_mean_edge_weight", "mean_edge_weight", "max_edge_weight", "density", *_BEHAVIOUR, *_SIGNALS, "cl_ring_risk")
+
+
+@query(R(RISK + RESOLVED[len(CLUSTERS) :], True) + f""", ends as (select as_of_day, src as customer_id, weight from edges union all select as_of_day, dst, weight from edges),
+degrees as (select as_of_day, customer_id, count(weight) as g_degree, coalesce(sum(weight), 0) as g_weighted_degree, coalesce(max(weight), 0) as g_max_edge_weight, coalesce(avg(weight), 0) as g_mean_edge_weight from nodes left join ends using (as_of_day, customer_id) group by 1, 2),
+block as (select r.*, d.* exclude (as_of_day, customer_id), h.* exclude (as_of_day, cluster, total_weight), b.* exclude (as_of_day, cluster), k.* exclude (as_of_day, cluster), (r.cluster is not null)::int as g_in_cluster, 0 as g_snapshot_lag
+ from resolved r join conf p on p.payment_id = r.payment_id left join degrees d on d.as_of_day = r.as_of_day and d.customer_id = p.customer_id left join cohesion h on h.as_of_day = r.as_of_day and h.cluster = r.cluster left join behaviour b on b.as_of_day = r.as_of_day and b.cluster = r.cluster left join risk k on k.as_of_day = r.as_of_day and k.cluster = r.cluster)
+select * replace ({_r(*_BLOCK_ROUNDED)}) from block""")
+def component_graph_features(spark, sf_dir):
+    """The graph block over whole components, which SQL can find."""
+    return rounded(table(spark, sf_dir, "component_graph_block"), *_BLOCK_ROUNDED)
 
 
 @query(R(PAIRS) + " select distinct link_type, value, case when length(value) <= 7 then value[1:3] || '…' else value[1:3] || '…' || right(value, 3) end as masked from pairs")
@@ -664,7 +703,7 @@ def causality_violations(spark, sf_dir, of=COMPONENTS):
     t = lambda n: table(spark, sf_dir, n)
     g = profile(spark, sf_dir)[1]
     pairs = identity.identifier_pairs(t("payments"), g.links)
-    return checks.violations(t("payments"), pairs, t("members"), t("component_clusters" if of == COMPONENTS else "communities"), g.window_days, split_in(spark, sf_dir), max(CONFIG.maturity.as_of, g.last_as_of + 1))
+    return checks.violations(t("payments"), pairs, t("members"), clusters_of(spark, sf_dir, of), g.window_days, split_in(spark, sf_dir), max(CONFIG.maturity.as_of, g.last_as_of + 1))
 
 
 @query(R(CONF) + " select payment_id, label_available_day from conf where split in ('train', 'val') and not coalesce(label_matured, false)")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coterie.operators import explain
 from coterie.plans import reference
 from coterie.plans.graph import COMMUNITIES
 
@@ -35,7 +36,9 @@ def alert_detail(spark: SparkSession, sf_dir: str, payment_id: str, scores: Data
     """One alert with its masked evidence and its note; no row for an unknown payment."""
     one = lambda df: df.where(F.col("payment_id") == payment_id)
     row = one(reference._alerts(spark, sf_dir, COMMUNITIES, scores)).drop("y")
-    evidence = one(reference.evidence_packets(spark, sf_dir)).select("payment_id", F.struct("as_of_day", "attachment", "member_count", "members", "shared_identifiers", "edges").alias("evidence"))
+    details = (q(spark, sf_dir, COMMUNITIES) for q in (reference.evidence_members, reference.evidence_identifiers, reference.evidence_edges))
+    nested = explain.nested_evidence(one(reference.evidence_packets(spark, sf_dir)), *details)
+    evidence = nested.select("payment_id", F.struct(*(c for c in nested.columns if c not in ("payment_id", "cluster"))).alias("evidence"))
     note = one(reference.merchant_notes(spark, sf_dir, scores)).select("payment_id", F.col("text").alias("note"))
     return row.join(evidence, "payment_id", "left").join(note, "payment_id", "left")
 
