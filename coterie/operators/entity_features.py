@@ -13,6 +13,7 @@ import json
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,32 +61,59 @@ class FeatureStore:
     of amount 0. No events give no rows.
 
     A manifest names the run that wrote each bucket. Runs are never changed in
-    place, so a failed refresh leaves the stored state as it was.
+    place and each refresh writes a new manifest under the next number, so a
+    failed refresh leaves the stored state as it was, and of two at once the
+    one that ends later starts over from the other's result. Runs that neither
+    the latest manifest nor the one before it names are removed; what was read
+    from the store stays readable until the second refresh after it.
     """
 
     def __init__(self, spark: SparkSession, path: str, bucket_days: int = 30):
         self.spark, self.path, self.bucket_days = spark, path, bucket_days
         self._fs = spark._jvm.org.apache.hadoop.fs
-        where = self._fs.Path(f"{path}/manifest")
+        where = self._fs.Path(path)
         self._io = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._done: set[str] = set()  # runs that this store's refreshes have superseded
 
     def _bucket(self):
         return F.floor(F.col("day") / self.bucket_days).cast("int")
 
-    def _manifest(self) -> dict[str, dict]:
-        where = self._fs.Path(f"{self.path}/manifest")
-        if not self._io.exists(where):
-            return {}
-        rows = self.spark.read.text(f"{self.path}/manifest", wholetext=True).head(1)
-        return json.loads(rows[0][0]) if rows else {}
-
-    def _save(self, manifest: dict[str, dict]) -> None:
-        new, old = self._fs.Path(f"{self.path}/manifest.new"), self._fs.Path(f"{self.path}/manifest")
-        out = self._io.create(new, True)
+    def _names(self, start: str) -> list[str]:
+        """Names in the store's folder that begin so, the latest last."""
+        where = self._fs.Path(self.path)
+        found = self._io.listStatus(where) if self._io.exists(where) else []
+        return sorted(n for s in found if (n := s.getPath().getName()).startswith(start))
+
+    def _read(self, name: str) -> dict[str, dict] | None:
+        rows = self.spark.read.text(f"{self.path}/{name}", wholetext=True).head(1)
+        try:
+            return json.loads(rows[0][0]) if rows else None
+        except json.JSONDecodeError:
+            return None  # still being written
+
+    def _manifest(self) -> tuple[int, dict[str, dict]]:
+        """The number of the latest manifest and what it says."""
+        for name in reversed(self._names("manifest-")):
+            if (found := self._read(name)) is not None:
+                return int(name.split("-")[1]), found
+        return 0, {}
+
+    def _save(self, number: int, manifest: dict[str, dict]) -> bool:
+        """Write the manifest under a number, if no other refresh has taken it."""
+        try:
+            out = self._io.create(self._fs.Path(f"{self.path}/manifest-{number:08d}"), False)
+        except Py4JJavaError:
+            return False
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        self._io.delete(old, True)
-        self._io.rename(new, old)
+        return True
+
+    def _clean(self) -> None:
+        kept = self._names("manifest-")[-2:]
+        runs = {e["run"] for name in kept for e in (self._read(name) or {}).values()}
+        for name in (*self._names("manifest-")[:-2], *(n for n in self._done if n not in runs)):
+            self._io.delete(self._fs.Path(f"{self.path}/{name}"), True)
+        self._done &= runs
 
     def _prepared(self, events: DataFrame) -> DataFrame:
         return events.select(*EVENTS).where("event_id is not null and entity is not null and event_type is not null and day is not null").withColumn("bucket", self._bucket())
@@ -105,33 +133,45 @@ class FeatureStore:
 
     def refresh(self, events: DataFrame) -> list[int]:
         """Bring the store up to date with all deliveries; returns the recomputed buckets."""
-        prepared, manifest = self._prepared(events), self._manifest()
+        prepared = self._prepared(events)
         now = self.fingerprints(prepared)
+        while True:
+            number, manifest = self._manifest()
+            changed = self._update(prepared, now, manifest)
+            if not changed:
+                return []
+            if self._save(number + 1, manifest):
+                self._clean()
+                return sorted(changed)
+
+    def _update(self, prepared: DataFrame, now: dict[str, list], manifest: dict[str, dict]) -> set[int]:
+        """Recompute the changed buckets in a new run and enter them into ``manifest``."""
         changed = {int(b) for b in now.keys() | manifest.keys() if manifest.get(b, {}).get("print") != now.get(b)}
+        if not changed:
+            return changed
         source = prepared
-        if changed and manifest:
+        if manifest:
             # a new delivery may take its event out of another bucket: recompute that one as well
             ids = prepared.where(F.col("bucket").isin(*changed)).select("event_id").distinct()
             moved = prepared.join(ids, "event_id", "left_semi").select("bucket").distinct().collect()
             changed |= {r[0] for r in moved}
             ids = prepared.where(F.col("bucket").isin(*changed)).select("event_id").distinct()
             source = prepared.join(ids, "event_id", "left_semi")
-        if changed:
-            run = f"run-{uuid.uuid4().hex[:12]}"
-            fresh = self._valid(source).where(F.col("bucket").isin(*changed))
-            cells = _partials(fresh, "entity", "event_type", "bucket")
-            cells.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{run}")
-            for b in changed:
-                manifest.pop(str(b), None)
-                if str(b) in now:
-                    manifest[str(b)] = {"print": now[str(b)], "run": run}
-            self._save(manifest)
-        return sorted(changed)
+        run = f"run-{uuid.uuid4().hex[:12]}"
+        cells = _partials(self._valid(source).where(F.col("bucket").isin(*changed)), "entity", "event_type", "bucket")
+        cells.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{run}")
+        for b in changed:
+            old = manifest.pop(str(b), None)
+            if old:
+                self._done.add(old["run"])
+            if str(b) in now:
+                manifest[str(b)] = {"print": now[str(b)], "run": run}
+        return changed
 
     def cells(self, buckets: set[int] | None = None) -> DataFrame:
         """Stored partials of the given buckets, or of all."""
         by_run: dict[str, list[str]] = {}
-        for b, entry in self._manifest().items():
+        for b, entry in self._manifest()[1].items():
             where = f"{self.path}/{entry['run']}/bucket={b}"
             # a bucket may hold no valid delivery: then it has no folder
             if (buckets is None or int(b) in buckets) and self._io.exists(self._fs.Path(where)):

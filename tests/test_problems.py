@@ -59,6 +59,25 @@ def test_feature_store_recomputes_changed_buckets_only(spark, tmp_path):
     assert {(e, t): v.n for e, r in wide.items() for t, v in r.features.items()} == {(a, b): n for a, b, n, *_ in _brute(ev2)}
 
 
+def test_refreshes_at_once_and_superseded_runs(spark, tmp_path):
+    import os
+
+    ev = lambda n: spark.createDataFrame([(f"e{i}", "a", "x", i % 20, 1.0, float(n), "", 0) for i in range(n)], EVENTS)
+    one, two = (entity_features.FeatureStore(spark, f"file://{tmp_path}/s", bucket_days=10) for _ in range(2))
+    one.refresh(ev(10))
+    # the other store read its manifest before this refresh ends: it starts over
+    save, raced = two._save, []
+    two._save = lambda number, manifest: save(number, manifest) if raced or raced.append(one.refresh(ev(20))) else save(number, manifest)
+    two.refresh(ev(30))
+    assert rows(two.features()) == rows(one.features()) == [("a", "x", 30, 19, 30.0)]
+    for n in (31, 32, 33):
+        before = one.features()
+        one.refresh(ev(n))
+        assert rows(before, "n") == [(n - 1,)] and rows(one.features(), "n") == [(n,)]
+    left = os.listdir(tmp_path / "s")
+    assert len([n for n in left if n.startswith("manifest-")]) == 2
+
+
 def test_feature_store_of_nothing(spark, tmp_path):
     store = entity_features.FeatureStore(spark, f"file://{tmp_path}/s")
     empty = spark.createDataFrame([], EVENTS)
