@@ -54,8 +54,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_groups.connected_groups(pairs).select(F.col("record").alias("customer_id"), "group_id")
 
 
-def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenise.encode_texts(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+def p8_ids(spark: SparkSession, sf_dir: str, vocabulary: str = tokenise.VOCABULARY) -> DataFrame:
+    """The ids of every document by the vocabulary in a rank file, which all executors can read."""
+    return tokenise.encode_texts(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), vocabulary)
 
 
 def p9_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
