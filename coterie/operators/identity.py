@@ -95,25 +95,46 @@ def identifier_weights(segments: DataFrame, sizes: DataFrame, cfg: GraphConfig)
     return weighted.where(F.col("weight") >= cfg.min_weight).select("as_of_day", "link_type", "value", "df", "weight")
 
 
-def memberships(runs: DataFrame, segments: DataFrame, weights: DataFrame, cfg: GraphConfig) -> DataFrame:
-    """(as_of_day, link_type, value, customer_id, weight) of the weighted values.
-
-    A customer's run is expanded only over the stretches of days on which the
-    number of users allows the value to tie.
-    """
+def tying_runs(runs: DataFrame, segments: DataFrame, cfg: GraphConfig) -> DataFrame:
+    """(link_type, value, customer_id, from_day, to_day): the runs cut to the days on which the number of users lets the value tie."""
     w = Window.partitionBy("link_type", "value").orderBy("from_day")
     kept = segments.where((F.col("df") >= 2) & (F.col("df") <= cap(cfg)))
     apart = F.coalesce((F.col("from_day") > F.lag("to_day").over(w) + 1).cast("int"), F.lit(1))
     stretch = kept.withColumn("apart", apart).withColumn("stretch", F.sum("apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     spans = stretch.groupBy("link_type", "value", "stretch").agg(F.min("from_day").alias("lo"), F.max("to_day").alias("hi"))
-    touched = runs.join(spans, ["link_type", "value"]).select("link_type", "value", "customer_id", F.greatest("from_day", "lo").alias("f"), F.least("to_day", "hi").alias("t")).where("f <= t")
-    days = touched.select("link_type", "value", "customer_id", F.explode(F.sequence("f", "t")).alias("as_of_day"))
+    cut = runs.join(spans, ["link_type", "value"]).select("link_type", "value", "customer_id", F.greatest("from_day", "lo").alias("from_day"), F.least("to_day", "hi").alias("to_day"))
+    return cut.where("from_day <= to_day")
+
+
+def memberships(tying: DataFrame, weights: DataFrame) -> DataFrame:
+    """(as_of_day, link_type, value, customer_id, weight) of the weighted values, a row per day of each run."""
+    days = tying.select("link_type", "value", "customer_id", F.explode(F.sequence("from_day", "to_day")).alias("as_of_day"))
     return days.join(weights.select("as_of_day", "link_type", "value", "weight"), ["as_of_day", "link_type", "value"])
 
 
-def identity_edges(members: DataFrame, cfg: GraphConfig) -> DataFrame:
+def edges_of_runs(tying: DataFrame, weights: DataFrame, cfg: GraphConfig) -> DataFrame:
     """(as_of_day, src, dst, weight) with src < dst: shared weights added up, sums under the floor dropped.
 
+    Runs, not days, meet in the self-join: two users of a value are paired once
+    for all the days on which both use it. A value's weights travel as one list
+    with an entry per day, of which a pair takes its days. Days are expanded
+    after the pairs are placed by (src, dst), so the sum needs no other shuffle.
+    """
+    keys = ["link_type", "value"]
+    by_day = weights.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("as_of_day", "weight"))).alias("days"))
+    a = tying.select(*keys, F.col("customer_id").alias("src"), F.col("from_day").alias("f1"), F.col("to_day").alias("t1"))
+    b = tying.select(*keys, F.col("customer_id").alias("dst"), F.col("from_day").alias("f2"), F.col("to_day").alias("t2"))
+    met = a.join(b, keys).where((F.col("src") < F.col("dst")) & (F.col("f1") <= F.col("t2")) & (F.col("f2") <= F.col("t1")))
+    first, last = F.greatest("f1", "f2"), F.least("t1", "t2")
+    pairs = met.select(*keys, "src", "dst", first.alias("f"), last.alias("t")).join(by_day, keys)
+    both = pairs.select("src", "dst", F.filter("days", lambda d: d["as_of_day"].between(F.col("f"), F.col("t"))).alias("days"))
+    placed = both.where(F.size("days") > 0).repartition("src", "dst").select("src", "dst", F.inline("days"))
+    return placed.groupBy("as_of_day", "src", "dst").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= cfg.min_weight)
+
+
+def identity_edges(members: DataFrame, cfg: GraphConfig) -> DataFrame:
+    """The same as ``edges_of_runs``, from the memberships of each day.
+
     A value has at most its cap of users, so it gives at most cap² / 2 pairs.
     """
     keys = ["as_of_day", "link_type", "value"]

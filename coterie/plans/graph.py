@@ -59,8 +59,9 @@ _MAKE = {
     "segments": lambda s, d: identity.user_segments(table(s, d, "runs"), _g(s, d)),
     "nodes": lambda s, d: identity.window_nodes(table(s, d, "payments"), _g(s, d)),
     "weights": lambda s, d: identity.identifier_weights(table(s, d, "segments"), identity.window_sizes(table(s, d, "payments"), _g(s, d)), _g(s, d)),
-    "members": lambda s, d: identity.memberships(table(s, d, "runs"), table(s, d, "segments"), table(s, d, "weights"), _g(s, d)),
-    "edges": lambda s, d: identity.identity_edges(table(s, d, "members"), _g(s, d)),
+    "tying": lambda s, d: identity.tying_runs(table(s, d, "runs"), table(s, d, "segments"), _g(s, d)),
+    "members": lambda s, d: identity.memberships(table(s, d, "tying"), table(s, d, "weights")),
+    "edges": lambda s, d: identity.edges_of_runs(table(s, d, "tying"), table(s, d, "weights"), _g(s, d)),
     "components": lambda s, d: components.connected_components(identity.tie_stars(table(s, d, "members")), table(s, d, "members").count()),
     "component_clusters": lambda s, d: table(s, d, "components").withColumnRenamed("component", "cluster"),
     "communities": lambda s, d: communities.communities(table(s, d, "components"), table(s, d, "edges"), _g(s, d)),

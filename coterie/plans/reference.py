@@ -57,7 +57,9 @@ edges as (select a.as_of_day, a.customer_id as src, b.customer_id as dst, sum(a.
 CLUSTERS = f"""{EDGES}, ways as (select as_of_day, src as a, dst as b from edges union all select as_of_day, dst, src from edges),
 reach as (select as_of_day, a, b from ways union select r.as_of_day, r.a, w.b from reach r join ways w on w.as_of_day = r.as_of_day and w.a = r.b),
 clusters as (select as_of_day, a as customer_id, least(a, min(b)) as cluster from reach group by as_of_day, a)"""
-STATS = f"""{CLUSTERS}, inner_edges as (select e.as_of_day, c.cluster, e.weight from edges e join clusters c on c.as_of_day = e.as_of_day and c.customer_id = e.src),
+#: The part of the SQL that finds the clusters; a table of given clusters can stand in its place.
+FINDS_CLUSTERS = CLUSTERS[len(EDGES) :]
+STATS = f"""{CLUSTERS}, inner_edges as (select e.as_of_day, c.cluster, e.weight from edges e join clusters c on c.as_of_day = e.as_of_day and c.customer_id = e.src join clusters d on d.as_of_day = e.as_of_day and d.customer_id = e.dst and d.cluster = c.cluster),
 cohesion as (select as_of_day, cluster, count(*) as edges, avg(weight) as mean_edge_weight, max(weight) as max_edge_weight, sum(weight) as total_weight, any_value(size) as size, count(*) / (any_value(size) * (any_value(size) - 1) / 2) as density
   from inner_edges join (select as_of_day, cluster, count(*) as size from clusters group by all) using (as_of_day, cluster) group by all),
 rows_of as (select c.as_of_day, c.cluster, p.* from conf p join clusters c on c.customer_id = p.customer_id and p."day" >= c.as_of_day - {G.window_days} and p."day" < c.as_of_day),
@@ -643,7 +645,7 @@ def evidence_identifiers(spark, sf_dir, of=COMPONENTS):
     return rounded(explain.evidence_identifiers(table(spark, sf_dir, "runs"), clusters_of(spark, sf_dir, of), table(spark, sf_dir, "weights")), "weight")
 
 
-@query(R(CLUSTERS, True) + " select e.as_of_day, cluster, src, dst, round(weight, 6) as weight from edges e join clusters c on c.as_of_day = e.as_of_day and c.customer_id = e.src")
+@query(R(CLUSTERS, True) + " select c.as_of_day, c.cluster, src, dst, round(weight, 6) as weight from edges e join clusters c on c.as_of_day = e.as_of_day and c.customer_id = e.src join clusters d on d.as_of_day = e.as_of_day and d.customer_id = e.dst and d.cluster = c.cluster")
 def evidence_edges(spark, sf_dir, of=COMPONENTS):
     return rounded(explain.evidence_edges(table(spark, sf_dir, "edges"), clusters_of(spark, sf_dir, of)), "weight")
 
@@ -661,7 +663,7 @@ def evidence_packets(spark, sf_dir):
 m as (select as_of_day, cluster, count(*) as member_count, sum(payments)::bigint as payments, round(sum(amount_major), 2) as amount_major, sum(declines)::bigint as declines from acts group by 1, 2),
 shared as (select as_of_day, cluster, link_type, value, count(*) as accounts, any_value(weight) is null as pruned from win join clusters using (as_of_day, customer_id) left join weights using (as_of_day, link_type, value) group by 1, 2, 3, 4 having count(*) >= 2),
 i as (select as_of_day, cluster, count_if(not pruned) as shared_identifiers, count_if(pruned) as pruned_identifiers, max(accounts) as widest_sharing from shared group by 1, 2),
-e as (select e.as_of_day, cluster, count(*) as edges, round(max(weight), 6) as max_weight from edges e join clusters c on c.as_of_day = e.as_of_day and c.customer_id = e.src group by 1, 2)
+e as (select c.as_of_day, c.cluster, count(*) as edges, round(max(weight), 6) as max_weight from edges e join clusters c on c.as_of_day = e.as_of_day and c.customer_id = e.src join clusters d on d.as_of_day = e.as_of_day and d.customer_id = e.dst and d.cluster = c.cluster group by 1, 2)
 select payment_id, as_of_day, cluster, case when g_match = 1 then 'own payments in this cluster' else 'a shared identifier' end as attachment, member_count, payments, amount_major, declines, coalesce(shared_identifiers, 0) as shared_identifiers, coalesce(pruned_identifiers, 0) as pruned_identifiers, coalesce(widest_sharing, 0) as widest_sharing, coalesce(edges, 0) as edges, max_weight
  from resolved join m using (as_of_day, cluster) left join i using (as_of_day, cluster) left join e using (as_of_day, cluster)""")
 def component_evidence_packets(spark, sf_dir):

@@ -73,8 +73,18 @@ def _graph(spark, data, cfg=CFG):
     counted = {r.as_of_day: r["count"] for r in nodes.groupBy("as_of_day").count().collect()}
     assert {r.as_of_day: r.n_customers for r in sizes.collect() if r.n_customers} == counted
     weights = identity.identifier_weights(segments, sizes, cfg)
-    members = identity.memberships(runs, segments, weights, cfg)
-    return nodes, weights, members, identity.identity_edges(members, cfg)
+    tying = identity.tying_runs(runs, segments, cfg)
+    members = identity.memberships(tying, weights)
+    edges = identity.edges_of_runs(tying, weights, cfg)
+    near = lambda df: {(r.as_of_day, r.src, r.dst): r.weight for r in df.collect()}
+    assert near(edges) == pytest.approx(near(identity.identity_edges(members, cfg)))
+    return nodes, weights, members, edges
+
+
+def test_edges_of_many_runs(spark):
+    rng = random.Random(6)
+    data = [(f"c{rng.randrange(12)}", rng.randrange(20), rng.choice(["v", "w", None]), rng.choice(["x", "y", "z"])) for _ in range(120)]
+    assert _graph(spark, data, GraphConfig(links=(Link("card_fingerprint", 1.0, 6), Link("ip", 0.5, 9)), window_days=3, last_as_of=20))[3].count() > 20
 
 
 def test_hubs_at_and_above_the_cap(spark):

@@ -12,8 +12,8 @@ def _text(v):
     return f"{v:.7g}" if isinstance(v, float) else str(v)
 
 
-def _same(spark, duck, queries, sql, name):
-    got, want = queries[name](spark, DATA).toArrow(), duck.execute(sql[name]).to_arrow_table()
+def _same(spark, duck, queries, sql, name, folder=DATA):
+    got, want = queries[name](spark, folder).toArrow(), duck.execute(sql[name]).to_arrow_table()
     cols = sorted(got.column_names)
     assert cols == sorted(want.column_names)
     table = lambda t: Counter(zip(*([_text(v) for v in t.column(c).to_pylist()] for c in cols), strict=True))
@@ -47,3 +47,32 @@ def test_clusters_of_the_pipeline_are_communities(spark, name):
     found = q[name](spark, DATA).where("cluster is not null").select("as_of_day", "cluster").distinct()
     assert found.count() > 0
     assert found.join(q["louvain_clusters"](spark, DATA), ["as_of_day", "cluster"], "left_anti").count() == 0
+
+
+#: Queries that take clusters as they are.
+ON_CLUSTERS = ["cluster_cohesion", "cluster_behaviour", "cluster_risk", "identifier_cluster_vote", "asof_cluster_resolution", "component_graph_features", "evidence_members", "evidence_identifiers", "evidence_edges", "component_evidence_packets"]
+
+
+@pytest.fixture(scope="module")
+def split_clusters(spark, duck):
+    """A folder name under which the components are replaced by communities that split many of them, also known to DuckDB."""
+    from coterie.config import GraphConfig
+    from coterie.operators.communities import communities
+    from coterie.plans import graph
+
+    folder, made = DATA + "/.", graph._MAKE["component_clusters"]
+    loose = GraphConfig(whole_below=3, whole_density=0.99)
+    graph._MAKE["component_clusters"] = lambda s, d: communities(graph.table(s, d, "components"), graph.table(s, d, "edges"), loose)
+    given = graph.table(spark, folder, "component_clusters")
+    assert given.select("as_of_day", "cluster").distinct().count() > graph.table(spark, folder, "components").select("as_of_day", "component").distinct().count()
+    duck.register("given", given.toArrow())
+    yield folder
+    graph._MAKE["component_clusters"] = made
+
+
+@pytest.mark.parametrize("name", ON_CLUSTERS)
+def test_matches_sql_on_split_clusters(spark, duck, split_clusters, name):
+    sql = entry.oracle_sql()[name]
+    given = sql.replace(entry.reference.FINDS_CLUSTERS, ", clusters as (select as_of_day, customer_id, cluster from given)")
+    assert given != sql
+    _same(spark, duck, entry.queries(), {name: given}, name, split_clusters)
