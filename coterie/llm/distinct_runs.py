@@ -108,16 +108,25 @@ def with_bits(runs: DataFrame, bits: int) -> DataFrame:
 
 
 def merge_stores(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The runs of two stores, united in as many buckets as the finer one has; read twice."""
+    """The runs of two stores, united in as many buckets as the finer one has; read twice.
+
+    A task holds one bucket of a field, which ``hash_bits`` bounds.
+    """
 
     def unite(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[:1].copy()
-        run = union_runs([decode_run(r) for r in pdf["run"]])
-        return first.assign(n=len(run), run=[encode_run(run)], day=first["day"].astype("Int32"))
+        field, bits, bucket = pdf["field"].iloc[0], pdf["bits"].iloc[0], pdf["bucket"].iloc[0]
+        cells: dict[tuple, list[bytes]] = {}
+        for day, method, city, run in zip(pdf["day"].astype("Int32"), pdf["method"], pdf["city"], pdf["run"], strict=True):
+            cells.setdefault(tuple(None if pd.isna(x) else x for x in (day, method, city)), []).append(run)
+        rows = []
+        for of, runs in cells.items():
+            run = union_runs([decode_run(r) for r in runs])
+            rows.append((field, bits, bucket, *of, len(run), encode_run(run) if len(runs) > 1 else runs[0]))
+        return pd.DataFrame(rows, columns=["field", "bits", "bucket", *DIMS, "n", "run"]).astype({"day": "Int32"})
 
     both = a.unionByName(b)
     bits = both.agg(F.max("bits")).head()[0]
-    return both if bits is None else with_bits(both, bits).groupBy("field", "bits", "bucket", *DIMS).applyInPandas(unite, RUNS)
+    return both if bits is None else with_bits(both, bits).groupBy("field", "bits", "bucket").applyInPandas(unite, RUNS)
 
 
 def _lattice() -> list[tuple[tuple[str, ...], tuple[str, ...] | None]]:
