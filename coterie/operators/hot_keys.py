@@ -33,45 +33,48 @@ def input_partitions(rows: DataFrame) -> DataFrame:
     return materialise(timed.repartitionByRange("at", "tie").withColumn("part", F.spark_partition_id()), "timed")[0]
 
 
-def _same_key(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of ``a`` with those of ``b`` of the same partition and key, also the null key."""
-    other = b.select(*(F.col(c).alias(f"_{c}") for c in ("part", *KEY)), *(c for c in b.columns if c not in ("part", *KEY)))
-    on = (F.col("part") == F.col("_part")) & (F.col("field") == F.col("_field")) & F.col("key_value").eqNullSafe(F.col("_key_value"))
-    return a.join(other, on).drop("_part", "_field", "_key_value")
+def _offsets(rows: DataFrame, chunk_rows: int) -> DataFrame:
+    """(part, field, key_value, offset): of the keys with more rows than a chunk the rows before each partition.
 
-
-def _state(rows: DataFrame, *more: str) -> DataFrame:
-    return rows.groupBy("part", *KEY, *more).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.max("gap").alias("max_gap")
-    )
+    There are at most as many such keys as there are chunks. Only their rows
+    are counted per partition.
+    """
+    large = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk_rows).select(*(F.col(c).alias(f"_{c}") for c in KEY))
+    same = F.col("field").eqNullSafe(F.col("_field")) & F.col("key_value").eqNullSafe(F.col("_key_value"))
+    counted = rows.join(large, same, "left_semi").groupBy("part", *KEY).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return counted.select("part", *KEY, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
 
 
 def key_pieces(rows: DataFrame, chunk_rows: int = 50_000, ranged: bool = False) -> DataFrame:
     """One state per chunk of a key and input partition, with the number of its first row in the key.
 
     ``rows`` has field, key_value, at, tie, amount, and where it is ``ranged``
-    the part from ``input_partitions``; other columns are ignored. A null key is a key like any other (callers that
-    want none filter the result); null times count as 0 and null or NaN
-    amounts as 0, ties in ``at`` are ordered by ``tie``. ``max_gap`` is the
-    longest time between two consecutive rows of the piece, or between its
-    first and the row before it in the partition.
+    the part from ``input_partitions``; other columns are ignored. A null key
+    is a key like any other (callers that want none filter the result); null
+    times count as 0 and null or NaN amounts as 0, ties in ``at`` are ordered
+    by ``tie``. ``max_gap`` is the longest time between two consecutive rows
+    of the piece, or between its first and the row before it in the partition.
     """
     if not ranged:
         rows = input_partitions(rows.select(*KEY, "at", "tie", "amount"))
-    clean = rows.select("part", F.col("field").cast("tinyint").alias("field"), "key_value", "at", "tie", F.coalesce(F.when(~F.isnan("amount"), F.col("amount").cast("double")), F.lit(0.0)).alias("amount"))
-    local = Window.partitionBy("part", *KEY).orderBy("at", "tie")
-    numbered = clean.withColumn("local", F.row_number().over(local)).withColumn("gap", F.col("at") - F.lag("at").over(local))
-    key = Window.partitionBy(*KEY)
-    before = key.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counted = _state(numbered).withColumn("first_row", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("key_rows", F.sum("n").over(key))
-    whole = counted.where(F.col("key_rows") <= chunk_rows).select(*KEY, F.lit(0).cast("bigint").alias("chunk"), "part", "first_row", "n", "total", "first_at", "last_at", "max_gap")
-    # few keys are larger than a chunk; Spark broadcasts their offsets if they are small
-    offsets = counted.where(F.col("key_rows") > chunk_rows).select("part", *KEY, F.col("first_row").alias("offset"))
-    cut = _same_key(numbered, offsets).withColumn("row", F.col("offset") + F.col("local") - 1).withColumn("chunk", F.floor(F.col("row") / chunk_rows))
+    field = F.col("field").cast("tinyint").alias("field")
+    clean = rows.select("part", field, "key_value", "at", "tie", F.coalesce(F.when(~F.isnan("amount"), F.col("amount").cast("double")), F.lit(0.0)).alias("amount"))
+    # the offset of a key in a partition travels as a row at the head of its rows: no join, one shuffle
+    none = lambda t: F.lit(None).cast(t)
+    heads = _offsets(clean, chunk_rows).select("part", *KEY, none("bigint").alias("at"), none(clean.schema["tie"].dataType).alias("tie"), F.lit(0.0).alias("amount"), "offset")
+    every = clean.withColumn("offset", none("bigint")).unionByName(heads)
+    local = Window.partitionBy("part", *KEY).orderBy(F.col("offset").isNull(), "at", "tie")
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = every.select("part", *KEY, "at", "amount", F.col("offset").isNotNull().alias("head"), F.max("offset").over(upto).alias("offset"), F.row_number().over(local).alias("place"), (F.col("at") - F.lag("at").over(local)).alias("gap"))
+    # the head took the first place; rows of other keys are all of one chunk
+    row = F.col("offset") + F.col("place") - 2
+    cut = numbered.where(~F.col("head")).withColumn("chunk", F.coalesce(F.floor(row / chunk_rows), F.lit(0)))
     pieces = cut.groupBy("part", *KEY, "chunk").agg(
-        F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.max("gap").alias("max_gap")
+        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.max("gap").alias("max_gap")
     )
-    return whole.unionByName(pieces)
+    before = Window.partitionBy(*KEY).orderBy("part", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return pieces.withColumn("first_row", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
 def per_key(rows: DataFrame, chunk_rows: int = 50_000, ranged: bool = False) -> DataFrame:
@@ -82,7 +85,7 @@ def per_key(rows: DataFrame, chunk_rows: int = 50_000, ranged: bool = False) ->
     pieces comes from the last row of one and the first row of the next.
     """
     pieces = key_pieces(rows, chunk_rows, ranged)
-    order = Window.partitionBy(*KEY).orderBy("first_row")
+    order = Window.partitionBy(*KEY).orderBy("part", "chunk")
     across = F.col("first_at") - F.lag("last_at").over(order)
     return (
         pieces.withColumn("gap", F.greatest("max_gap", across))
