@@ -351,15 +351,50 @@ def study_summary(runs: DataFrame, keys: tuple[str, ...], metric: str = "value")
     return per.select(*keys, "base_mean", "base_sd", "graph_mean", "graph_sd", gap.alias("gap"), pooled.alias("pooled_sd"), effect.alias("effect"), verdict.alias("verdict"))
 
 
+def exact_quantiles(long: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """(feature, q): the quantiles of each feature's values, interpolated between neighbours, as an array in the order of ``shares``.
+
+    ``long`` has feature and value. Equal values are counted first; the counts
+    are ranged by (feature, value) and written, and prefix sums over the ranges
+    give every value its place, so no feature's values come together in one
+    task. A row per feature and share is broadcast.
+    """
+    counted = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranged, _ = materialise(counted.repartitionByRange("feature", "value").withColumn("part", F.spark_partition_id()), "values")
+    per = ranged.groupBy("feature", "part").agg(F.sum("n").alias("n"))
+    every = Window.partitionBy("feature")
+    base = per.select("feature", "part", F.coalesce(F.sum("n").over(every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("feature", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("upto", F.sum("n").over(inside)).join(F.broadcast(base), ["feature", "part"])
+    placed = placed.select("feature", "value", (F.col("base") + F.col("upto") - F.col("n")).alias("first"), (F.col("base") + F.col("upto") - 1).alias("last"))
+    asked = per.groupBy("feature").agg(F.sum("n").alias("rows")).select("feature", "rows", F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("share")) for i, p in enumerate(shares)))))
+    at = F.col("share") * (F.col("rows") - 1)
+    asked = asked.select("feature", "i", (at - F.floor(at)).alias("beyond"), F.floor(at).alias("low"), F.ceil(at).alias("high"))
+    hit = placed.join(F.broadcast(asked), "feature").where("first <= high and last >= low")
+    inside_of = lambda place: F.max(F.when(F.col(place).between(F.col("first"), F.col("last")), F.col("value")))
+    each = hit.groupBy("feature", "i", "beyond").agg(inside_of("low").alias("lo"), inside_of("high").alias("hi"))
+    value = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("beyond")
+    return each.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))).alias("l")).select("feature", F.transform("l", lambda x: x["v"]).alias("q"))
+
+
 def corrupt_labels(rows: DataFrame, mode: str, rate: float, seed: int = 42) -> DataFrame:
     """Labels with noise: ``fn_only`` turns the share ``rate`` of the positives to 0, ``symmetric`` flips each with that chance.
 
     Which rows change depends on a hash of the payment and the seed, not on
-    partitions or order. ``fn_only`` hits the share in expectation.
+    partitions or order. ``fn_only`` takes the positives of the smallest
+    hashes, as many as the share says, rounded down.
     """
     if mode not in ("fn_only", "symmetric"):
         raise ValueError(f"unknown mode {mode}")
-    hit = F.pmod(F.xxhash64("payment_id", F.lit(seed)), F.lit(1_000_000)) < int(rate * 1_000_000)
-    if mode == "fn_only":
-        hit &= F.col("y") == 1
+    h = F.xxhash64("payment_id", F.lit(seed))
+    if mode == "symmetric":
+        hit = F.pmod(h, F.lit(1_000_000)) < int(rate * 1_000_000)
+    else:
+        place = F.pmod(h, F.lit(1 << 52)).cast("double")
+        marked = rows.where("y = 1").select(F.lit("y").alias("feature"), place.alias("value"))
+        n = marked.count()
+        k = int(rate * n)
+        # the k-th smallest of n values stands at the share (k - 1) / (n - 1)
+        last = exact_quantiles(marked, ((k - 1) / max(1, n - 1),)).head()["q"][0] if k else -1.0
+        hit = (F.col("y") == 1) & (place <= F.lit(last + 0.5))
     return rows.withColumn("flipped", F.coalesce(hit, F.lit(False))).withColumn("y", F.when(F.col("flipped"), 1 - F.col("y")).otherwise(F.col("y")))

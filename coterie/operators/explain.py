@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from coterie.operators import catalogue
 from coterie.operators.clusters import window_rows
-from coterie.runtime import materialise
+from coterie.operators.evaluation import exact_quantiles
 
 
 def mask(value: Column, keep: int = 3) -> Column:
@@ -21,32 +21,6 @@ def mask(value: Column, keep: int = 3) -> Column:
     return F.when(short, F.concat(F.substring(text, 1, keep), F.lit("…"))).otherwise(F.concat(F.substring(text, 1, keep), F.lit("…"), F.right(text, F.lit(keep))))
 
 
-def exact_quantiles(long: DataFrame, shares: tuple[float, ...]) -> DataFrame:
-    """(feature, q): the quantiles of each feature's values, interpolated between neighbours, as an array in the order of ``shares``.
-
-    ``long`` has feature and value. Equal values are counted first; the counts
-    are ranged by (feature, value) and written, and prefix sums over the ranges
-    give every value its place, so no feature's values come together in one
-    task. A row per feature and share is broadcast.
-    """
-    counted = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranged, _ = materialise(counted.repartitionByRange("feature", "value").withColumn("part", F.spark_partition_id()), "values")
-    per = ranged.groupBy("feature", "part").agg(F.sum("n").alias("n"))
-    every = Window.partitionBy("feature")
-    base = per.select("feature", "part", F.coalesce(F.sum("n").over(every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("feature", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranged.withColumn("upto", F.sum("n").over(inside)).join(F.broadcast(base), ["feature", "part"])
-    placed = placed.select("feature", "value", (F.col("base") + F.col("upto") - F.col("n")).alias("first"), (F.col("base") + F.col("upto") - 1).alias("last"))
-    asked = per.groupBy("feature").agg(F.sum("n").alias("rows")).select("feature", "rows", F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("share")) for i, p in enumerate(shares)))))
-    at = F.col("share") * (F.col("rows") - 1)
-    asked = asked.select("feature", "i", (at - F.floor(at)).alias("beyond"), F.floor(at).alias("low"), F.ceil(at).alias("high"))
-    hit = placed.join(F.broadcast(asked), "feature").where("first <= high and last >= low")
-    inside_of = lambda place: F.max(F.when(F.col(place).between(F.col("first"), F.col("last")), F.col("value")))
-    each = hit.groupBy("feature", "i", "beyond").agg(inside_of("low").alias("lo"), inside_of("high").alias("hi"))
-    value = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("beyond")
-    return each.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))).alias("l")).select("feature", F.transform("l", lambda x: x["v"]).alias("q"))
-
-
 def honest_reference(rows: DataFrame, numeric: tuple[str, ...], categorical: tuple[str, ...] = (), accuracy: int | None = None) -> DataFrame:
     """(feature, center, scale, level): what an honest payment looks like.
 

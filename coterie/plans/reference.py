@@ -537,6 +537,23 @@ def label_noise_rows(spark, sf_dir):
     return evaluation.corrupt_labels(rows, "symmetric", 0.05).select("payment_id", "y", "flipped")
 
 
+_RUNS_SQL = """, seeded as (select *, arm || '|' || ("day" % 5) as run from test), agg as (select run, score, count(*) as n, sum(y)::bigint as pos from seeded group by 1, 2),
+curve as (select run, threshold, tp / (tp + fp) as precision, coalesce(tp / nullif(all_pos, 0), 0) as recall from (select run, score as threshold, sum(pos) over (partition by run order by score desc)::bigint as tp, sum(n - pos) over (partition by run order by score desc)::bigint as fp, sum(pos) over (partition by run) as all_pos from agg)),
+runs as (select split_part(run, '|', 1) as arm, sum((recall - before) * precision) as value from (select *, coalesce(lag(recall) over (partition by run order by threshold desc), 0) as before from curve) group by run),
+wide as (select avg(value) filter (arm = 'base') as base_mean, stddev_samp(value) filter (arm = 'base') as base_sd, avg(value) filter (arm = 'graph') as graph_mean, stddev_samp(value) filter (arm = 'graph') as graph_sd from runs),
+gaps as (select *, graph_mean - base_mean as gap, sqrt((base_sd ** 2 + graph_sd ** 2) / 2) as pooled_sd from wide),
+sized as (select *, abs(gap) / nullif(pooled_sd, 0) as effect from gaps)"""
+_STUDY = ("base_mean", "base_sd", "graph_mean", "graph_sd", "gap", "pooled_sd", "effect")
+
+
+@query(R(SCORED) + _RUNS_SQL + f""" select 'pr_auc' as metric, {_r(*_STUDY)}, case when effect is null or effect < 2 then 'no measurable difference' when gap > 0 then 'graph better' else 'base better' end as verdict from sized""")
+def study_summary(spark, sf_dir, scores=None):
+    """Both arms over repeated runs; here a run is a fifth of the test days, in the studies it is a seed."""
+    rows = scored(spark, sf_dir, scores=scores).withColumn("arm", F.concat_ws("|", "arm", F.col("day") % 5))
+    runs = evaluation.average_precision(rows).select(F.lit("pr_auc").alias("metric"), F.split("arm", r"\|")[0].alias("arm"), F.col("pr_auc").alias("value"))
+    return rounded(evaluation.study_summary(runs, ("metric",)), *_STUDY)
+
+
 @query(R(CONF) + """, levels as (select feature, coalesce(level, '__none__') as level from (select payment_id, unnest(['method', 'card_network', 'card_type', 'card_issuer', 'city']) as feature, unnest([method, card_network, card_type, card_issuer, city]) as level from conf where split = 'train'))
 select feature, level, count(*) as n, (row_number() over (partition by feature order by count(*) desc, level))::int as rank from levels group by 1, 2 qualify rank <= 254""")
 def category_vocab(spark, sf_dir):

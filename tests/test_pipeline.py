@@ -255,7 +255,9 @@ def test_permutation_test_tells_structure_from_none(spark):
 def test_label_noise(spark):
     df = spark.range(20_000).select(F.col("id").cast("string").alias("payment_id"), (F.col("id") % 10 == 0).cast("int").alias("y"))
     fn = evaluation.corrupt_labels(df, "fn_only", 0.2)
-    assert fn.where("flipped and y <> 0").count() == 0 and 300 < fn.where("flipped").count() < 500
+    assert fn.where("flipped and y <> 0").count() == 0 and fn.where("flipped").count() == 400
+    assert evaluation.corrupt_labels(df, "fn_only", 0.0).where("flipped").count() == 0
+    assert evaluation.corrupt_labels(df, "fn_only", 1.0).where("flipped").count() == 2000
     assert 900 < evaluation.corrupt_labels(df, "symmetric", 0.05).where("flipped").count() < 1100
     assert rows(fn.limit(0)) == []
     with pytest.raises(ValueError):
