@@ -380,8 +380,16 @@ class Scorer:
     def __init__(self, counts: dict[str, int], common: dict[str, int], model: PassageModel):
         self.restorer, self.model = Restorer(counts, common), BatchModel(model)
 
-    def texts(self, texts: list[str | None]) -> np.ndarray:
-        return self.model.scores([self.restorer.passages(t) for t in texts])
+    def texts(self, texts: list[str | None], words: int = 200_000) -> np.ndarray:
+        """Scores of many texts, about ``words`` words at a time, which bounds the memory whatever their length."""
+        parts, docs, size = [], [], 0
+        for t in texts:
+            docs.append(self.restorer.passages(t))
+            size += sum(map(len, docs[-1]))
+            if size >= words:
+                parts.append(self.model.scores(docs))
+                docs, size = [], 0
+        return np.concatenate([*parts, self.model.scores(docs)])
 
     def text(self, text: str | None) -> float:
         return float(self.texts([text])[0])

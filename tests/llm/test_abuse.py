@@ -118,6 +118,14 @@ def test_batches_and_windows_score_like_single_passages():
     assert list(abuse.BatchModel(model).scores([])) == [] and list(abuse.BatchModel(abuse.PassageModel({}, 0.0)).scores([[], [[]], [["a"]]])) == [0.0, 0.0, 0.5]
 
 
+def test_texts_are_scored_in_bounded_parts():
+    model = abuse.PassageModel({"idiot": 3.0, "you": 0.5}, -3.0)
+    scorer = abuse.Scorer(_counts(WORDS), COMMON, model)
+    texts = ["You idiot. The parcel arrived late.", None, "", "The parcel. You", "parcel " * 500, "idiot"] * 3
+    assert scorer.texts(texts, words=3).tolist() == scorer.texts(texts).tolist() == [scorer.text(t) for t in texts]
+    assert scorer.texts([]).tolist() == []
+
+
 def test_few_labels_are_enough_for_what_they_show():
     plain = ["the parcel arrived late", "refund issued today", "please send receipt", "courier was friendly"]
     docs = [[plain[i % 4].split(), plain[(i + 1) % 4].split()] for i in range(20)] + [[plain[0].split(), "you are a pathetic halfwit".split()]]
