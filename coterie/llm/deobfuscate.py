@@ -49,6 +49,10 @@ _TOKEN = regex.compile(
     rf"|(?P<string>[\p{{L}}\p{{M}}\p{{N}}{_ODD}'’\-._]++)"
     r"|(?P<end>[?।;…\x1e]+)"
 )
+#: the last two characters of a word that is spaced out by spaces; begins with a space, which is found fast
+_SPACED = regex.compile(r" [\p{L}@$0134578*]\p{M}*+ [\p{L}@$0134578*]\p{M}*+(?!\**+[\p{L}\p{N}])")
+#: more than one character between two tokens
+FAR = 9
 _PLAIN = regex.compile(rf"{_L}++(?:['’]{_L}++)*+")
 _LETTER = regex.compile(r"\p{L}")
 _APART = regex.compile(r"[-._'’]+")
@@ -168,6 +172,7 @@ class Restorer:
         self.model, self.common, self.remember, self.longest = CharModel(counts), common, remember, longest
         self.known: dict[str, str] = {}
         self.strings: dict[str, tuple[list[str], bool]] = {}
+        self.chunks: dict[str, tuple[list[tuple[list[str], bool, int]], int]] = {}
         self.alike: dict[tuple[int, str], list[str]] = {}
         for w in common:
             self.alike.setdefault((len(w), w[0]), []).append(w)
@@ -252,13 +257,10 @@ class Restorer:
                 self.strings[written] = got
         return got
 
-    def passages(self, text: str | None) -> list[list[str]]:
-        """Passages of a text as restored words. Null, empty and blank texts have none."""
-        common, strings = self.common, self.strings
-        out: list[list[str]] = []
-        now: list[str] = []
-        last_end = -2
-        for m in _TOKEN.finditer(fold(_lines(text)) if text else ""):
+    def tokens(self, text: str):
+        """(words, whether the passage ends, start, end) of each token."""
+        strings = self.strings
+        for m in _TOKEN.finditer(text):
             kind, s = m.lastgroup, m.group()
             if kind == "string":
                 words, ends = strings.get(s) or self.string(s)
@@ -268,16 +270,50 @@ class Restorer:
                 run = regex.sub(r"[ .\-_/|~]", "", s)
                 letters, hidden = len(_LETTER.findall(run)), sum(map(_hidden, run))
                 words, ends = (self.signs(run) if not letters else self.spelled(run) if letters + hidden > 2 else []), False
-            if len(words) == 1 and now and now[-1] + words[0] in common and m.start() - last_end == 1 and self.joined(now[-1], words[0]):
-                now[-1] += words[0]
-            else:
-                now += words
-            last_end = m.end() if not ends else -2
-            if ends and now:
+            yield words, ends, m.start(), m.end()
+
+    def chunk(self, written: str) -> tuple[list[tuple[list[str], bool, int]], int]:
+        """The tokens of a string without spaces, each with what lies between it and the one before, and what lies behind the last."""
+        if (got := self.chunks.get(written)) is None:
+            found, last = [], 0
+            for words, ends, start, end in self.tokens(written):
+                found.append((words, ends, start - last))
+                last = end
+            got = found, len(written) - last
+            if len(written) <= self.longest:
+                if len(self.chunks) >= self.remember:
+                    self.chunks.clear()
+                self.chunks[written] = got
+        return got
+
+    def passages(self, text: str | None) -> list[list[str]]:
+        """Passages of a text as restored words. Null, empty and blank texts have none.
+
+        Texts are read chunk by chunk between spaces, most of which were seen
+        before. Only words that are spaced out go across spaces.
+        """
+        common, chunks = self.common, self.chunks
+        out: list[list[str]] = []
+        for part in fold(_lines(text)).split("\x1e") if text else ():
+            now: list[str] = []
+            gap = FAR  # what lies between this token and the one before, if that may be the first half of a word
+            pieces = [part] if _SPACED.search(part) else part.split(" ")
+            for piece in pieces:
+                tokens, behind = chunks.get(piece) or self.chunk(piece)
+                for words, ends, before in tokens:
+                    if gap + before == 1 and len(words) == 1 and now and now[-1] + words[0] in common and self.joined(now[-1], words[0]):
+                        now[-1] += words[0]
+                    else:
+                        now += words
+                    gap = 0
+                    if ends:
+                        gap = FAR
+                        if now:
+                            out.append(now)
+                            now = []
+                gap += behind + 1
+            if now:
                 out.append(now)
-                now = []
-        if now:
-            out.append(now)
         return out
 
 
