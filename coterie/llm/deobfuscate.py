@@ -350,7 +350,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit_model(docs: DataFrame, grams: int = 300_000, words: int = 100_000, least: int = 3) -> tuple[dict[str, int], dict[str, int]]:
+def fit_model(docs: DataFrame, grams: int = 300_000, words: int = 300_000, least: int = 3) -> tuple[dict[str, int], dict[str, int]]:
     """The n-gram counts and the counts of the common words of all texts.
 
     Counting covers all texts. Of the result the model keeps the ``grams``
