@@ -70,7 +70,7 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"as_of_day": (nodes[moved] // len(name[1])).astype(np.int32), "u": of(moved), "v": of(label[moved]), "part": part})
 
 
-def connected_components(edges: DataFrame, rows: int | None = None, part_rows: int = 1_000_000) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None, part_rows: int = 500_000) -> DataFrame:
     """(as_of_day, customer_id, component) of nodes with an edge; the component is its smallest member.
 
     Edges have as_of_day, src and dst; those with a null or of a node with
@@ -79,7 +79,8 @@ def connected_components(edges: DataFrame, rows: int | None = None, part_rows: i
     about ``part_rows`` of them.
     """
     spark = edges.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(edges.count() if rows is None else rows) // part_rows))
+    # few partitions split few days, and a day that is not split needs no further rounds
+    parts = max(1, -(-(edges.count() if rows is None else rows) // part_rows))
     ends = edges.where("src is not null and dst is not null and src <> dst").select(F.col("as_of_day").cast("int").alias("as_of_day"), F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     stars, _ = materialise(ends.repartitionByRange(parts, "as_of_day", "v").mapInPandas(_contract, "as_of_day int, u string, v string, part int"), "stars")
     # a day that lies in one partition is done; a row per other day is broadcast
