@@ -9,6 +9,7 @@ at its two ends.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from functools import reduce
@@ -17,6 +18,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coterie.runtime import state
+
 EVENTS = ("event_id", "entity", "event_type", "day", "amount", "received_at")
 CELL = "entity string, event_type string, n bigint, last_day int, total double, bucket int"
 
@@ -84,33 +87,42 @@ class FeatureStore:
         found = self._io.listStatus(where) if self._io.exists(where) else []
         return sorted(n for s in found if (n := s.getPath().getName()).startswith(start))
 
-    def _read(self, name: str) -> dict[str, dict] | None:
+    def _inputs(self, events: DataFrame) -> str:
+        """What the events are made from: their plan and the state of their files; empty where they come from no files."""
+        files = events.inputFiles()
+        if not files:
+            return ""
+        # of very many files the folders stand for them
+        at = files if len(files) <= 1000 else {f.rsplit("/", 1)[0] for f in files}
+        return hashlib.sha1(repr([events.semanticHash(), *((f, state(self.spark, f)) for f in sorted(at))]).encode()).hexdigest()
+
+    def _read(self, name: str) -> dict | None:
         rows = self.spark.read.text(f"{self.path}/{name}", wholetext=True).head(1)
         try:
             return json.loads(rows[0][0]) if rows else None
         except json.JSONDecodeError:
             return None  # still being written
 
-    def _manifest(self) -> tuple[int, dict[str, dict]]:
-        """The number of the latest manifest and what it says."""
+    def _manifest(self) -> tuple[int, str, dict[str, dict]]:
+        """The number of the latest manifest, the inputs it was made from, and its buckets."""
         for name in reversed(self._names("manifest-")):
             if (found := self._read(name)) is not None:
-                return int(name.split("-")[1]), found
-        return 0, {}
+                return int(name.split("-")[1]), found["inputs"], found["buckets"]
+        return 0, "", {}
 
-    def _save(self, number: int, manifest: dict[str, dict]) -> bool:
+    def _save(self, number: int, inputs: str, buckets: dict[str, dict]) -> bool:
         """Write the manifest under a number, if no other refresh has taken it."""
         try:
             out = self._io.create(self._fs.Path(f"{self.path}/manifest-{number:08d}"), False)
         except Py4JJavaError:
             return False
-        out.write(bytearray(json.dumps(manifest).encode()))
+        out.write(bytearray(json.dumps({"inputs": inputs, "buckets": buckets}).encode()))
         out.close()
         return True
 
     def _clean(self) -> None:
         kept = self._names("manifest-")[-2:]
-        runs = {e["run"] for name in kept for e in (self._read(name) or {}).values()}
+        runs = {e["run"] for name in kept for e in (self._read(name) or {"buckets": {}})["buckets"].values()}
         for name in (*self._names("manifest-")[:-2], *(n for n in self._done if n not in runs)):
             self._io.delete(self._fs.Path(f"{self.path}/{name}"), True)
         self._done &= runs
@@ -132,15 +144,22 @@ class FeatureStore:
         return {str(r[0]): [r[1], r[2], r[3]] for r in rows}
 
     def refresh(self, events: DataFrame) -> list[int]:
-        """Bring the store up to date with all deliveries; returns the recomputed buckets."""
+        """Bring the store up to date with all deliveries; returns the recomputed buckets.
+
+        Where neither the files of the events nor what is made of them have
+        changed since the last refresh, nothing is read.
+        """
+        inputs = self._inputs(events)
+        if inputs and self._manifest()[1] == inputs:
+            return []
         prepared = self._prepared(events)
         now = self.fingerprints(prepared)
         while True:
-            number, manifest = self._manifest()
-            changed = self._update(prepared, now, manifest)
-            if not changed:
+            number, before, buckets = self._manifest()
+            changed = self._update(prepared, now, buckets)
+            if not changed and before == inputs:
                 return []
-            if self._save(number + 1, manifest):
+            if self._save(number + 1, inputs, buckets):
                 self._clean()
                 return sorted(changed)
 
@@ -171,7 +190,7 @@ class FeatureStore:
     def cells(self, buckets: set[int] | None = None) -> DataFrame:
         """Stored partials of the given buckets, or of all."""
         by_run: dict[str, list[str]] = {}
-        for b, entry in self._manifest()[1].items():
+        for b, entry in self._manifest()[2].items():
             where = f"{self.path}/{entry['run']}/bucket={b}"
             # a bucket may hold no valid delivery: then it has no folder
             if (buckets is None or int(b) in buckets) and self._io.exists(self._fs.Path(where)):

@@ -25,7 +25,7 @@ def feature_store(spark: SparkSession, sf_dir: str) -> tuple[entity_features.Fea
     events = read_table(spark, sf_dir, "payments").select(
         F.col("payment_id").alias("event_id"), F.col("customer_id").alias("entity"), event_type().alias("event_type"), "day", "amount", F.col("src_received_at").alias("received_at")
     )
-    store = entity_features.FeatureStore(spark, named_path(spark, "features-1", sf_dir))
+    store = entity_features.FeatureStore(spark, named_path(spark, "features-2", sf_dir))
     store.refresh(events)
     return store, events
 

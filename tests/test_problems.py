@@ -67,7 +67,7 @@ def test_refreshes_at_once_and_superseded_runs(spark, tmp_path):
     one.refresh(ev(10))
     # the other store read its manifest before this refresh ends: it starts over
     save, raced = two._save, []
-    two._save = lambda number, manifest: save(number, manifest) if raced or raced.append(one.refresh(ev(20))) else save(number, manifest)
+    two._save = lambda *x: save(*x) if raced or raced.append(one.refresh(ev(20))) else save(*x)
     two.refresh(ev(30))
     assert rows(two.features()) == rows(one.features()) == [("a", "x", 30, 19, 30.0)]
     for n in (31, 32, 33):
@@ -78,6 +78,19 @@ def test_refreshes_at_once_and_superseded_runs(spark, tmp_path):
     assert len([n for n in left if n.startswith("manifest-")]) == 2
 
 
+def test_unchanged_files_are_not_read_again(spark, tmp_path, monkeypatch):
+    where = f"file://{tmp_path}/in"
+    spark.createDataFrame([(f"e{i}", "a", "x", i % 20, 1.0, 1.0, "", 0) for i in range(50)], EVENTS).write.parquet(where)
+    store, read = entity_features.FeatureStore(spark, f"file://{tmp_path}/s", bucket_days=10), []
+    prints = store.fingerprints
+    monkeypatch.setattr(store, "fingerprints", lambda p: read.append(1) or prints(p))
+    assert store.refresh(spark.read.parquet(where)) == [0, 1] and store.refresh(spark.read.parquet(where)) == [] and len(read) == 1
+    assert store.refresh(spark.read.parquet(where).withColumn("event_type", F.lit("y"))) == [0, 1]
+    spark.createDataFrame([("new", "a", "x", 3, 1.0, 1.0, "", 0)], EVENTS).write.mode("append").parquet(where)
+    assert store.refresh(spark.read.parquet(where).withColumn("event_type", F.lit("y"))) == [0] and len(read) == 3
+    assert rows(store.features(), "n") == [(51,)]
+
+
 def test_feature_store_of_nothing(spark, tmp_path):
     store = entity_features.FeatureStore(spark, f"file://{tmp_path}/s")
     empty = spark.createDataFrame([], EVENTS)
