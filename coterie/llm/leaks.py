@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,45 +141,120 @@ def matches(text: str | None, items: Items, masks: tuple[str, ...], misses: int)
     return out
 
 
+def _word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return np.array([xxhash.xxh64_intdigest(w) for w in words(text)], np.uint64)
+
+
+def _seeds(text: str | None, masks: tuple[str, ...]) -> np.ndarray:
+    """The distinct seeds of a text: hashes of the words that each mask asks for, in all its windows."""
+    h = _word_hashes(text)
+    out = []
+    for k, mask in enumerate(masks):
+        n = len(h) - len(mask) + 1
+        if n > 0:
+            seed = np.full(n, (k + 1) * 1469598103934665603 % 2**64, np.uint64)
+            for i, bit in enumerate(mask):
+                if bit == "1":
+                    seed = (seed ^ h[i : i + n]) * _MULT
+                    seed ^= seed >> np.uint64(29)
+            out.append(seed)
+    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+
+
+def _seed_rows(rows: DataFrame, key: str, masks: tuple[str, ...], keep: Broadcast | None = None) -> DataFrame:
+    """(key, seed) of every text's distinct seeds; with ``keep``, a bit field by the low bits of a seed, of those that may be wanted."""
+
+    def run(batches):
+        schema = pa.schema([(key, pa.int64()), ("seed", pa.int64())])
+        bits = None if keep is None else keep.value
+        for batch in batches:
+            for i, text in zip(batch.column(key).to_pylist(), batch.column("text").to_pylist(), strict=True):
+                seeds = _seeds(text, masks)
+                if bits is not None and len(seeds):
+                    at = seeds & np.uint64(len(bits) * 8 - 1)
+                    seeds = seeds[(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+                if len(seeds):
+                    yield pa.record_batch([pa.array(np.full(len(seeds), i, np.int64)), pa.array(seeds.view(np.int64))], schema=schema)
+
+    return rows.select(key, "text").mapInArrow(run, f"{key} bigint, seed bigint")
+
+
+def _wanted(seeds: DataFrame, size: int = 1 << 27) -> np.ndarray:
+    """The seeds as a bit field of ``size`` bits, united from those of the partitions, block by block of 1 MB."""
+    block = 1 << 23
+
+    def run(batches):
+        bits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column("seed").to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(size - 1)
+            for b in np.unique(at // np.uint64(block)).tolist():
+                field = bits.setdefault(b, np.zeros(block // 8, np.uint8))
+                inside = at[at // np.uint64(block) == b] % np.uint64(block)
+                np.bitwise_or.at(field, (inside >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (inside & np.uint64(7)).astype(np.uint8)))
+        for b, field in bits.items():
+            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([field.tobytes()], pa.binary())], names=["block", "bits"])
+
+    out = np.zeros(size // 8, np.uint8)
+    for r in seeds.select("seed").mapInArrow(run, "block int, bits binary").toLocalIterator():
+        part = slice(r.block * block // 8, (r.block + 1) * block // 8)
+        out[part] |= np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _by_join(docs: DataFrame, items: DataFrame, masks: tuple[str, ...], misses: int) -> DataFrame:
+    """(doc_id, item_id, longest, overlap, matched) by a join of seeds, for items that no task could hold.
+
+    Seeds of documents that no item can have are dropped by a bit field of
+    fixed size before the shuffle. Each document and item that share a seed are
+    brought together once and compared as in ``matches``.
+    """
+    spark = docs.sparkSession
+    of_items, _ = materialise(_seed_rows(items, "item_id", masks), "seeds")
+    keep = spark.sparkContext.broadcast(_wanted(of_items))  # 16 MB
+    pairs, _ = materialise(_seed_rows(docs, "doc_id", masks, keep).join(of_items, "seed").select("doc_id", "item_id").distinct(), "pairs")
+    met = pairs.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("item")), "item_id")
+
+    def run(batches):
+        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("longest", pa.int32()), ("overlap", pa.int32()), ("matched", pa.int32())])
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("doc_id", "item_id", "text", "item")]
+            found = [(d, i, *v) for d, i, text, item in zip(*cols, strict=True) for v in matches(text, index_items([(i, item)], masks), masks, misses).values()]
+            if found:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
+    return met.mapInArrow(run, FOUND)
+
+
 def leaked_items(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, misses: int = 1, block_words: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, longest, overlap, matched) of every document and item with a seed hit.
 
     ``longest`` is the longest run of equal words of the best overlap,
     ``overlap`` its length with substitutions and ``matched`` the equal words
-    in it. Items go to the tasks in blocks of at most ``block_words`` words, one
-    pass over the corpus for each block, whose result is written before the
-    next block is read. So what the driver and the tasks hold is bounded, and
-    every item is compared with every document. Items shorter than a mask have no
-    window and no case; null and empty texts match nothing. Of repeated
-    documents and of items with one id the best overlap is kept.
+    in it. Items of at most ``block_words`` words go to the tasks, and the
+    corpus is read once; more items meet the corpus in a join of seeds. Both
+    ways compare every item with every document and give the same rows. Items
+    shorter than a mask have no window and no case; null and empty texts match
+    nothing. Of repeated documents and of items with one id the best overlap
+    is kept.
     """
-    spark = docs.sparkSession
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("longest", pa.int32()), ("overlap", pa.int32()), ("matched", pa.int32())])
-
-    def found_in(block: list[tuple[int, str]]) -> tuple[DataFrame, Broadcast]:
-        shared = spark.sparkContext.broadcast(index_items(block, masks))
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+    # a word has a character and a gap at least
+    size = items.agg(F.sum(F.length("text").cast("bigint"))).head()[0] or 0
+    if size // 2 > block_words:
+        parts = _by_join(docs, items, masks, misses)
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(index_items([tuple(r) for r in items.orderBy("item_id", "text").collect()], masks))  # bounded by ``block_words``
+        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("longest", pa.int32()), ("overlap", pa.int32()), ("matched", pa.int32())])
 
         def run(batches):
-            items = shared.value
+            index = shared.value
             for batch in batches:
-                found = [(d, i, *v) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for i, v in matches(text, items, masks, misses).items()]
+                found = [(d, i, *v) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for i, v in matches(text, index, masks, misses).items()]
                 if found:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
-        return docs.select("doc_id", "text").mapInArrow(run, FOUND), shared
-
-    parts, block, used = [], [], 0
-    rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text", F.length("text").alias("size")).orderBy("item_id", "text")
-    for r in rows.toLocalIterator():
-        # a word has a character and a gap at least
-        if block and (used + r["size"]) // 2 > block_words:
-            part, shared = found_in(block)
-            parts.append(materialise(part, "leaks")[0])
-            shared.unpersist()
-            block, used = [], 0
-        block.append((r["item_id"], r["text"]))
-        used += r["size"]
-    parts.append(found_in(block)[0])
-    # a document or an item may come more than once, an item in several blocks
+        parts = docs.select("doc_id", "text").mapInArrow(run, FOUND)
+    # a document or an item may come more than once
     best = F.max(F.struct("longest", "overlap", "matched")).alias("best")
-    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    return parts.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")

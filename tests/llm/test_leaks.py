@@ -40,9 +40,11 @@ def test_every_run_of_eight_equal_words_is_found(spark, seed):
     df = spark.createDataFrame(docs, "doc_id bigint, text string, item_id string")
     bench = spark.createDataFrame([(*i, 0) for i in items], "item_id bigint, text string, doc_id int")
     want = sorted({(d, i) for d, t, _ in docs for i, s in items if i is not None and t and s and _longest(leaks.words(t), leaks.words(s)) >= 8})
-    for block in (2_000_000, 3):  # all items at once, and one pass per item
-        got = leaks.leaked_items(df, bench, block_words=block).where("longest >= 8")
-        assert sorted((r.doc_id, r.item_id) for r in got.collect()) == want
+    every = []
+    for block in (2_000_000, 3):  # items in the tasks, and in a join of seeds
+        every.append(rows(leaks.leaked_items(df, bench, block_words=block)))
+        assert sorted(r[:2] for r in every[-1] if r[2] >= 8) == want
+    assert every[0] == every[1]
 
 
 def test_substituted_words_are_tolerated(spark):
@@ -72,6 +74,7 @@ def test_nothing(spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert rows(leaks.leaked_items(df, bench)) == []
     assert rows(leaks.leaked_items(df.limit(0), bench)) == []
+    assert rows(leaks.leaked_items(df, bench, block_words=-1)) == []
 
 
 def test_long_text_of_one_word():
