@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coterie.functions.clean import PREFIX, SPACE, account_age, code, identifier, identifier_body, identifier_pattern
+from coterie.functions.clean import PREFIX, SPACE, account_age, code, identifier_body, identifier_pattern
 from coterie.operators import as_known, entity_features, hot_keys, late_events, rolling
 from coterie.runtime import materialise, named_path
 from coterie.sources.payments import read_table, valid_payments

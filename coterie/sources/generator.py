@@ -29,6 +29,7 @@ class Shape:
     refund: float = 0.045
     dispute: float = 0.0009
     legacy: float = 0.42
+    alias: float = 0.09
     rings: int = 12
     scale: int = 1
 
@@ -95,6 +96,7 @@ def population(spark: SparkSession, shape: Shape = Shape()) -> DataFrame:
         token("dev_", s, "dev", i).alias("device_fingerprint"),
         token("addr_", s, "addr", i).alias("shipping_address_hash"),
         token("+", s, "contact", i).alias("contact"),
+        F.concat(token("", s, "mail", i), F.when(unit(s, "alias", i) < shape.alias, F.concat(F.lit("+"), between(1, 999, unit(s, "tag", i)))).otherwise(""), F.lit("@mailbox.example")).alias("email"),
         F.concat(token("", s, "mail", i), F.lit("@mailbox.example")).alias("email_root"),
         token("ip_", s, "ip", i).alias("ip"),
         F.when(legacy, between(-400, -60, unit(s, "signup", i))).otherwise(between(-60, shape.days - 1, unit(s, "signup", i))).cast("int").alias("signup_day"),

@@ -77,6 +77,15 @@ def test_generated_corpus(spark):
     p.unpersist()
 
 
+def test_population_has_aliases_and_groups_of_all_sizes(spark):
+    pop = generator.population(spark, generator.Shape(customers=20_000))
+    assert pop.where("regexp_replace(email, '[+][0-9]+', '') <> email_root").count() == 0
+    assert 1_500 < pop.where("email <> email_root").count() < 2_100
+    for column, tag, lo, hi, _ in generator.SHARING:
+        sizes = {r["count"] for r in pop.where(F.col("benign_cluster").contains(tag)).groupBy(column).count().collect()}
+        assert lo <= min(sizes) < max(sizes) <= hi
+
+
 def test_files(spark, tmp_path):
     base = f"file://{tmp_path}"
     df = spark.createDataFrame([(1, "a"), (2, "b")], "day int, v string")
@@ -84,6 +93,8 @@ def test_files(spark, tmp_path):
     assert rows(files.read_named(spark, base, "t"), "day", "v") == [(1, "a"), (2, "b")]
     with pytest.raises(FileNotFoundError, match="step 'make'"):
         files.read_named(spark, base, "none", "make")
+    files.write_named(df, base, "z", kind="csv")
+    assert spark.read.option("header", True).csv(f"{base}/z").count() == 2 and list(tmp_path.rglob("*.csv.gz"))
     files.write_report(df, base, "r")
     assert spark.read.option("header", True).csv(f"{base}/r").count() == 2
     files.write_markdown(df, base, "m")
