@@ -352,6 +352,25 @@ def test_an_arm_learns_and_occlusion_finds_why(spark):
     assert per["value"] > 0.3 > abs(per["time"])
 
 
+def test_only_the_asked_arms_are_trained_and_arms_train_at_once(spark, monkeypatch):
+    import threading
+
+    both, seen = threading.Barrier(2, timeout=60), []
+
+    def train(name, *_, **__):
+        seen.append(name)
+        if len(wanted) == 2:
+            both.wait()
+        return name
+
+    monkeypatch.setattr(scoring, "train_arm", train)
+    df = spark.createDataFrame([("train", True, 1)], "split string, matured boolean, y int")
+    wanted = ("graph",)
+    assert models.arms(df, names=wanted) == ("graph",) and seen == ["graph"]
+    wanted = ("base", "graph")
+    assert models.arms(df) == wanted
+
+
 def test_curve_and_confusion_agree_on_close_scores(spark):
     data = [(0, 0.95), (1, 0.91999), (1, 0.91996), (0, 0.91995), (1, 0.5), (0, 0.5)]
     df = spark.createDataFrame([("base", y, s, 1.0) for y, s in data], "arm string, y int, score double, amount double")
