@@ -352,6 +352,27 @@ def test_an_arm_learns_and_occlusion_finds_why(spark):
     assert per["value"] > 0.3 > abs(per["time"])
 
 
+def test_occlusion_reads_rows_once_and_falls_as_the_model_says(spark):
+    df = spark.range(600).select(
+        F.col("id").cast("string").alias("payment_id"), (F.col("id") % 3 == 0).cast("int").alias("y"), F.when(F.col("id") % 7 > 0, F.col("id") % 3 * 2.0 + F.col("id") % 5).alias("amount"), F.when(F.col("id") % 11 == 0, float("nan")).otherwise(F.col("id") % 13 * 1.0).alias("hour_of_day"),
+        F.when(F.col("id") % 4 > 0, F.concat(F.lit("m"), F.col("id") % 6)).alias("method"),
+    )
+    arm = scoring.train_arm("a", df, ["amount", "hour_of_day"], ["method"], iterations=4)
+    groups, honest = {"value": ["amount"], "time": ["hour_of_day"], "how": ["method", "amount"], "gone": ["missing"], "unknown": ["city"]}, {"amount": 3.0, "method": "no such level"}
+    test = df.unionByName(df.limit(1).withColumn("payment_id", F.lit("new")).withColumn("method", F.lit("never seen")))
+    occ = scoring.occlude(arm, test, groups, honest)
+    assert "Window" not in occ._jdf.queryExecution().toString() and "Generate" not in occ._jdf.queryExecution().toString()
+    got = {(r.payment_id, r.group): r.contribution for r in occ.collect()}
+    whole = {r.payment_id: r.score for r in arm.predict(test).collect()}
+    want = {}
+    for g in ("value", "time", "how"):
+        swapped = test.withColumns({c: F.lit(honest[c]) for c in groups[g] if c in honest})
+        want |= {(r.payment_id, g): whole[r.payment_id] - r.score for r in arm.predict(swapped).collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+    assert any(v > 0.01 for v in got.values())
+    assert scoring.occlude(arm, df.limit(0), groups, honest).count() == 0
+
+
 def test_only_the_asked_arms_are_trained_and_arms_train_at_once(spark, monkeypatch):
     import threading
 
