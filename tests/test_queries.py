@@ -76,3 +76,22 @@ def test_matches_sql_on_split_clusters(spark, duck, split_clusters, name):
     given = sql.replace(entry.reference.FINDS_CLUSTERS, ", clusters as (select as_of_day, customer_id, cluster from given)")
     assert given != sql
     _same(spark, duck, entry.queries(), {name: given}, name, split_clusters)
+
+
+def test_notes_look_up_their_queue_only(spark, monkeypatch):
+    """The notes ask for the z of the queue's payments and the sentences' features, and read as before."""
+    from coterie.operators import catalogue, explain
+    from coterie.plans import graph, reference
+
+    asked, robust = [], explain.robust_z
+    monkeypatch.setattr(explain, "robust_z", lambda rows, ref, numeric: asked.append((rows.count(), numeric)) or robust(rows, ref, numeric))
+    notes = {r.payment_id: r.text for r in reference.merchant_notes(spark, DATA).collect()}
+    queue = reference.alert_queue(spark, DATA, graph.COMMUNITIES)
+    assert set(notes) == {r.payment_id for r in queue.collect()}
+    assert asked == [(len(notes), tuple(q.feature for q in catalogue.SENTENCES if q.feature in reference.TABULAR))]
+    far = explain.quotes(reference.robust_z(spark, DATA).where("z >= 3")).join(queue, "payment_id", "left_semi").groupBy("payment_id").agg({"z": "max"}).count()
+    assert far > 0
+    every = explain.quotes(reference.robust_z(spark, DATA).where("z >= 3")).join(queue, "payment_id", "left_semi").orderBy("payment_id", "z").collect()
+    furthest = {r.payment_id: r for r in every}
+    top = {p: {r.text for r in every if r.payment_id == p and r.z == best.z} for p, best in furthest.items()}
+    assert all(any(t in notes[p] for t in texts) for p, texts in top.items())
